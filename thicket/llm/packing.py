@@ -317,8 +317,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | Non
             if room >> bit & 1:
                 a, b = max(offset, at), min(offset + count, at + (1 << bit))
                 if a < b:
-                    # The others come after all windows of all phases, in an id range of their own.
-                    yield (sequence if j == 0 else -(sequence * r.size.bit_length() + j)), a - at, b - a
+                    yield sequence + j, a - at, b - a  # only the very last window is short
                 at += 1 << bit
                 j += 1
 
