@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, packing, pii, quality_rules
+from thicket.llm import mixing, packing, pii, prefix_hash, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_risk_rules, op5_pii, op9_mixture)}
+    return {f.__name__: f for f in (op2_packing, op3_risk_rules, op5_pii, op8_prefix_hash, op9_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
