@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, packing, pii, prefix_hash, quality_rules
+from thicket.llm import hmm, mixing, packing, pii, prefix_hash, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -40,7 +44,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_risk_rules, op5_pii, op8_prefix_hash, op9_mixture)}
+    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op5_pii, op8_prefix_hash, op9_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
