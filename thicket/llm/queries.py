@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import hmm, mixing, packing, pii, prefix_hash, quality_rules
+from thicket.llm import hmm, mixing, packing, pii, prefix_hash, quality_rules, setsketch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op5_pii, op8_prefix_hash, op9_mixture)}
+    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op5_pii, op8_prefix_hash, op9_mixture, op10_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:
