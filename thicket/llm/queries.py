@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import fingerprint_index, hmm, mixing, packing, pii, prefix_hash, quality_rules, setsketch
+from thicket.llm import fingerprint_index, hmm, mixing, ordinal, packing, pii, preference, prefix_hash, quality_rules, setsketch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,18 @@ def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.swapped_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.digest(fingerprint_index.deduplicated(table(spark, sf_dir, "documents")))
 
@@ -52,8 +60,8 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op5_pii, op7_fingerprint_index, op8_prefix_hash, op9_mixture, op10_setsketch)}
+    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op4_ordinal, op5_pii, op6_preference, op7_fingerprint_index, op8_prefix_hash, op9_mixture, op10_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_preference": preference.SQL}
