@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     drop_tables(spark, SCOPE)
     groups = setsketch.near_groups(docs, width=5, percent=80, scope=SCOPE)
     gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct().checkpoint()
-    return attach(docs, gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    return attach(docs, gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

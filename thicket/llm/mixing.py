@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: int = 3
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: int = 3, seed: int = 17) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as it is taken, columns unchanged."""
-    hashed = with_hash(docs, seed)
+    hashed = with_hash(docs.select("doc_id", "source", "text", F.struct("*").alias("row")), seed)
     plan = thresholds(hashed.select("source", "mix_hash", word_count(F.col("text")).alias("size")), weights, repeat)
-    out = copies(hashed, plan, repeat)
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    out = copies(hashed.select("row", "source", "mix_hash"), plan, repeat)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
