@@ -59,6 +59,9 @@ def query(sql: str | None = None):
     return add
 
 
+#: Results that sum floats are multiplied by this before rounding, so that none lies between two steps.
+UNEVEN = 0.7390851332
+
 # Inputs ------------------------------------------------------------------------------
 
 
@@ -201,12 +204,12 @@ def fetch_cell(spark, d):
     return mx.cell(lines(spark, d), "tax", first)
 
 
-@query(f"with {M} select a.sample_id, a.feature, round(a.value - b.value, 4) as difference, round(a.value * b.value, 4) as product, round(a.value + b.value, 4) as total from m a join (select sample_id, feature, value * 0.5 as value from m) b using (sample_id, feature)")
+@query(f"with {M} select a.sample_id, a.feature, a.value - b.value as difference, a.value * b.value as product, a.value + b.value as total from m a join (select sample_id, feature, value * 0.5 as value from m) b using (sample_id, feature)")
 def matrix_arithmetic(spark, d):
     a = lines(spark, d)
     b = a.withColumn("value", F.col("value") * 0.5)
     out = mx.combine(a, b, "subtract").withColumnRenamed("value", "difference").join(mx.combine(a, b, "multiply").withColumnRenamed("value", "product"), ["sample_id", "feature"]).join(mx.combine(a, b, "add").withColumnRenamed("value", "total"), ["sample_id", "feature"])
-    return out.select("sample_id", "feature", r4("difference").alias("difference"), r4("product").alias("product"), r4("total").alias("total"))
+    return out.select("sample_id", "feature", "difference", "product", "total")
 
 
 @query("select c_custkey as sample_id, abs(c_acctbal) as magnitude, round(c_acctbal * c_acctbal, 2) as square from customer")
@@ -265,9 +268,9 @@ def draw_order(spark, d):
     return scan.draw_order(nations(spark, d)).select("node", "split_feature", "sample_id", "split_value", F.col("k").cast("long"), "n")
 
 
-@query(f"with {NMS} select node, split_feature, feature, k, cast(vb as float) as before, cast(vo as float) as onward from sc")
+@query(f"with {NMS} select node, split_feature, feature, k, round(vb * {UNEVEN}, 3) as before, round(vo * {UNEVEN}, 3) as onward from sc")
 def variance_scan(spark, d):
-    return scan.variance_scan(along(spark, d)).select("node", "split_feature", "feature", F.col("k").cast("long"), F.col("before").cast("float").alias("before"), F.col("onward").cast("float").alias("onward"))
+    return scan.variance_scan(along(spark, d)).select("node", "split_feature", "feature", F.col("k").cast("long"), r4(F.col("before") * UNEVEN, 3).alias("before"), r4(F.col("onward") * UNEVEN, 3).alias("onward"))
 
 
 @query(f"with {NMS} select node, split_feature, feature, k, round(med, 4) as median_onward, round(mb, 4) as mad_before, round(mo, 4) as mad_onward from sc")
@@ -285,7 +288,7 @@ def mad_gains(spark, d):
 
 def _scores(mode: str, norm: str):
     def f(spark, d):
-        return scan.split_scores(along(spark, d), mode, norm).filter("k between 3 and n - 3").select("node", "split_feature", F.col("k").cast("long"), r4("score", 2).alias("score"))
+        return scan.split_scores(along(spark, d), mode, norm).filter("k between 3 and n - 3").select("node", "split_feature", F.col("k").cast("long"), r4(F.col("score") * UNEVEN, 3).alias("score"))
 
     return f
 
@@ -295,7 +298,7 @@ for _mode, (_b, _o) in {"mad": ("mb", "mo"), "variance": ("vb", "vo")}.items():
         if (_mode, _norm) == ("variance", "l2"):
             continue
         QUERIES[f"split_scores_{_mode}_{_norm}"] = _scores(_mode, _norm)
-        SQL[f"split_scores_{_mode}_{_norm}"] = f"with {NMS}, {score_sql(_b, _o, _norm)} select node, split_feature, k, round(score, 2) as score from ss where k between 3 and n - 3"
+        SQL[f"split_scores_{_mode}_{_norm}"] = f"with {NMS}, {score_sql(_b, _o, _norm)} select node, split_feature, k, round(score * {UNEVEN}, 3) as score from ss where k between 3 and n - 3"
 
 SIZES = "sz as (select c_nationkey as node, count(*) as samples from customer where c_custkey <= 3000 group by 1)"
 CUTS = f"with {NMS}, {score_sql('mb', 'mo', 'l1')}, {SIZES}, bc as (select node, split_feature, arg_min({{k: k, v: split_value, n: n, s: score}}, {{s: score, k: -k}}) as b from ss where k between 3 and n - 3 group by 1, 2), ct as (select node, split_feature, b.k as k, b.v as split_value, b.s * (samples - b.n + 1) as score from bc join sz using (node))"
