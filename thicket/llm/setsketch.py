@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from thicket.llm.components import components
 from thicket.llm.ordered import LAST
-from thicket.llm.shared import WordHash, attach, batches, mix, shared_table, shingles, text_bytes
+from thicket.llm.shared import WordHash, attach, batches, mix, shared_table, shingles, small_batches, text_bytes
 
-#: Registers, in bands of ROWS; the base of their scale, its start, and its last step.
-BANDS, ROWS, BASE, RATE, STEPS = 42, 6, 1.02, 20.0, (1 << 16) - 2
-REGISTERS = BANDS * ROWS
+#: Registers, the first of them in bands of ROWS; the base of their scale, its start, and its last step.
+REGISTERS, BANDS, ROWS, BASE, RATE, STEPS = 160, 20, 4, 1.02, 20.0, (1 << 16) - 2
 #: How far below the limit an estimate may be for the pair to be confirmed on full sets: five standard errors.
-MARGIN = 0.12
+MARGIN = 0.14
+#: Least share of equal registers of a pair worth estimating. That share is about the Jaccard
+#: index; at an index of 0.8 it is below this with a probability under 1e-8.
+EQUAL = 0.6
 #: Members of a bucket that are compared with each other at once, and ids that may be broadcast.
 BLOCK, MANY = 1024, 1_000_000
 
@@ -65,7 +67,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each sketch (rows)."""
-    x = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    x = sketches.reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), x.shape[:2])
     for i in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + x[:, :, i])
@@ -159,15 +161,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scope
     return joined.mapInArrow(run, "a long, b long").checkpoint()
 
 
-def across(members: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
-    """Likely pairs of different components among the buckets' members ``bucket, id, component, size``."""
+def across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
+    """Confirmed links between components among the buckets' members ``bucket, id, component, size``.
+
+    Pairs are estimated and confirmed where their block is, and those that links found
+    there connect already are skipped, so only links leave a task, never candidates.
+    """
+    limit = percent / 100
+    sets = full_sets(docs, members.select("id").distinct(), width, scope)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(reps.select("id", "n", "regs"), "id")
+    rows = rows.join(reps.select("id", "n", "regs"), "id").join(sets, "id")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("bucket", "i", "j", "own", "id", "component", "n", "regs").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    rows = rows.select("bucket", "i", "j", "own", "id", "component", "n", "regs", "set").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
         i, j = group[0][1:3]
@@ -175,6 +183,13 @@ def across(members: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
         x = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, REGISTERS)
         bands = band_keys(x)
         here = int(np.flatnonzero((bands == np.uint64(group[0][0] % (1 << 64))).all(0))[0])
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
         for k in range(len(group)):
             if i != j and own[k] != i:
                 continue
@@ -183,12 +198,22 @@ def across(members: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
                 continue
             # A pair counts in the first band that it shares.
             others = others[~(bands[others, :here] == bands[k, :here]).any(1)] if here else others
+            if not len(others):
+                continue
+            others = others[(x[others] == x[k]).sum(1) >= EQUAL * REGISTERS]
             if not len(others):
                 continue
             y = x[others]
             est = jaccard((x[k] > y).sum(1), (x[k] < y).sum(1), np.full(len(others), n[k]), n[others])
+            mine = np.frombuffer(group[k][8], np.uint64)
             for o in others[est >= limit - MARGIN]:
-                yield min(ids[k], ids[o]), max(ids[k], ids[o])
+                if (p := find(int(comp[k]))) == (q := find(int(comp[o]))):
+                    continue
+                theirs = np.frombuffer(group[o][8], np.uint64)
+                shared = len(np.intersect1d(mine, theirs, True))
+                if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
+                    root[p] = q
+                    yield min(ids[k], ids[o]), max(ids[k], ids[o])
 
     def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         held: list[tuple] = []
@@ -205,6 +230,29 @@ def across(members: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
     return rows.mapInArrow(lambda p: batches(((int(a), int(b)) for a, b in pairs(p)), schema), "a long, b long")
 
 
+def star_links(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links of members with the pivots of their buckets, and the components of those.
+
+    First each document meets one pivot, that of its largest bucket, and then all pivots
+    that are in a different component still. So a group of thousands of near copies
+    mostly costs a pair a document, not one for each bucket.
+    """
+    pairs = members.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size")).checkpoint()
+    links, known = None, None
+    for last in (False, True):
+        if known is not None:
+            side = lambda x: known.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_c"))  # noqa: B023, E731
+            pairs = attach(attach(pairs, side("a"), F.col("a") == F.col("a_node"), "left"), side("b"), F.col("b") == F.col("b_node"), "left")
+            pairs = pairs.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b", "size").join(chosen.select("a", "b"), ["a", "b"], "left_anti").checkpoint()  # noqa: F821
+            if not pairs.limit(1).count():
+                break
+        chosen = pairs if last else pairs.groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b", F.col("m.size").alias("size")).checkpoint()
+        new = confirmed(likely(chosen.select("a", "b"), reps, percent / 100), docs, width, percent, scope)
+        links = new if links is None else links.unionByName(new)
+        known = components(links)
+    return links, known
+
+
 def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, scope: str = "") -> DataFrame:
     """Group documents whose shingle sets have a Jaccard index of ``percent`` or more.
 
@@ -213,12 +261,12 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, scope: str =
     and whether that is the document itself. Fewer words than ``width`` are one shingle;
     a document without words, or with null text, is linked with nothing.
 
-    A link is found with probability above 1 - 1e-8 at the limit: 42 bands of 6
+    A link is found with probability above 1 - 1e-6 at a limit of 85 %: 20 bands of 4
     registers. Null doc_id: as the largest; its component is null if it has no smaller
     member, and it is kept then. Rows that repeat a doc_id are documents with the same
     id. An empty table gives an empty result.
     """
-    limit = percent / 100
+    small_batches(docs.sparkSession)
     table = sketched(docs, width, scope)
     some = table.filter("n > 0")
     reps = shared_table(some.groupBy("key").agg(F.min(F.struct("id", "n", "regs")).alias("r"), F.count(F.lit(1)).alias("copies")).select("key", "copies", "r.id", "r.n", "r.regs"), "classes", scope)
@@ -233,17 +281,17 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, scope: str =
     full = keyed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("bucket").alias("k"), "pivot", "size")
     full = shared_table(full, "buckets", scope)
     members = shared_table(attach(keyed, full, F.col("bucket") == F.col("k")).filter("id <> pivot").select("bucket", "id", "pivot", "size"), "members", scope)
-    stars = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(likely(stars, reps, limit), docs, width, percent, scope)
-    first = components(links)
+    links, first = star_links(members, reps, docs, width, percent, scope)
     # Buckets in which pairs of different components haven't been compared: none with the pivot is among them.
     open_ = members.filter("size > 2").select("bucket", "id", "size")
     open_ = attach(open_, first.select(F.col("node").alias("v"), "component"), F.col("id") == F.col("v"), "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
     open_ = open_.checkpoint()
-    mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("k"))
+    mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("k")).checkpoint()
     rest = attach(open_, mixed, F.col("bucket") == F.col("k"), "left_semi")
-    more = confirmed(across(rest, reps, limit).distinct(), docs, width, percent, scope)
-    last = components(links.unionByName(more))
+    last = first
+    if mixed.limit(1).count():
+        more = across(rest, reps, docs, width, percent, scope).distinct().checkpoint()
+        last = components(links.unionByName(more))
     groups = reps.select("key", "id", "copies").join(last, F.col("id") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("component", "id").alias("component"), (F.col("copies") > 1).alias("many"), F.col("component").isNotNull().alias("linked"))
     groups = groups.filter("many or linked").select("k", "component").checkpoint()
     out = attach(table.select("doc_id", "id", "n", "key"), groups, F.col("key") == F.col("k"), "left").withColumn("c", F.coalesce("component", "id"))

@@ -62,6 +62,13 @@ def drop_tables(spark: SparkSession, scope: str) -> None:
     _tables = [x for x in _tables if x[0] != scope]
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send at most ``rows`` rows at once to Python, for stages whose rows hold whole sets or texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000") or 10000) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def attach(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """Join with an aggregate: by broadcast if its counted rows are few, else by a shuffle."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -76,7 +83,7 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 class WordHash(dict):
     """A word's 64-bit hash, remembered; forgets all when it has grown large."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, seed: int = 0) -> None:
         self.seed = seed
