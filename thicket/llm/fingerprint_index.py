@@ -102,11 +102,11 @@ def blocks_of(window: int, bits: int, memo: WordHash):
     return run
 
 
-def merge_join(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def merge_join(parts: Iterator[pa.RecordBatch], commit: bool = True) -> Iterator[tuple]:
     """Rows of ROW_SQL by range, runs before blocks in order, become rows of REPLY_SQL:
 
     kind 0, for each block a bit for each of its hashes, set where it is a repeat;
-    kind 1, the range's new hashes, for the next run.
+    kind 1, the range's new hashes, for the next run, if there will be one.
     """
     held: list[tuple] = []
 
@@ -127,7 +127,7 @@ def merge_join(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             if row[1] is not None:
                 yield 0, *row[:5], np.packbits(flags[start : start + len(own)]).tobytes()
             start += len(own)
-        if new.any():
+        if commit and new.any():
             yield 1, held[0][0], None, None, None, None, encode(h[new], c[new])
 
     for batch in parts:
@@ -197,7 +197,7 @@ class FingerprintIndex:
         for _, run in self.runs:
             rows = rows.unionByName(run.selectExpr("range", "cast(null as long) chunk", "cast(null as long) first", "cast(null as long) seq", "cast(null as int) docs", "data"))
         rows = rows.repartition(self._partitions(), "range").sortWithinPartitions("range", F.asc_nulls_first("first"), F.asc_nulls_first("seq"))
-        replies = shared_table(rows.mapInArrow(lambda p: batches(merge_join(p), _REPLY, 64), REPLY_SQL), "replies", self.scope, "kind")
+        replies = shared_table(rows.mapInArrow(lambda p: batches(merge_join(p, commit), _REPLY, 64), REPLY_SQL), "replies", self.scope, "kind")
         if commit:
             self.runs.append((0, replies.filter("kind = 1").select("range", "data")))
             self.compact()
