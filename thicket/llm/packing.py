@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,6 +48,7 @@ class TokenMemo(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.kind, self.pieces = self.tokenizer.model, kind, {}
+        self.code = {"<u2": "H", "<u4": "I"}[kind]  # of the machine, which is little-endian
         self.visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # Plain words must pass unchanged through the first steps for the short way to hold.
         probe = [("Déjà", "déjà"), ("Abc.", "abc ."), ("xyZ,", "xyz ,")]
@@ -60,7 +62,7 @@ class TokenMemo(dict):
         if (known := self.pieces.get(piece)) is None:
             if len(self.pieces) >= self.LIMIT:
                 self.pieces.clear()
-            known = self.pieces[piece] = np.array([x.id for x in self.model.tokenize(self.bytes_visible(piece))], self.kind).tobytes()
+            known = self.pieces[piece] = array(self.code, [x.id for x in self.model.tokenize(self.bytes_visible(piece))]).tobytes()
         return known
 
     def __missing__(self, chunk: str) -> bytes:
