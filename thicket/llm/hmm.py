@@ -26,8 +26,8 @@ from thicket.llm.shared import WordHash, shared_table, text_bytes
 CHUNK_TOKENS, CHUNK_WORDS = 400_000, 65_000
 #: Hash of the end token, which no word can be.
 END = np.uint64(0)
-#: Leading bits of a word hash; words that share them are counted together.
-RANGE_BITS = 6
+#: Chunks whose words are counted in about as many ranges of hashes; there are 64 at least.
+CHUNKS_A_RANGE = 8
 #: Longest run of tokens that training treats as one sequence, and symbols in a block of counts.
 RUN, BLOCK = 512, 1024
 #: Weight of the corpus' frequencies in each state's emissions.
@@ -82,13 +82,13 @@ def symbol(words: np.ndarray, symbols: int) -> np.ndarray:
     return (words % np.uint64(symbols - 1)).astype(np.int32) + 1 - (words == END)
 
 
-def asked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's words and counts by range of hashes: ``range, chunk, words, counts``."""
+def asked(parts: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's words and counts by range of hashes, their leading bits: ``range, chunk, words, counts``."""
     for batch in parts:
         for chunk, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             w, c = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)
-            bounds = np.searchsorted(w >> np.uint64(64 - RANGE_BITS), np.arange((1 << RANGE_BITS) + 1).astype(np.uint64))
-            cut = [(r, bounds[r], bounds[r + 1]) for r in range(1 << RANGE_BITS) if bounds[r + 1] > bounds[r]]
+            bounds = np.searchsorted(w >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+            cut = [(r, bounds[r], bounds[r + 1]) for r in range(1 << bits) if bounds[r + 1] > bounds[r]]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in cut], pa.int32()), pa.array([chunk] * len(cut), pa.int64()), pa.array([w[a:b].tobytes() for _, a, b in cut], pa.binary()), pa.array([c[a:b].tobytes() for _, a, b in cut], pa.binary())], ["range", "chunk", "words", "counts"])
 
 
@@ -287,7 +287,8 @@ def scores(docs: DataFrame, test_part: int = 1, folds: int = 5, states: int = 12
     plain = docs.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("string").alias("label"), F.spark_partition_id().cast("long").alias("task"))
     table = shared_table(plain.mapInArrow(lambda p: chunks(p, test_part, folds), CHUNK_SQL), "lm-chunks", scope)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = table.select("chunk", "words", "trains").mapInArrow(asked, "range int, chunk long, words binary, counts binary")
+    bits = max(6, (table.count() // CHUNKS_A_RANGE).bit_length())
+    blocks = table.select("chunk", "words", "trains").mapInArrow(lambda p: asked(p, bits), "range int, chunk long, words binary, counts binary")
     replies = shared_table(blocks.repartition(n, "range").sortWithinPartitions("range").mapInArrow(answered(symbols), "range int, chunk long, counts binary"), "lm-counts", scope)
     per_symbol = np.zeros((symbols, 2))
     for r in replies.filter("chunk is null").select("counts").toLocalIterator():  # one row a range
@@ -311,6 +312,6 @@ def scores(docs: DataFrame, test_part: int = 1, folds: int = 5, states: int = 12
                 full = (forward(m, tokens, lens.astype(np.int64)) + sums(own)) / np.log(10)
                 yield pa.RecordBatch.from_arrays([pa.array(ids_of, mask=ids_of == NULL_ID), pa.array(held), pa.array(lens.astype(np.int64)), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(len(lens), int(total))), pa.array(sums(base)), pa.array(full)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = replies.filter("chunk is not null").groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("range", "counts")).alias("answers"))  # 64 rows a chunk at most
+    answers = replies.filter("chunk is not null").groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("range", "counts")).alias("answers"))  # a row a range
     ready = table.join(answers, F.col("chunk") == F.col("of")).select("docs", "lens", "held", "ids", "words", "answers")
     return ready.mapInArrow(score, schema)
