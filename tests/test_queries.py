@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(got.column_names) == sorted(want.columns)
     columns = ", ".join(f'"{c}"' for c in got.column_names)
     db.register("got", got)
-    assert got.num_rows == db.sql(f"select count(*) from ({queries.oracle_sql()[name]})").fetchone()[0]
+    assert got.num_rows == db.sql(f"select count(*) from ({queries.oracle_sql()[name]})").fetchall()[0][0]
     assert db.sql(f"select {columns} from got except all select {columns} from ({queries.oracle_sql()[name]})").fetchall() == []
 
 
