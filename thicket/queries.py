@@ -84,7 +84,7 @@ G = "g as (select * from (select l_returnflag, unnest(['quantity','extendedprice
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
     """Customers by nation: node, sample and two features, some cells missing."""
-    t = table(spark, d, "customer").filter("c_custkey <= 3000")
+    t = table(spark, d, "customer")
     a = F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal"))
     b = F.when(F.col("c_custkey") % 13 != 0, ((F.col("c_custkey") * 7919) % 1009) / 8.0 - 60)
     return t.select(F.col("c_nationkey").alias("node"), F.col("c_custkey").alias("sample_id"), a.alias("a"), b.alias("b")).unpivot(["node", "sample_id"], ["a", "b"], "feature", "value")
@@ -532,7 +532,7 @@ def forest_roundtrip(spark, d):
 
 @query("select p_partkey as pos, p_brand || case when r > 0 then cast(r as varchar) || '_' else '_' end as name from (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as r from part where p_partkey <= 200)")
 def header_dedupe(spark, d):
-    names = table(spark, d, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("pos"), F.concat(F.col("p_brand"), F.lit("-")).alias("name"))
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.col("p_brand"), F.lit("-")).alias("name"))
     out = text.unique_names(names)
     return out.select("pos", F.concat(F.regexp_replace("name", "-([0-9]*)$", "$1"), F.lit("_")).alias("name"))
 
