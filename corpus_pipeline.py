@@ -23,9 +23,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the least id; groups of five-word shingles at 0.8."""
     drop_tables(spark, SCOPE)
-    groups = setsketch.near_groups(docs, width=5, percent=80, scope=SCOPE)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct().checkpoint()
-    return attach(docs, gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    groups = setsketch.near_rows(docs, width=5, percent=80, scope=SCOPE).filter("not kept").select(F.col("doc_id").alias("gone"), F.col("t").alias("gone_t"), "copy").distinct().checkpoint()
+    # A row has the doc_id and the text of one that goes, or of the kept one: of those rows any one stays.
+    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (setsketch.text_hash() == F.col("gone_t"))
+    gone, copies = (groups.filter(c).select("gone", "gone_t") for c in ("not copy", "copy"))
+    docs = attach(docs, gone, same, "left_anti")
+    if not copies.limit(1).count():
+        return docs
+    return attach(docs, copies, same, "left_anti").unionByName(attach(docs, copies, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components
@@ -94,22 +94,29 @@ def jaccard(larger: np.ndarray, smaller: np.ndarray, n: np.ndarray, m: np.ndarra
 
 
 def sketched(docs: DataFrame, width: int, scope: str) -> DataFrame:
-    """A shared table ``doc_id, id, n, key, regs``: sizes, digests and sketches of the sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("regs", pa.binary())])
+    """A shared table ``doc_id, id, t, n, key, regs, row``: sizes, digests and sketches of the sets,
+    hashes of the texts, and a number for each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("regs", pa.binary())])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         memo = WordHash()
         for batch in parts:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
+            for doc_id, t, text in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), text_bytes(batch), strict=True):
                 s = shingle_set(memo.all(text.lower().split()), width)
-                yield doc_id, LAST if doc_id is None else doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, registers(s).tobytes() if len(s) else None
+                yield doc_id, LAST if doc_id is None else doc_id, t, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, registers(s).tobytes() if len(s) else None
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return shared_table(plain.mapInArrow(lambda p: batches(rows(p), schema), "doc_id long, id long, n long, key binary, regs binary"), "sketches", scope)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), F.col("text").cast("binary").alias("text"))
+    out = plain.mapInArrow(lambda p: batches(rows(p), schema), "doc_id long, id long, t long, n long, key binary, regs binary")
+    return shared_table(out.withColumn("row", F.monotonically_increasing_id()), "sketches", scope)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int, scope: str) -> DataFrame:
-    """A shared table ``id, set`` of the shingle sets of the documents ``ids``."""
+def text_hash() -> Column:
+    """With the doc_id, this says which text a row has."""
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, width: int, scope: str) -> DataFrame:
+    """A shared table ``id, set`` of the shingle sets of the classes ``ids``."""
     schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -118,9 +125,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, scope: str) -> DataFr
             for i, text in zip(batch.column("id").to_pylist(), text_bytes(batch), strict=True):
                 yield i, shingle_set(memo.all(text.lower().split()), width).tobytes()
 
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("binary").alias("text"))
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("least"), text_hash().alias("t"), F.col("text").cast("binary").alias("text"))
     few = ids.limit(MANY + 1).count() <= MANY
-    chosen = plain.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    known = reps.select("id", "least", "t").join(F.broadcast(ids) if few else ids, "id")
+    chosen = plain.join(F.broadcast(known) if few else known, ["least", "t"]).select("id", "text")
     return shared_table(chosen.mapInArrow(lambda p: batches(rows(p), schema, 500), "id long, set binary").dropDuplicates(["id"]), "sets", scope)
 
 
@@ -141,11 +149,11 @@ def likely(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
     """Those of the pairs ``a, b`` whose full sets reach the limit."""
     pairs = pairs.checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = full_sets(docs, ids, width, scope)
+    sets = full_sets(docs, ids, reps, width, scope)
     joined = pairs.join(sets.select(F.col("id").alias("x_id"), F.col("set").alias("x")), F.col("a") == F.col("x_id")).join(sets.select(F.col("id").alias("y_id"), F.col("set").alias("y")), F.col("b") == F.col("y_id")).select("a", "b", "x", "y")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +176,7 @@ def across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
     there connect already are skipped, so only links leave a task, never candidates.
     """
     limit = percent / 100
-    sets = full_sets(docs, members.select("id").distinct(), width, scope)
+    sets = full_sets(docs, members.select("id").distinct(), reps, width, scope)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -247,7 +255,7 @@ def star_links(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int,
             if not pairs.limit(1).count():
                 break
         chosen = pairs if last else pairs.groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b", F.col("m.size").alias("size")).checkpoint()
-        new = confirmed(likely(chosen.select("a", "b"), reps, percent / 100), docs, width, percent, scope)
+        new = confirmed(likely(chosen.select("a", "b"), reps, percent / 100), reps, docs, width, percent, scope)
         links = new if links is None else links.unionByName(new)
         known = components(links)
     return links, known
@@ -262,14 +270,22 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, scope: str =
     a document without words, or with null text, is linked with nothing.
 
     A link is found with probability above 1 - 1e-6 at a limit of 85 %: 20 bands of 4
-    registers. Null doc_id: as the largest; its component is null if it has no smaller
-    member, and it is kept then. Rows that repeat a doc_id are documents with the same
-    id. An empty table gives an empty result.
+    registers. Rows are linked by their texts alone, whatever ids they share. Null
+    doc_id: as the largest; its component is null if it has no smaller member. One row
+    of each group is kept; where several have its least doc_id, or null, any one of
+    them. An empty table gives an empty result.
     """
+    return near_rows(docs, width, percent, scope).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_rows(docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
+    """As ``near_groups``, with ``t``, the text's hash, and ``copy``: a row that isn't kept, of the doc_id and text of the kept one."""
     small_batches(docs.sparkSession)
     table = sketched(docs, width, scope)
     some = table.filter("n > 0")
-    reps = shared_table(some.groupBy("key").agg(F.min(F.struct("id", "n", "regs")).alias("r"), F.count(F.lit(1)).alias("copies")).select("key", "copies", "r.id", "r.n", "r.regs"), "classes", scope)
+    # A class of equal sets has a number, the id of everything up to the components, and a row with the least doc_id.
+    reps = some.groupBy("key").agg(F.min(F.struct("id", "row", "t", "n", "regs")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    reps = shared_table(reps.select("key", "copies", F.monotonically_increasing_id().alias("id"), F.col("r.id").alias("least"), "r.row", "r.t", "r.n", "r.regs"), "classes", scope)
 
     def bands(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -292,7 +308,10 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, scope: str =
     if mixed.limit(1).count():
         more = across(rest, reps, docs, width, percent, scope).distinct().checkpoint()
         last = components(links.unionByName(more))
-    groups = reps.select("key", "id", "copies").join(last, F.col("id") == F.col("node"), "left").select(F.col("key").alias("k"), F.coalesce("component", "id").alias("component"), (F.col("copies") > 1).alias("many"), F.col("component").isNotNull().alias("linked"))
-    groups = groups.filter("many or linked").select("k", "component").checkpoint()
-    out = attach(table.select("doc_id", "id", "n", "key"), groups, F.col("key") == F.col("k"), "left").withColumn("c", F.coalesce("component", "id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c") < LAST, F.col("c")).alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
+    classes = reps.select("key", "id", "copies", F.struct("least", "row", "t").alias("own")).join(last, F.col("id") == F.col("node"), "left").filter("copies > 1 or component is not null").select("key", "component", "own")
+    first = classes.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("own").alias("all")).checkpoint()
+    groups = attach(classes, first, F.col("component") == F.col("c"), "left").select(F.col("key").alias("k"), F.coalesce("all", "own").alias("s")).checkpoint()
+    out = attach(table.select("doc_id", "id", "t", "n", "key", "row"), groups, F.col("key") == F.col("k"), "left").withColumn("least", F.coalesce("s.least", "id"))
+    kept = F.coalesce(F.col("row") == F.col("s.row"), F.lit(True))
+    copy = ~kept & (F.col("id") == F.col("s.least")) & (F.col("t") == F.col("s.t"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("least") < LAST, F.col("least")).alias("component_id"), kept.alias("kept"), "t", copy.alias("copy"))
