@@ -30,3 +30,21 @@ def test_all_ids_count(spark, far, name):
     columns = ", ".join(f'"{c}"' for c in con.sql(sql).columns)
     assert con.sql("select count(*) from got").fetchall() == con.sql(f"select count(*) from ({sql})").fetchall()
     assert con.sql(f"select {columns} from got except all select {columns} from ({sql})").fetchall() == []
+
+
+def test_all_components_are_features(spark):
+    """All 64 components of the vectors are in the matrix; the SQL covers the first six, here all."""
+    at = "/root/testdata/sf0.001"
+    assert queries.vectors(spark, at).select("feature").distinct().count() == 64
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{at}/embeddings.parquet')")
+    sql = queries.oracle_sql()["pearson_pairs"].replace("range(6)", "range(64)")
+    assert "range(64)" in sql
+    con.register("got", queries.queries()["pearson_pairs"](spark, at).toArrow())
+    assert con.sql("select count(*) from got").fetchall() == [(64 * 64,)]
+    assert con.sql(f"select count(*) from got join ({sql}) w using (f1, f2, n) where abs(got.r - w.r) < 2e-6 and abs(got.covariance - w.covariance) < 2e-6").fetchall() == [(64 * 64,)]
+
+
+def test_forest_draws_among_all_components(spark):
+    drawn = {r["split_feature"] for r in queries.queries()["forest_train"](spark, "/root/testdata/sf0.001").collect()} - {None}
+    assert max(int(f[1:]) for f in drawn) >= 12

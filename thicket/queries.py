@@ -239,12 +239,14 @@ def dispersion_by_group(spark, d):
 
 @query("with e as (select vec_id, f, embedding[f + 1]::double as v from embeddings, range(6) t(f)) select 'e' || a.f as f1, 'e' || b.f as f2, count(*) as n, round(corr(a.v, b.v), 6) as r, round(covar_samp(a.v, b.v), 6) as covariance from e a join e b using (vec_id) group by all")
 def pearson_pairs(spark, d):
-    return stats.correlations(vectors(spark, d, 6)).select("f1", "f2", "n", r4("r", 6).alias("r"), r4("covariance", 6).alias("covariance"))
+    return stats.correlations(vectors(spark, d)).select("f1", "f2", "n", r4("r", 6).alias("r"), r4("covariance", 6).alias("covariance"))
 
 
-def vectors(spark: SparkSession, d: str, width: int) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
-    return mx.from_wide(e, "vec_id", [f"e{i}" for i in range(width)])
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All components of the vectors; the longest says how many there are."""
+    e = table(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return mx.from_wide(e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)]), "vec_id", [f"e{i}" for i in range(width)])
 
 
 @query("select round(avg((l_quantity - l_quantity * 1.1) * (l_quantity - l_quantity * 1.1)), 6) as mse, round(avg(abs(l_quantity * 0.1)), 6) as mae, round(corr(l_quantity, l_quantity * 1.1), 6) as r, count(*) as n from lineitem")
@@ -614,12 +616,12 @@ def checkpoints(spark: SparkSession) -> None:
 
 @query()
 def forest_train(spark, d):
-    return forest.fit(vectors(spark, d, 12), SMALL).select("tree_id", "node_id", "depth", "split_feature", "split_value", "is_leaf", "n_samples")
+    return forest.fit(vectors(spark, d), SMALL).select("tree_id", "node_id", "depth", "split_feature", "split_value", "is_leaf", "n_samples")
 
 
 @query()
 def forest_impute(spark, d):
-    m = vectors(spark, d, 12)
+    m = vectors(spark, d)
     seen = m.withColumn("value", F.when((F.col("sample_id") * 7 + F.ascii(F.substring("feature", 2, 1)) * 13) % 10 != 0, F.col("value")))
     nodes = forest.fit(seen.withColumn("value", F.coalesce("value", F.lit(float("nan")))), Parameters(**(SMALL.__dict__ | {"drop": DropMode.NANS})))
     got = predict.predict(nodes, seen, mode=DropMode.NANS)
@@ -629,25 +631,25 @@ def forest_impute(spark, d):
 @query()
 def boost_two_epochs(spark, d):
     p = Parameters(**(SMALL.__dict__ | {"epochs": 2, "epoch_duration": 2, "boost": "additive"}))
-    m = vectors(spark, d, 8)
+    m = vectors(spark, d)
     return stats.errors(m, boost.Boosted(m, p).run().predict())
 
 
 @query()
 def node_check(spark, d):
-    m = vectors(spark, d, 12)
+    m = vectors(spark, d)
     return analytics.checked(forest.fit(m, SMALL), m)
 
 
 @query()
 def split_interactions(spark, d):
-    m = vectors(spark, d, 8)
+    m = vectors(spark, d)
     return analytics.interactions(forest.fit(m, SMALL), m)
 
 
 @query()
 def leaf_weight_solution(spark, d):
-    m = vectors(spark, d, 8)
+    m = vectors(spark, d)
     nodes = forest.fit(m, SMALL)
     feature = nodes.select(F.element_at("features", 1).alias("f")).agg(F.min("f")).first()[0]
     return analytics.leaf_weights(nodes, m, feature)
@@ -655,7 +657,7 @@ def leaf_weight_solution(spark, d):
 
 @query()
 def node_components(spark, d):
-    m = vectors(spark, d, 8)
+    m = vectors(spark, d)
     nodes = forest.fit(m, SMALL)
     names = sorted({f for r in nodes.filter("node_id = 'RT'").select("features").collect() for f in r[0]})
     out = analytics.principal_components(analytics.gain_vectors(nodes, names), names, 2)
