@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import SPACE, shared_table
+from thicket.llm.shared import SPACE, attach, shared_table
 
 #: The grids of the rules: a document fails a rule if the statistic is above its cutoff.
 GRIDS = {
@@ -87,10 +87,10 @@ def cutoffs(labelled: DataFrame, limit: float, error: float, max_strata: int) ->
 
     ``labelled`` holds good documents with ``stratum`` and the rules' statistics.
     ``limit`` bounds the false rejections of all rules together in a stratum, at
-    confidence ``1 - error`` for all strata, rules and cutoffs at once.
+    confidence ``1 - error`` for all strata, rules and cutoffs at once. ``max_strata``
+    is accepted and limits nothing: every stratum is tested.
     """
-    counts = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}_{j}") for r, g in GRIDS.items() for j, c in enumerate(g)])
-    counts = counts.orderBy(F.desc("n"), F.asc_nulls_last("stratum")).limit(max_strata).checkpoint()
+    counts = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}_{j}") for r, g in GRIDS.items() for j, c in enumerate(g)]).checkpoint()
     tests = counts.count() * sum(map(len, GRIDS.values()))
     cases = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"{r}_{j}").alias("k")) for r, g in GRIDS.items() for j, c in enumerate(g)])
     rows = counts.select("stratum", "n", F.explode(cases).alias("x")).select("stratum", "n", "x.*").checkpoint()
@@ -105,9 +105,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept`` and the stratum. ``base_failed`` is a fixed rule: fewer than 50
     words, or more than half of them in repeated 3-word windows. Others are kept unless
-    a statistic is above a learnt cutoff of their stratum. Strata beyond the
-    ``max_strata`` with the most good labels, and strata with too few to prove
-    anything, have no cutoffs and reject nothing more.
+    a statistic is above a learnt cutoff of their stratum. Strata with too few
+    good labels to prove anything have no cutoffs and reject nothing more.
+    ``max_strata`` is accepted and limits nothing.
 
     A document is good if any of its labels has quality 1 and none is toxic. Null text:
     no words. Null stratum: a stratum of its own. Empty labels: only the fixed rule.
@@ -117,7 +117,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     good = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x")).filter("q = 1 and coalesce(x, 0) = 0")
     labelled = stats.filter(~failed).join(good, F.col("doc_id") == F.col("labelled"), "left_semi").withColumn("stratum", F.col(stratum))
     cuts = cutoffs(labelled, limit, error, max_strata)
-    out = stats.join(F.broadcast(cuts), F.col(stratum).eqNullSafe(F.col("stratum")), "left")  # at most max_strata rows
+    out = attach(stats, cuts, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
     above = F.lit(False)
     for r in GRIDS:
         above = above | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
