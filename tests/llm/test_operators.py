@@ -87,9 +87,22 @@ def test_forward_recursion_is_exact():
     assert hmm.forward(better, np.concatenate(seqs), np.array([len(s) for s in seqs])).sum() > before
 
 
+def fresh_ids(text):
+    """Ids by the tokenizer as its file has it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark, docs, none):
     path = tokenizer_path("word_bpe_49k.json")
-    for weights in (None, {"a": 3.0, None: 0.5}):
+    marked = spark.createDataFrame(clash([(50, "a text <|endoftext|> and more", "en", "a"), (51, "x<|startoftext|>y <|ENDOFTEXT|>", "en", None)]), SQL)
+    docs = docs.unionByName(marked)
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r["doc_id"]].append(np.array(fresh_ids(r["text"] or "") + [2], "<u4").tobytes())
+    assert len(texts[50][0]) == 4 * 6
+    for weights in (None, (5, 2, 1), {"a": 3.0, None: 0.5}):
         pieces = packing.pack(docs, path, weights=weights, size=64, with_ids=True).collect()
         windows = collections.defaultdict(list)
         for p in pieces:
@@ -102,30 +115,67 @@ def test_packing(spark, docs, none):
                 at += p["length"]
             assert at == 64 or at & (at - 1) == 0
         assert sorted(windows) == list(range(len(windows)))
-        memo = packing.memo_of(path, "<u2")
-        whole = sorted(len(memo.whole(r["text"] or "")) // 2 + 1 for r in docs.collect())
-        by_doc = collections.Counter()
+        # The pieces of each document, joined, are its ids; documents that share an id are told apart by their length.
+        joined = collections.defaultdict(list)
         for p in pieces:
-            by_doc[p["doc_id"]] += p["length"]
-        assert sum(by_doc.values()) == sum(whole)
-    assert packing.pack(none, path).count() == 0
-
-
-@pytest.mark.parametrize("text", ["a\x1cb", "it's we'll", "x,y", "Σας İ", "<|endoftext|>", "é ́z", "　a b\x85c", "ab. cd! EF? 12"])
+            joined[p["doc_id"], p["doc_tokens"]].append((p["start"], p["ids"]))
+        got = collections.defaultdict(list)
+        for (i, n), own in joined.items():
+            assert sorted(own)[0][0] == 0
+            got[i].append(b"".join(x for _, x in sorted(own)))
+            assert len(got[i][-1]) % (4 * n) == 0
+        assert {i: sorted(map(len, x)) for i, x in got.items() if i != 4} == {i: sorted(map(len, x)) for i, x in texts.items() if i != 4}
+        assert all(sorted(x) == sorted(texts[i]) for i, x in got.items() if i != 4)
+        assert sum(len(x) for x in got[4]) == sum(len(x) for x in texts[4])
+    with pytest.raises(ValueError):
+        packing.pack(docs, path, weights=(0,))
+    assert packing.pack(none, path).count() == 0 and packing.pack(none, path, weights=(5, 2, 1)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a\x1cb", "it's we'll", "x,y", "Σας İ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>, c", "<|ENDOFTEXT|> <| endoftext |>", "é ́z", "　a b\x85c", "ab. cd! EF? 12"])
 def test_short_way_to_ids(text):
     memo = packing.memo_of(tokenizer_path("word_bpe_49k.json"), "<u2")
-    assert memo.short and memo.ids(text) == memo.whole(text)
-
-
-def test_rounds_fill_windows_in_proportion():
-    r = packing.Rounds([1000, 5000, 3, 250], 16)
-    dealt = collections.Counter()
-    for q, n in enumerate(r.lengths):
-        for _, count, window, _ in r.place(q, 0, n):
-            dealt[window, q] += count
-    for w in range(r.windows - 1):
-        assert sum(dealt[w, q] for q in range(4)) == 16
-        assert abs(sum(dealt[v, 1] for v in range(w + 1)) - 16 * (w + 1) * 5000 / r.total) < 4
+    assert memo.short and memo.ids(text) == np.array(fresh_ids(text), "<u2").tobytes()
+
+
+def rounds_one_by_one(lengths, speeds, size):
+    """The plain deficit round-robin, in exact fractions: a row of tokens given before each window."""
+    from fractions import Fraction
+
+    deficit, given, out = [Fraction(0)] * len(lengths), [0] * len(lengths), []
+    for k in range(sum(lengths)):
+        if k % size == 0:
+            out.append(list(given))
+        live = [s for s, n in enumerate(lengths) if given[s] < n]
+        wait, s = min(((Fraction(1, 2) - deficit[s]) / Fraction(speeds[s]), s) for s in live)
+        for t in live:
+            deficit[t] += Fraction(speeds[t]) * wait
+        deficit[s] -= 1
+        given[s] += 1
+    return [*out, list(given)]
+
+
+@pytest.mark.parametrize("lengths, speeds", [([1000, 5000, 3, 250], None), ([700, 90, 400], [5.0, 2.0, 1.0]), ([64, 64, 64, 64], [1.0, 1.0, 1.0, 1.0]), ([1], [0.25]), ([300] * 40, [1.0 + s % 3 for s in range(40)]), ([5, 900], [100.0, 0.125])])
+def test_rounds_equal_those_run_one_by_one(lengths, speeds):
+    speeds = speeds or lengths
+    r = packing.Rounds(lengths, speeds, 16)
+    want = np.array(rounds_one_by_one(lengths, speeds, 16))
+    assert (r.states(np.arange(r.windows + 1)) == want).all()
+    dealt = np.zeros((r.windows, len(lengths)), int)
+    for q, n in enumerate(lengths):
+        at = 0
+        while at < n:  # documents of 7 tokens
+            for token, count, window, _ in r.place(q, at, min(7, n - at)):
+                assert token >= at
+                dealt[window, q] += count
+            at += 7
+    assert (dealt == np.diff(want, axis=0)).all()
+
+
+def test_windows_hold_the_proportions():
+    r = packing.Rounds([10**6, 4 * 10**5, 2 * 10**5], [5.0, 2.0, 1.0], 4096)
+    served = np.diff(r.states(np.arange(r.windows + 1)), axis=0)[:-1]
+    assert abs(served - 4096 * np.array([5, 2, 1]) / 8).max() <= 1
 
 
 def test_quality_rules(spark, docs, labels, none):

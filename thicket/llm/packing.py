@@ -1,13 +1,15 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of its documents' tokens. A window takes from each queue its
-quantum, the window's size times the source's share; what a queue is owed and could
-not be paid in whole tokens it keeps as a deficit for the next window.
-
-Where a queue stands after each stretch of windows follows from the totals alone, so
-any task can start at any stretch with the deficits it has there and run the rounds
-of that stretch: the windows of a document are found where the document is, and only
-totals by task and source are exchanged.
+Each source is a queue of its documents' tokens with a speed, its target share of every
+window. A queue's deficit grows by its speed as the clock runs; at one half the queue
+is served a token and its deficit falls by one. What a queue is owed at the end of a
+window, or has had too early, it carries into the next one. A queue that has run dry
+drops out, and the others go on at their speeds.
+
+A queue's j-th token is thus served at the moment (j + 1/2) / speed, whatever the other
+queues do. So the state before any window, all deficits included, follows by counting,
+and is the one that the rounds reach if they are run one by one from the start. Any
+task can place its own documents: only totals by task and source are exchanged.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from thicket.llm.shared import attach, batches, shared_table
 
-#: Windows whose rounds run from one state that follows from the totals.
-STRETCH = 64
+#: Windows whose states are counted at once, and values that the remembered states may have.
+STRETCH, REMEMBERED = 64, 1 << 22
+#: Sources that may have queues; the table of queues, a row each, goes to the driver and all tasks.
+MOST_QUEUES = 1_000_000
 #: Letters whose lower case depends on the place or is longer; left to the tokenizer.
 SIGMA = frozenset("Σİ")
 
@@ -46,7 +50,6 @@ class TokenMemo(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.kind, self.pieces = self.tokenizer.model, kind, {}
         self.code = {"<u2": "H", "<u4": "I"}[kind]  # of the machine, which is little-endian
         self.visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -105,132 +108,67 @@ def vocabulary_size(path: str) -> int:
 
 
 class Rounds:
-    """The deficit round-robin over queues of known lengths.
+    """The deficit round-robin over queues of known lengths and speeds.
 
-    ``lengths[s]`` tokens of queue s are dealt to windows of ``size`` tokens. At the
-    start of each stretch a queue has given ``lengths * done / total`` tokens, rounded
-    so that all together have given ``done``; in a stretch each round adds a quantum to
-    every deficit and serves the whole tokens, and the tokens still missing go to the
-    largest deficits.
+    Windows of ``size`` tokens are filled one after the other. Of tokens due at the same
+    moment, that of the first queue goes first.
     """
 
-    def __init__(self, lengths: list[int], size: int) -> None:
-        self.lengths, self.size, self.total = [int(x) for x in lengths], size, int(sum(lengths))
+    def __init__(self, lengths: list[int], speeds: list[float], size: int) -> None:
+        self.lengths, self.speeds, self.size = np.array(lengths, np.int64), np.array(speeds, float), size
+        self.total = int(self.lengths.sum())
         self.windows = -(-self.total // size)
-        self.stretch = lru_cache(4096)(self._stretch)
-        self.state = lru_cache(4096)(self._state)
-
-    def _state(self, k: int) -> np.ndarray:
-        """Tokens that each queue has given before stretch k."""
-        done = min(k * STRETCH * self.size, self.total)
-        # Queue s gives its j-th token at the moment (2j + 1) / (2 n): the proportional merge.
-        # The moment at which `done` have been given lies between two integers over a fine grid.
-        grid = 2 * max(self.total, 1) * max(self.lengths, default=1)
-        given = lambda x: [(2 * n * x + grid) // (2 * grid) for n in self.lengths]
-        low, high = 0, grid
-        while low < high:
-            mid = (low + high) // 2
-            if sum(given(mid)) >= done:
-                high = mid
-            else:
-                low = mid + 1
-        upto, before = given(low), given(low - 1) if low else [0] * len(self.lengths)
-        excess = sum(upto) - done
-        for s in range(len(upto) - 1, -1, -1):  # ties: the first queues go first
-            back = min(excess, upto[s] - before[s])
-            upto[s] -= back
-            excess -= back
-        return np.array(upto, np.int64)
-
-    def _stretch(self, k: int) -> np.ndarray:
-        """Tokens that each queue has given before each window of stretch k, and at its end."""
-        start, end = self.state(k), self.state(k + 1)
-        left, first = end - start, k * STRETCH * self.size
-        n = -(-int(left.sum()) // self.size)
-        out = [start]
-        # Deficits in units of 1 / left.sum() of a token, so that all is exact.
-        deficit, whole = np.zeros(len(left), object), int(left.sum())
-        quantum = np.array([int(x) * self.size for x in left], object)
-        have = left.copy()
-        for i in range(n):
-            room = min(self.size, self.total - first - i * self.size)
-            deficit = deficit + quantum
-            serve = np.clip((deficit // whole).astype(np.int64), 0, have)
-            missing = room - int(serve.sum())
-            if missing > 0:
-                order = sorted(range(len(left)), key=lambda s: (serve[s] * whole - deficit[s], s))
-                while missing > 0:
-                    for s in order:
-                        if missing > 0 and have[s] > serve[s]:
-                            serve[s] += 1
-                            missing -= 1
-            while missing < 0:
-                for s in sorted(range(len(left)), key=lambda s: (deficit[s] - serve[s] * whole, -s)):
-                    if missing < 0 and serve[s]:
-                        serve[s] -= 1
-                        missing += 1
-            deficit = deficit - serve.astype(object) * whole
-            have = have - serve
-            out.append(out[-1] + serve)
-        return np.array(out)
+        # The moments at which queues run dry, and the tokens served until then but for rounding.
+        dry = self.lengths / self.speeds
+        order = np.argsort(dry, kind="stable")
+        rate = np.maximum(self.speeds.sum() - np.concatenate([[0.0], np.cumsum(self.speeds[order])[:-1]]), self.speeds[order])
+        self.moments = np.concatenate([[0.0], dry[order]])
+        self.served = np.concatenate([[0.0], np.cumsum(np.diff(self.moments) * rate)])
+        self.stretch = max(1, min(STRETCH, 4096 // max(len(lengths), 1)))
+        self.table = lru_cache(max(16, REMEMBERED // max((self.stretch + 1) * len(lengths), 1)))(self._table)
+
+    def states(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens that each queue has given before each of the windows: a row a window.
+
+        Rounding moves the count at any moment by half a token a queue. So tokens due
+        well before the window's start are counted as they are, and of the few about it
+        those due first fill up to the start.
+        """
+        goal, s = np.minimum(windows * self.size, self.total), len(self.lengths)
+        low, high = (np.interp(goal + d, self.served, self.moments) for d in (-s, s))
+        due = lambda t, more: np.clip(np.floor(self.speeds * t[:, None] * (1 + more * 1e-12) + 0.5).astype(np.int64) + more, 0, self.lengths)
+        base = due(low, -1)
+        count = (due(high, 1) - base).ravel()
+        cell = np.repeat(np.arange(len(count)), count)
+        token = base.ravel()[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+        window, queue = np.divmod(cell, s)
+        order = np.lexsort((queue, (2 * token + 1) / (2 * self.speeds[queue]), window))
+        rank = np.arange(len(cell)) - np.searchsorted(window[order], np.arange(len(goal)))[window[order]]
+        first = cell[order][rank < (goal - base.sum(1))[window[order]]]
+        return base + np.bincount(first, minlength=len(count)).reshape(base.shape)
+
+    def _table(self, k: int) -> np.ndarray:
+        return self.states(np.arange(k * self.stretch, (k + 1) * self.stretch + 1))
 
     def place(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """Where tokens [start, start + length) of a queue go: (token, count, window, offset)."""
-        # The stretch in which the queue gives token `start`: by bisection over the states.
-        low, high = 0, -(-self.windows // STRETCH) - 1
-        while low < high:
-            mid = (low + high + 1) // 2
-            if int(self.state(mid)[queue]) <= start:
-                low = mid
-            else:
-                high = mid - 1
-        k, end = low, start + length
+        moment = (2 * start + 1) / (2 * self.speeds[queue])
+        k = max(0, int(np.interp(moment, self.moments, self.served) - len(self.lengths) - 1) // self.size) // self.stretch
+        end = start + length
         while start < end:
-            table = self.stretch(k)
+            table = self.table(k)
             own = table[:, queue]
             i = int(np.searchsorted(own, start, "right")) - 1
             while start < end and i < len(own) - 1:
                 stop = min(end, int(own[i + 1]))
                 if stop > start:
                     before = int((table[i + 1, :queue] - table[i, :queue]).sum())
-                    yield start, stop - start, k * STRETCH + i, before + start - int(own[i])
+                    yield start, stop - start, k * self.stretch + i, before + start - int(own[i])
                     start = stop
                 i += 1
             k += 1
 
 
-def phases(totals: list[int], weights: list[float] | None, size: int) -> list[list[int]]:
-    """How many tokens each queue gives in each phase.
-
-    Without weights every queue's share is that of its tokens, so all end together.
-    With weights the shares hold until a queue can't fill its quantum any more; what it
-    still has is spread over the next phase, and the others share by weight.
-    """
-    left, out = [int(x) for x in totals], []
-    if weights is None:
-        return [left] if sum(left) else []
-    while sum(left):
-        live = [s for s, n in enumerate(left) if n and weights[s] > 0 and n * sum(weights[t] for t, m in enumerate(left) if m) >= weights[s] * size]
-        if not live:
-            out.append(left)
-            break
-        total = sum(weights[s] for s in live)
-        rounds = max(1, int(min(left[s] * total / (weights[s] * size) for s in live)))
-        give = [0 if s in live else n for s, n in enumerate(left)]
-        room = rounds * size - sum(give)
-        if room <= 0:
-            out.append(left)
-            break
-        for s in live:
-            give[s] = min(left[s], int(room * weights[s] / total))
-        for s in live * 2:  # to whole windows
-            more = min(left[s] - give[s], rounds * size - sum(give))
-            give[s] += max(0, more if s == live[-1] else min(more, 1))
-        left = [a - b for a, b in zip(left, give, strict=True)]
-        out.append(give)
-    return out
-
-
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, scope: str = "") -> DataFrame:
     """A shared table ``doc_id, source, n, ids, task, start``.
 
@@ -255,7 +193,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, scope: str = "") ->
     return shared_table(out, "pack-tokens", scope)
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | None = None, size: int = 4096, end_id: int = 2, max_queues: int = 1000, scope: str = "", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | tuple[float, ...] | None = None, size: int = 4096, end_id: int = 2, scope: str = "", with_ids: bool = False) -> DataFrame:
     """Pack all tokens of all documents into sequences of at most ``size`` tokens.
 
     Returns one row a piece: ``doc_id, start, length, ids_crc32, doc_tokens,
@@ -263,63 +201,62 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | Non
     ``with_ids``. Every sequence has ``size`` tokens but those that hold the last
     window's remainder, which is split at powers of two, so nothing is padded.
 
-    ``weights`` sets the target shares by source (missing: 1); None means each source's
-    share of all tokens, which fills every window alike to the end. The ``max_queues``
-    largest sources have queues of their own; all others share one.
+    ``weights`` sets the target proportions of every window: by source (missing: 1), or
+    dealt to the sources by code point, null last, over and over. They hold among the
+    sources that have tokens left. None means each source's share of all tokens, which
+    holds to the end. Each source has a queue of its own; there may be MOST_QUEUES.
 
-    Null text: the end id alone. Null source: a queue of its own. Repeated rows are
-    documents of their own. An empty table gives an empty result.
+    Null text: the end id alone. Very long texts are cut like all others; one text's
+    ids are in memory at once. Null source: a queue of its own. Null doc_id stays null.
+    Repeated rows are documents of their own. Other columns are ignored. An empty table
+    gives an empty result.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     spark = docs.sparkSession
     table = tokenized(docs, tokenizer, end_id, scope)
     by_task = table.groupBy("source", "task").agg(F.sum("n").alias("n")).checkpoint()
-    big = by_task.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(max_queues).select(F.col("source").alias("s"), F.monotonically_increasing_id().alias("queue"))
-    names = [r["s"] for r in big.orderBy("queue").collect()]  # at most max_queues
-    queues = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "s string, queue int")
-    placed = by_task.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-    order = Window.partitionBy("queue").orderBy("task", F.asc_nulls_last("source"))
-    bases = placed.withColumn("base", F.sum("n").over(order) - F.col("n")).select(F.col("source").alias("s"), F.col("task").alias("t"), "queue", "base", "n").checkpoint()
-    sums = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues + 1
-    totals = [sums.get(i, 0) for i in range(len(names) + 1)]
-    shares = None if weights is None else [float(weights.get(s, 1)) for s in names] + [1.0]
-    plan = [[int(x) for x in p] for p in phases(totals, shares, size)]
-    ready = attach(table, bases.select("s", "t", "queue", "base"), F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
+    sums = {r["source"]: r["n"] for r in by_task.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_QUEUES + 1).collect()}  # a row a source, MOST_QUEUES at most
+    if len(sums) > MOST_QUEUES:
+        raise ValueError(f"more than {MOST_QUEUES} sources")
+    names = sorted(sums, key=lambda s: (s is None, (s or "").encode()))
+    totals = [sums[s] for s in names]
+    speeds = totals if weights is None else [float(weights.get(s, 1)) for s in names] if isinstance(weights, dict) else [float(weights[i % len(weights)]) for i in range(len(names))]
+    if min(speeds, default=1) <= 0:
+        raise ValueError("weights must be positive")
+    queues = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "s string, queue int")
+    placed = attach(by_task, queues, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    order = Window.partitionBy("queue").orderBy("task")  # a row a task
+    bases = placed.withColumn("base", F.sum("n").over(order) - F.col("n")).select(F.col("source").alias("s"), F.col("task").alias("t"), "queue", "base").checkpoint()
+    ready = attach(table, bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
     width = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     types = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string())]
     schema = pa.schema([*types, *([("ids", pa.binary())] if with_ids else [])])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        rounds = [Rounds(p, size) for p in plan]
-        firsts = np.cumsum([0, *[r.windows for r in rounds]])
-        given = np.cumsum([[0] * len(totals), *plan], axis=0) if plan else np.zeros((1, len(totals)), np.int64)
+        rounds = Rounds(totals, speeds, size)
         for batch in parts:
             for doc_id, source, n, ids, queue, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = np.frombuffer(ids, width).astype("<u4")
-                for p, r in enumerate(rounds):
-                    a, b = max(base, given[p][queue]), min(base + n, given[p + 1][queue])
-                    if a >= b:
-                        continue
-                    for token, count, window, offset in r.place(queue, int(a - given[p][queue]), int(b - a)):
-                        begin = int(token + given[p][queue] - base)
-                        for sequence, at, length in tail(r, int(firsts[p]) + window, window, offset, count):
-                            piece = values[begin : begin + length].tobytes()
-                            yield doc_id, begin, length, zlib.crc32(piece), n, sequence, at, source, *([piece] if with_ids else [])
-                            begin += length
-
-    def tail(r: Rounds, sequence: int, window: int, offset: int, count: int) -> Iterator[tuple[int, int, int]]:
+                for token, count, window, offset in rounds.place(queue, base, n):
+                    begin = token - base
+                    for sequence, at, length in tail(rounds, window, offset, count):
+                        piece = values[begin : begin + length].tobytes()
+                        yield doc_id, begin, length, zlib.crc32(piece), n, sequence, at, source, *([piece] if with_ids else [])
+                        begin += length
+
+    def tail(r: Rounds, window: int, offset: int, count: int) -> Iterator[tuple[int, int, int]]:
         """(sequence, offset, length): a window that isn't full is cut into sequences at powers of two."""
         room = r.total - window * r.size
         if room >= r.size:
-            yield sequence, offset, count
+            yield window, offset, count
             return
         at, j = 0, 0
         for bit in range(r.size.bit_length(), -1, -1):
             if room >> bit & 1:
                 a, b = max(offset, at), min(offset + count, at + (1 << bit))
                 if a < b:
-                    yield sequence + j, a - at, b - a  # only the very last window is short
+                    yield window + j, a - at, b - a  # only the very last window is short
                 at += 1 << bit
                 j += 1
 
@@ -327,4 +264,4 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | Non
     return ready.select("doc_id", "source", "n", "ids", "queue", F.col("base") + F.col("start")).mapInArrow(lambda parts: batches(rows(parts), schema), names_sql)
 
 
-__all__ = ["Rounds", "TokenMemo", "pack", "phases", "tokenized"]
+__all__ = ["Rounds", "TokenMemo", "pack", "tokenized"]
