@@ -2,20 +2,17 @@
 
 from thicket.llm import quality_rules
 
-RULES = "stratum string, symbol_ratio double, dup_line_ratio double, repeat_ratio double, mean_word_chars double"
 
-
-def test_every_stratum_has_cutoffs(spark):
-    rows = [(s, 0.0, 0.0, 0.0, 5.0) for s in ("a", "b", None) for _ in range(4000)]
-    got = quality_rules.cutoffs(spark.createDataFrame(rows, RULES), 0.02, 0.05, 1).collect()
-    assert {r["stratum"] for r in got} == {"a", "b", None}
-    assert all(r["cut_symbol_ratio"] is not None for r in got)
+def test_every_stratum_takes_its_steps(spark):
+    rows = [(s, None) for s in [*map(str, range(1200)), None] for _ in range(550)]
+    got = quality_rules.furthest(spark.createDataFrame(rows, "stratum string, step int"), 3, 0.02, 0.05)
+    assert got.filter("taken = 3").count() == 1201
 
 
 def test_every_stratum_is_judged(spark):
     good = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, good, ("a", None)[i % 2]) for i in range(8000)] + [(9000 + i, good + " #" * 30, ("a", None)[i % 2]) for i in range(2)]
+    rows = [(i, good, ("a", None)[i % 2]) for i in range(800)] + [(9000 + i, good + " #" * 30, ("a", None)[i % 2]) for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = docs.filter("doc_id < 8000").selectExpr("doc_id", "1 as quality", "0 as toxic")
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, labels, max_strata=1).collect()}
+    labels = docs.filter("doc_id < 800").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, labels).collect()}
     assert got[0] and got[1] and not got[9000] and not got[9001]

@@ -202,12 +202,35 @@ def test_binomial_tail(spark):
         assert abs(r["p"] - want) < 1e-9
 
 
-def test_cutoffs_hold_their_limit(spark):
-    rows = [("x", 0.6 if i < 10 else 0.0, 0.0, 0.0, 5.0) for i in range(8000)]
-    cuts = quality_rules.cutoffs(spark.createDataFrame(rows, "stratum string, symbol_ratio double, dup_line_ratio double, repeat_ratio double, mean_word_chars double"), 0.02, 0.05, 10).first()
-    assert cuts["cut_symbol_ratio"] == 0.02 and cuts["cut_repeat_ratio"] == 0.02
-    few = quality_rules.cutoffs(spark.createDataFrame(rows[:100], "stratum string, symbol_ratio double, dup_line_ratio double, repeat_ratio double, mean_word_chars double"), 0.02, 0.05, 10)
-    assert few.count() == 0
+def test_steps_hold_their_limit(spark):
+    def taken(n, rejected, strata=1):
+        rows = [(f"s{s}", (3 if i < rejected else None)) for s in range(strata) for i in range(n)]
+        return {r["taken"] for r in quality_rules.furthest(spark.createDataFrame(rows, "stratum string, step int"), 5, 0.02, 0.05).collect()}
+
+    # 0.98 ** 149 is below 0.05 first; with 4 strata 0.98 ** 217 is below 0.0125 first.
+    assert taken(148, 0) == {0} and taken(149, 0) == {5} and taken(216, 0, 4) == {0} and taken(217, 0, 4) == {5}
+    term = lambda i: math.exp(math.lgamma(4001) - math.lgamma(i + 1) - math.lgamma(4001 - i) + i * math.log(0.02) + (4000 - i) * math.log(0.98))
+    most = max(k for k in range(80) if sum(map(term, range(k + 1))) <= 0.05)
+    assert taken(4000, most) == {5} and taken(4000, most + 1) == {2}
+
+
+def test_false_rejections_stay_below_the_limit(spark):
+    """Samples whose good documents are rejected at just above the limit: few of them pass that step."""
+    rng = np.random.default_rng(8)
+    rows = [(str(s), 1 if x else None) for s in range(300) for x in rng.random(600) < 0.021]
+    got = quality_rules.furthest(spark.createDataFrame(rows, "stratum string, step int"), 1, 0.02, 0.05 * 300)
+    assert got.filter("taken > 0").count() <= 25  # 300 strata at 0.05 each: 15 expected at most
+
+
+def test_rules_reject_what_good_documents_never_have(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, good, "en") for i in range(300)] + [(1000 + i, good + " #" * 30, "en") for i in range(40)] + [(2000 + i, good, "de") for i in range(100)] + [(3000, good + " #" * 30, "de"), (3001, good + " #" * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = docs.filter("doc_id < 3000").select("doc_id", (F.col("doc_id") % 2000 < 1000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, lab).collect()}
+    # 300 good labels prove a cutoff in "en"; 100 don't in "de", and the null stratum has none.
+    assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(40)) and got[3000] and got[3001]
+    assert quality_rules.path(docs.limit(0).select("doc_id", *[F.lit(0.0).alias(r) for r in quality_rules.GRIDS]))[:4] == [(r, g[-1]) for r, g in quality_rules.GRIDS.items()]
 
 
 def test_ordinal_regression(spark, docs, labels, none):

@@ -1,9 +1,15 @@
 """Quality rules whose cutoffs come with a guarantee, in DataFrame functions only.
 
-Each rule compares a statistic of the text with a cutoff. Labelled documents tell
-how many good ones each cutoff on a grid would reject; a cutoff may be used if the
-exact binomial test rejects a false rejection rate above its limit, at a level
-divided by all tests made (Bonferroni). The strictest such cutoff holds.
+Each rule compares a statistic of the text with a cutoff from a grid. A path leads from
+no cutoff to the strictest of all rules, one cutoff of one rule a step; the labelled
+documents of low quality choose its order, so that what catches most of them comes
+first. The labelled good documents, which the path has not seen, then judge it: a step
+may be taken if the exact binomial test rejects that all rules so far together reject
+more good documents than the limit. Each stratum goes along the path until its first
+step that fails. As that order is fixed beforehand, every step is tested at the whole
+level of its stratum (fixed-sequence testing), and the level is divided by the strata
+(Bonferroni): with the stated confidence no stratum's false rejections are above the
+limit.
 """
 
 from __future__ import annotations
@@ -82,43 +88,97 @@ def rule_columns(d: DataFrame) -> DataFrame:
     return d.withColumns({"symbol_ratio": per("n_symbols", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words")})
 
 
-def cutoffs(labelled: DataFrame, limit: float, error: float, max_strata: int) -> DataFrame:
-    """``stratum, <rule>...``: the strictest safe cutoff of each rule, null where none is.
+def path(poor: DataFrame) -> list[tuple[str, float]]:
+    """All (rule, cutoff) steps, from loose to strict within each rule: those first that lead
+    to the cutoff that catches most of ``poor`` beyond the one before it."""
+    sums = poor.agg(*[F.coalesce(F.sum((F.col(r) > c).cast("long")), F.lit(0)).alias(f"{r}_{j}") for r, g in GRIDS.items() for j, c in enumerate(g)]).first()  # a number a step
+    steps = []
+    for i, (r, grid) in enumerate(GRIDS.items()):
+        caught = [sums[f"{r}_{j}"] for j in range(len(grid))][::-1]
+        more = [b - a for a, b in zip([0, *caught], caught, strict=False)]
+        steps += [(-max(more[j:]), j, i, r, c) for j, c in enumerate(reversed(grid))]
+    return [(r, c) for _, _, _, r, c in sorted(steps)]
 
-    ``labelled`` holds good documents with ``stratum`` and the rules' statistics.
-    ``limit`` bounds the false rejections of all rules together in a stratum, at
-    confidence ``1 - error`` for all strata, rules and cutoffs at once. ``max_strata``
-    is accepted and limits nothing: every stratum is tested.
-    """
-    counts = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col(r) > c, 1).otherwise(0)).alias(f"{r}_{j}") for r, g in GRIDS.items() for j, c in enumerate(g)]).checkpoint()
-    tests = counts.count() * sum(map(len, GRIDS.values()))
-    cases = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"{r}_{j}").alias("k")) for r, g in GRIDS.items() for j, c in enumerate(g)])
-    rows = counts.select("stratum", "n", F.explode(cases).alias("x")).select("stratum", "n", "x.*").checkpoint()
-    safe = binomial_tail(F.col("k"), F.col("n"), limit / len(GRIDS)) <= error / max(tests, 1)
-    rows = rows.withColumn("safe", safe).filter("safe")
-    return rows.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in GRIDS]).checkpoint()
+
+def first_step(steps: list[tuple[str, float]]) -> Column:
+    """The first step, from 1, that rejects a document; null if none does."""
+    return F.least(*[F.when(F.col(r) > c, i + 1) for i, (r, c) in enumerate(steps)])
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.02, error: float = 0.05, max_strata: int = 1000, scope: str = "") -> DataFrame:
+def furthest(good: DataFrame, steps: int, limit: float, error: float) -> DataFrame:
+    """``stratum, taken``: how many steps each stratum may take.
+
+    ``good`` has one row a good document: ``stratum``, and ``step``, the first one that
+    rejects it or null. ``limit`` bounds the share of good documents that a stratum
+    rejects, at confidence ``1 - error`` for all strata at once.
+    """
+    counts = good.groupBy("stratum", F.coalesce("step", F.lit(steps + 1)).alias("step")).agg(F.count(F.lit(1)).alias("k")).checkpoint()
+    sizes = counts.groupBy("stratum").agg(F.sum("k").alias("n"), F.collect_list(F.struct("step", "k")).alias("at"))  # at most a pair a step
+    strata = max(sizes.count(), 1)
+    # Steps between those that reject a document add nothing: all of them pass or fail as the one before.
+    each = sizes.select("stratum", "n", "at", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    rejected = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["step"] <= F.col("step"), x["k"]).otherwise(0))
+    each = each.select("stratum", "n", "step", rejected.alias("k")).checkpoint()
+    safe = binomial_tail(F.col("k"), F.col("n"), limit) <= F.lit(error / strata)
+    return each.groupBy("stratum").agg((F.coalesce(F.min(F.when(~safe, F.col("step"))), F.lit(steps + 1)) - 1).alias("taken")).checkpoint()
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.02, error: float = 0.05, scope: str = "") -> DataFrame:
     """Score all documents and keep those that pass.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept`` and the stratum. ``base_failed`` is a fixed rule: fewer than 50
     words, or more than half of them in repeated 3-word windows. Others are kept unless
-    a statistic is above a learnt cutoff of their stratum. Strata with too few
-    good labels to prove anything have no cutoffs and reject nothing more.
-    ``max_strata`` is accepted and limits nothing.
-
-    A document is good if any of its labels has quality 1 and none is toxic. Null text:
-    no words. Null stratum: a stratum of its own. Empty labels: only the fixed rule.
+    a step that their stratum takes rejects them. The guarantee holds for good documents
+    that pass the fixed rule. A stratum needs ``ln(error / strata) / ln(1 - limit)`` good
+    labels (217 for four strata) to prove anything; with fewer it rejects nothing more.
+
+    A document is good if all its labels have quality 1 and none is toxic, and of low
+    quality if any label has a quality below 1. Null labels don't count. Rows that
+    repeat a doc_id are judged each, and are one labelled document. Null text: no words.
+    Very long texts are read whole. Null stratum: a stratum of its own. Null doc_id: has
+    no label. Empty labels: only the fixed rule. An empty table gives an empty result.
     """
     stats = shared_table(rule_columns(statistics(docs, [stratum] if stratum != "doc_id" else [])), "rules", scope)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x")).filter("q = 1 and coalesce(x, 0) = 0")
-    labelled = stats.filter(~failed).join(good, F.col("doc_id") == F.col("labelled"), "left_semi").withColumn("stratum", F.col(stratum))
-    cuts = cutoffs(labelled, limit, error, max_strata)
-    out = attach(stats, cuts, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
-    above = F.lit(False)
-    for r in GRIDS:
-        above = above | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
+    marks = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
+    known = stats.filter(~failed).join(marks, F.col("doc_id") == F.col("labelled")).withColumn("stratum", F.col(stratum))
+    steps = path(known.filter("q < 1"))
+    good = known.filter("q >= 1 and coalesce(x, 0) = 0").groupBy("doc_id", "stratum").agg(F.min(first_step(steps)).alias("step"))
+    out = attach(stats, furthest(good, len(steps), limit, error), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    above = F.coalesce(first_step(steps) <= F.col("taken"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~above).alias("kept"), F.col(stratum).alias("stratum_value"))
+
+
+def sql(limit: float = 0.02, error: float = 0.05) -> str:
+    """DuckDB SQL for ``judge(documents, labels)``."""
+    grid = ", ".join(f"({i}, '{r}', {j}, {c!r}::double)" for i, (r, g) in enumerate(GRIDS.items()) for j, c in enumerate(reversed(g)))
+    space = SPACE
+    return f"""
+with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
+w as (select rid, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select rid, regexp_extract_all(t, '[^{space}]+') as ws from d)),
+g as (select rid, i, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o as gram from w window o as (partition by rid order by i)),
+f as (select rid, i from (select rid, i, count(*) over (partition by rid, gram) as c from g where gram is not null) where c > 1),
+r as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from f) group by rid),
+s as (select d.rid, doc_id, lang, len(regexp_extract_all(t, '[^{space}]+')) as n_words, length(regexp_replace(t, '[{space}]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) as ls, coalesce(r.n, 0) as n_repeat_words from d left join r using (rid)),
+st as (select *, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s),
+v as (select *, case when n_words > 0 then n_symbols / n_words::double else 0 end as symbol_ratio, case when n_lines > 0 then n_dup_lines / n_lines::double else 0 end as dup_line_ratio,
+  case when n_words > 0 then n_repeat_words / n_words::double else 0 end as repeat_ratio, case when n_words > 0 then word_chars / n_words::double else 0 end as mean_word_chars from st),
+m as (select doc_id, min(quality) as q, max(toxic) as x from labels where doc_id is not null group by doc_id),
+grid(i, rule, j, cut) as (values {grid}),
+u as (select rid, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'mean_word_chars']) as rule, unnest([symbol_ratio, dup_line_ratio, repeat_ratio, mean_word_chars]) as x from v),
+b as (select i, rule, j, cut, (select count(*) from u join v using (rid) join m using (doc_id) where not base_failed and m.q < 1 and u.rule = grid.rule and u.x > grid.cut) as caught from grid),
+e as (select *, caught - coalesce(lag(caught) over (partition by rule order by j), 0) as more from b),
+k as (select *, max(more) over (partition by rule order by j rows between current row and unbounded following) as key from e),
+p as (select rule, cut, row_number() over (order by key desc, j, i) as step from k),
+h as (select u.rid, min(step) as step from u join p on u.rule = p.rule and u.x > p.cut group by u.rid),
+gd as (select doc_id, lang, min(h.step) as step from v join m using (doc_id) left join h using (rid) where not base_failed and m.q >= 1 and coalesce(m.x, 0) = 0 group by doc_id, lang),
+n as (select lang, count(*) as n from gd group by lang),
+c as (select n.lang, n.n, p.step, (select count(*) from gd where gd.lang is not distinct from n.lang and gd.step <= p.step) as k from n, p),
+z as (select lang, step, case when k >= n * {limit} then 1 else list_sum(list_transform(range(0, k + 1), lambda a: exp(lgamma(n + 1) - lgamma(a + 1) - lgamma(n - a + 1) + a * ln({limit}) + (n - a) * ln(1 - {limit})))) end as tail from c),
+y as (select lang, coalesce(min(case when tail > {error}::double / (select count(*) from n) then step end), {1 + sum(map(len, GRIDS.values()))}) - 1 as taken from z group by lang)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and not coalesce(h.step <= y.taken, false) as kept, v.lang as stratum_value
+from v left join h using (rid) left join y on v.lang is not distinct from y.lang
+"""

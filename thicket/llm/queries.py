@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_preference": preference.SQL}
+    return {"op3_risk_rules": quality_rules.sql(), "op6_preference": preference.SQL}
