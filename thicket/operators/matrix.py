@@ -42,12 +42,17 @@ def cell(matrix: DataFrame, feature: str, sample) -> DataFrame:
     return matrix.filter((F.col("feature") == feature) & (F.col("sample_id") == sample)).select("value")
 
 
-def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Add, subtract or multiply two matrices cell by cell; absent cells count 0."""
+def combined(a: DataFrame, b: DataFrame, how: Sequence[str]) -> DataFrame:
+    """``sample_id, feature`` and a column for each of ``how`` (add, subtract, multiply), cell by cell in one join; absent cells count 0."""
     x, y = a.select("sample_id", "feature", F.col("value").alias("x")), b.select("sample_id", "feature", F.col("value").alias("y"))
     u, v = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    value = {"add": u + v, "subtract": u - v, "multiply": u * v}[how]
-    return x.join(y, ["sample_id", "feature"], "full").select("sample_id", "feature", value.alias("value"))
+    values = {"add": u + v, "subtract": u - v, "multiply": u * v}
+    return x.join(y, ["sample_id", "feature"], "full").select("sample_id", "feature", *[values[h].alias(h) for h in how])
+
+
+def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """One of ``combined`` as a matrix."""
+    return combined(a, b, [how]).withColumnRenamed(how, "value")
 
 
 def absolute(a: DataFrame) -> DataFrame:

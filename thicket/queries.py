@@ -91,7 +91,7 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
 
 
 NM = """nm as (select node, sample_id, feature, value from (select c_nationkey as node, c_custkey as sample_id, unnest(['a', 'b']) as feature,
-  unnest([case when c_custkey % 11 <> 0 then c_acctbal end, case when c_custkey % 13 <> 0 then ((c_custkey * 7919) % 1009) / 8.0 - 60 end]) as value from customer where c_custkey <= 3000)),
+  unnest([case when c_custkey % 11 <> 0 then c_acctbal end, case when c_custkey % 13 <> 0 then ((c_custkey * 7919) % 1009) / 8.0 - 60 end]) as value from customer)),
 dr as (select node, feature as split_feature, sample_id, value as split_value, row_number() over (partition by node, feature order by value, sample_id) - 1 as k,
   count(*) over (partition by node, feature) as n from nm where value is not null),
 al as (select dr.*, nm.feature, nm.value from dr join nm using (node, sample_id) where n >= 6)"""
@@ -204,12 +204,11 @@ def fetch_cell(spark, d):
     return mx.cell(lines(spark, d), "tax", first)
 
 
-@query(f"with {M} select a.sample_id, a.feature, a.value - b.value as difference, a.value * b.value as product, a.value + b.value as total from m a join (select sample_id, feature, value * 0.5 as value from m) b using (sample_id, feature)")
+@query(f"with {M} select sample_id, feature, value - value * 0.5 as difference, value * (value * 0.5) as product, value + value * 0.5 as total from m")
 def matrix_arithmetic(spark, d):
     a = lines(spark, d)
-    b = a.withColumn("value", F.col("value") * 0.5)
-    out = mx.combine(a, b, "subtract").withColumnRenamed("value", "difference").join(mx.combine(a, b, "multiply").withColumnRenamed("value", "product"), ["sample_id", "feature"]).join(mx.combine(a, b, "add").withColumnRenamed("value", "total"), ["sample_id", "feature"])
-    return out.select("sample_id", "feature", "difference", "product", "total")
+    got = mx.combined(a, a.withColumn("value", F.col("value") * 0.5), ["subtract", "multiply", "add"])
+    return got.select("sample_id", "feature", F.col("subtract").alias("difference"), F.col("multiply").alias("product"), F.col("add").alias("total"))
 
 
 @query("select c_custkey as sample_id, abs(c_acctbal) as magnitude, round(c_acctbal * c_acctbal, 2) as square from customer")
@@ -237,7 +236,7 @@ def dispersion_by_group(spark, d):
     return s.select("l_returnflag", "feature", *[F.col(c).cast("float").alias(c) for c in ("var_pop", "var_samp", "mean", "l2")], r4("cov", 6).alias("cov"))
 
 
-@query("with e as (select vec_id, f, embedding[f + 1]::double as v from embeddings, range(6) t(f)) select 'e' || a.f as f1, 'e' || b.f as f2, count(*) as n, round(corr(a.v, b.v), 6) as r, round(covar_samp(a.v, b.v), 6) as covariance from e a join e b using (vec_id) group by all")
+@query("with e as (select vec_id, f, embedding[f + 1]::double as v from embeddings, range(64) t(f)) select 'e' || a.f as f1, 'e' || b.f as f2, count(*) as n, round(corr(a.v, b.v), 6) as r, round(covar_samp(a.v, b.v), 6) as covariance from e a join e b using (vec_id) group by all")
 def pearson_pairs(spark, d):
     return stats.correlations(vectors(spark, d)).select("f1", "f2", "n", r4("r", 6).alias("r"), r4("covariance", 6).alias("covariance"))
 
@@ -302,7 +301,7 @@ for _mode, (_b, _o) in {"mad": ("mb", "mo"), "variance": ("vb", "vo")}.items():
         QUERIES[f"split_scores_{_mode}_{_norm}"] = _scores(_mode, _norm)
         SQL[f"split_scores_{_mode}_{_norm}"] = f"with {NMS}, {score_sql(_b, _o, _norm)} select node, split_feature, k, round(score * {UNEVEN}, 3) as score from ss where k between 3 and n - 3"
 
-SIZES = "sz as (select c_nationkey as node, count(*) as samples from customer where c_custkey <= 3000 group by 1)"
+SIZES = "sz as (select c_nationkey as node, count(*) as samples from customer group by 1)"
 CUTS = f"with {NMS}, {score_sql('mb', 'mo', 'l1')}, {SIZES}, bc as (select node, split_feature, arg_min({{k: k, v: split_value, n: n, s: score}}, {{s: score, k: -k}}) as b from ss where k between 3 and n - 3 group by 1, 2), ct as (select node, split_feature, b.k as k, b.v as split_value, b.s * (samples - b.n + 1) as score from bc join sz using (node))"
 
 
@@ -532,7 +531,7 @@ def forest_roundtrip(spark, d):
 # Names, parameters, sampling ------------------------------------------------------------
 
 
-@query("select p_partkey as pos, p_brand || case when r > 0 then cast(r as varchar) || '_' else '_' end as name from (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as r from part where p_partkey <= 200)")
+@query("select p_partkey as pos, p_brand || case when r > 0 then cast(r as varchar) || '_' else '_' end as name from (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as r from part)")
 def header_dedupe(spark, d):
     names = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.col("p_brand"), F.lit("-")).alias("name"))
     out = text.unique_names(names)
