@@ -313,27 +313,84 @@ def removed(rows):
     return out
 
 
+def rows_of(df):
+    return sorted(str(tuple(r)) for r in df.collect())
+
+
 def test_fingerprint_index(spark, docs, none, monkeypatch):
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0))
-    got = fingerprint_index.deduplicated(docs)
-    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, removed(rows)))
+    assert rows_of(fingerprint_index.deduplicated(docs)) == sorted(str(x) for x in removed(rows))
     assert fingerprint_index.deduplicated(none).count() == 0
     monkeypatch.setattr(fingerprint_index, "FANOUT", 2)
-    index = fingerprint_index.FingerprintIndex(spark, bits=4)
+    index = fingerprint_index.FingerprintIndex(spark)
     out = []
     for k in range(3):
-        out += index.add(docs.filter(f"doc_id between {5 * k} and {5 * k + 4}")).collect()
-    assert [level for level, _ in index.runs] == [0, 1] or [level for level, _ in index.runs] == [1, 0]
-    assert sorted(map(str, map(tuple, out))) == sorted(map(str, removed([r for r in rows if r[0] is not None])))
+        out += rows_of(index.add(docs.filter(f"doc_id between {5 * k} and {5 * k + 4}")))
+    assert sorted(x[0] for x in index.runs) == [0, 1]
+    assert sorted(out) == sorted(str(x) for x in removed([r for r in rows if r[0] is not None]))
+
+
+def test_index_of_batches_holds_every_window(spark, monkeypatch):
+    """Passages that many documents share, an id far from all others, rows that share ids, null ids: by batches that are compacted, whatever the layout."""
+    monkeypatch.setattr("thicket.llm.ordered.STRETCH_BYTES", 500)
+    monkeypatch.setattr("thicket.llm.ordered.STRETCHES", 64)
+    monkeypatch.setattr(fingerprint_index, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(fingerprint_index, "ROW_HASHES", 1)
+    rng = np.random.default_rng(7)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(6)]
+    rows = []
+    for i in range(120):
+        bits = [" ".join(f"d{i}x{j}" for j in range(int(rng.integers(0, 30))))]
+        bits += [passages[int(k)] for k in rng.integers(0, 6, int(rng.integers(0, 3)))]
+        rows.append((i if i < 118 else 1 << 61, " ".join(bits)))
+    rows += [(1 << 61, passages[0]), (None, passages[1] + " tail"), (None, None), (None, passages[1] + " tail")]
+    # Rows that share an id are in the input's order, so those rows stay in one partition.
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(str(x) for x in removed(rows))
+    got, index = fingerprint_index.indexed(d, 20, (0.0625, 0.125, 0.1875, 0.25))
+    assert rows_of(got) == want
+    assert sorted(x[0] for x in index.runs) == [0, 1]  # four runs of level 0 were compacted
+    windows = {tuple(w[k : k + 20]) for _, t in rows for w in [(t or "").split()] for k in range(len(w) - 19)}
+    held = sum(len(fingerprint_index.decode(r["data"], index.check)[0]) for _, run, _ in index.runs for r in run.collect())
+    assert held == len(windows)
+    single = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] < 118], "doc_id long, text string")
+    assert rows_of(fingerprint_index.deduplicated(single.repartition(5))) == sorted(str(x) for x in removed(rows[:118]))
+
+
+def test_rows_of_hashes_grow_with_the_text(monkeypatch):
+    """A block's rows hold ROW_HASHES hashes on average at least, however many ranges there are."""
+    monkeypatch.setattr(fingerprint_index, "BLOCK_WORDS", 1000)
+    for bits in (4, 8, 10):
+        import pyarrow as pa
+
+        texts = [" ".join(f"{i}-{j}" for j in range(500)) for i in range(400)]
+        batch = pa.RecordBatch.from_pydict({"id": list(range(400)), "text": [t.encode() for t in texts]})
+        n = sum(1 for _ in fingerprint_index.blocks_of(20, bits, 1, np.array([0]), fingerprint_index.WordHash(3))(iter([batch])))
+        assert n <= 400 * 500 / 60 + (1 << bits)
 
 
 def test_hash_codec():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 1000):
-        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        c = rng.integers(0, 256, len(h)).astype(np.uint8)
-        a, b = fingerprint_index.decode(fingerprint_index.encode(h, c))
-        assert (a == h).all() and (b == c).all()
+        for check in (1, 3, 8):
+            h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            c = rng.integers(0, 1 << 63, len(h)).astype(np.uint64) % np.uint64(min(1 << 8 * check, (1 << 64) - 1))
+            a, b = fingerprint_index.decode(fingerprint_index.encode(h, c, check), check)
+            assert (a == h).all() and (b == c).all()
+    assert [fingerprint_index.check_bytes(n) for n in (0, 10**9, 6 * 10**10, 10**14)] == [1, 1, 3, 6]
+
+
+def test_equal_hashes_are_verified():
+    """A hash that stands in a run with another check value is no repeat."""
+    import pyarrow as pa
+
+    h = np.array([5, 9], np.uint64)
+    run = (0, None, None, None, None, fingerprint_index.encode(h, np.array([1, 2], np.uint64), 1))
+    own = (0, 0, 0, 0, 1, fingerprint_index.encode(h, np.array([1, 3], np.uint64), 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(run, own, strict=True)], names=list("abcdef"))
+    bits, new = fingerprint_index.merge_join(iter([batch]), 1)
+    assert np.unpackbits(np.frombuffer(bits[-1], np.uint8), count=2).tolist() == [1, 0]
+    assert fingerprint_index.decode(new[-1], 1)[0].tolist() == [9]
 
 
 def test_prefix_hashes(spark, docs, none):

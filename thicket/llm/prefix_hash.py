@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.ordered import LAST, in_order
+from thicket.llm.ordered import LAST, in_order, whole_parts
 from thicket.llm.shared import batches, mix
 
 #: Two primes below 2**31: products of residues fit 64 bits, and a pair tells 2**62 spans apart.
@@ -166,7 +166,8 @@ def fingerprints(docs: DataFrame, scope: str = "") -> DataFrame:
     their first documents.
     """
     spark = docs.sparkSession
-    rows, parts = in_order(docs, scope)
+    rows, stretches = in_order(docs, scope)
+    parts = whole_parts(stretches)
     types = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix", pa.int64())]
     schema = pa.schema(types)
     sql = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"

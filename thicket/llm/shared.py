@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -39,8 +40,8 @@ def shared_root(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str, scope: str = "", part: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def stored(df: DataFrame, name: str, scope: str = "", part: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared folder and read it again; with the table's path.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
@@ -49,19 +50,32 @@ def shared_table(df: DataFrame, name: str, scope: str = "", part: str | None = N
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(part) if part else writer).parquet(path)
     _tables.append((scope, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def shared_table(df: DataFrame, name: str, scope: str = "", part: str | None = None) -> DataFrame:
+    return stored(df, name, scope, part)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_tables(spark: SparkSession, scope: str) -> None:
     """Delete the shared tables written under ``scope``, whose readers have all run."""
     global _tables
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for _, path in (x for x in _tables if x[0] == scope):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(spark, path)
     _tables = [x for x in _tables if x[0] != scope]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Send at most ``rows`` rows at once to Python, for stages whose rows hold whole sets or texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
