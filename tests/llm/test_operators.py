@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from thicket.llm import components, fingerprint_index, hmm, mixing, ordinal, packing, pii, preference, prefix_hash, quality_rules, setsketch
@@ -66,6 +67,87 @@ def test_hidden_markov_model(spark, docs, none):
     assert hmm.scores(none).count() == 0
 
 
+def test_scores_are_those_of_the_model(spark, docs, monkeypatch):
+    """The query's scores against the plain forward recursion with the model it trained, in exact order and doubles."""
+    kept = []
+    real = hmm.baum_welch
+
+    def spy(*args):
+        kept.append((real(*args), args[1]))
+        return kept[-1][0]
+
+    monkeypatch.setattr(hmm, "baum_welch", spy)
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 200)
+    monkeypatch.setattr(hmm, "GROUP_CHUNKS", 2)
+    got = table(hmm.scores(docs, states=3, symbols=64, rounds=2))
+    model, counts = kept[0]
+    rows = [(r["doc_id"], [xxhash.xxh3_64_intdigest(w, 11) for w in (r["text"] or "").encode().lower().split()] + [0]) for r in docs.collect()]
+    seen = collections.Counter(w for i, ws in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for w in ws)
+    symbol = lambda w: 0 if w == 0 else w % 63 + 1
+    tokens, kinds = collections.Counter(), collections.Counter()
+    for w, n in seen.items():
+        tokens[symbol(w)] += n
+        kinds[symbol(w)] += 1
+    assert [tokens[s] for s in range(64)] == counts.tolist()
+    for i, ws in rows:
+        alpha, total = None, 0.0
+        for w in ws:
+            s = symbol(w)
+            alpha = (model.first.astype(float) if alpha is None else alpha @ model.step.astype(float)) * model.emit[s].astype(float)
+            total += math.log10(alpha.sum()) + math.log10((seen[w] + 0.5) / (tokens[s] + 0.5 * (kinds[s] + 1)))
+            alpha = alpha / alpha.sum()
+        assert any(abs(r["score"] - total) < 1e-4 * max(1, len(ws)) ** 0.5 for r in got[i])
+
+
+def whole_counts(model, seqs):
+    """Baum-Welch counts by the uncut recursions, in doubles."""
+    first, step, emit = np.zeros(len(model.first)), np.zeros_like(model.step, float), np.zeros_like(model.emit, float)
+    pi, a, e = (x.astype(float) for x in (model.first, model.step, model.emit))
+    total = 0.0
+    for s in seqs:
+        alphas, scales = [], []
+        for t, x in enumerate(s):
+            v = (pi if t == 0 else alphas[-1] @ a) * e[x]
+            scales.append(v.sum())
+            alphas.append(v / v.sum())
+        beta = np.ones(len(pi))
+        for t in range(len(s) - 1, -1, -1):
+            g = alphas[t] * beta
+            emit[s[t]] += g
+            if t:
+                move = beta * e[s[t]] / scales[t]
+                step += np.outer(alphas[t - 1], move) * a
+                beta = a @ move
+            else:
+                first += g
+        total += np.log(scales).sum()
+    return first, step, emit, total
+
+
+@pytest.mark.parametrize("run, warm", [(4, 1), (8, 2), (64, 48), (512, 48)])
+def test_expected_counts_are_of_whole_sequences(monkeypatch, run, warm):
+    monkeypatch.setattr(hmm, "RUN", run)
+    monkeypatch.setattr(hmm, "WARM", warm)
+    rng = np.random.default_rng(2)
+    for sticky in (0.0, 0.999):  # states that remember little, and some that remember nearly all
+        m = hmm.Model.start(rng.integers(1, 9, 7).astype(float), 3, 4)
+        m.step = (np.full((3, 3), (1 - sticky) / 3) + sticky * np.eye(3)).astype(np.float32)
+        seqs = [rng.integers(0, 7, n) for n in (1, 4, 300, 2, 17, 64, 65, 8, 9)]
+        got = hmm.expected(m, np.concatenate(seqs), np.array([len(s) for s in seqs]))
+        for x, y in zip(got, whole_counts(m, seqs), strict=True):
+            assert np.allclose(x, y, rtol=2e-3, atol=2e-2)
+
+
+def test_asked_rows_grow_with_the_words():
+    """Twice the groups are twice the rows, or fewer, at every size; and a range holds what fits a task while rows can be that many."""
+    words = 1_500_000
+    for groups in (1, 8, 64, 512, 4096, 1 << 18):
+        rows, double = (n << hmm.range_bits(n * words, n) for n in (groups, 2 * groups))
+        assert rows * hmm.ROW_WORDS <= max(groups * words, 16 * groups * hmm.ROW_WORDS)
+        assert double * hmm.ROW_WORDS <= 2 * groups * words
+    assert 2**12 * words * 16 / 2 ** hmm.range_bits(2**12 * words, 2**12) <= 2 * hmm.RANGE_BYTES
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(1)
     m = hmm.Model.start(rng.integers(1, 9, 5).astype(float), 3, 4)
@@ -81,7 +163,8 @@ def test_forward_recursion_is_exact():
             p += q
         assert abs(g - math.log(p)) < 1e-4
     before = got.sum()
-    f, a, e = hmm.expected(m, np.concatenate(seqs), np.array([len(s) for s in seqs]), np.ones(4, bool))
+    f, a, e, total = hmm.expected(m, np.concatenate(seqs), np.array([len(s) for s in seqs]))
+    assert abs(total - before) < 1e-3
     assert abs(e.sum() - 13) < 1e-3 and abs(f.sum() - 4) < 1e-3 and abs(a.sum() - 9) < 1e-3
     better = hmm.Model(f / f.sum(), a / a.sum(1, keepdims=True), e / e.sum(0))
     assert hmm.forward(better, np.concatenate(seqs), np.array([len(s) for s in seqs])).sum() > before
