@@ -30,7 +30,7 @@ BLOCK_WORDS, CHUNK_BYTES = 1_000_000, 6 << 20
 #: Least mean number of a block's hashes in a range: rows grow with the text, however many ranges there are.
 ROW_HASHES = 64
 #: Bytes of text whose windows' hashes share a range.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 12 << 20
 #: Runs of a level that are compacted into one of the next.
 FANOUT = 4
 ROW_SQL = "range int, chunk long, first long, seq long, docs int, data binary"
@@ -200,9 +200,6 @@ class FingerprintIndex:
         #: Level, table and path of each run.
         self.runs: list[tuple[int, DataFrame, str]] = []
 
-    def _partitions(self) -> int:
-        return max(1, min(1 << self.bits, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-
     def add(self, batch: DataFrame, commit: bool = True) -> DataFrame:
         """Deduplicate a batch against history and itself, and make it history if ``commit``.
 
@@ -230,7 +227,7 @@ class FingerprintIndex:
         rows = docs.select("id", "text").mapInArrow(lambda p: batches(blocks_of(window, bits, check, sent.value, WordHash(3))(p), _ROW, 64), ROW_SQL)
         for _, run, _ in self.runs:
             rows = rows.unionByName(run.selectExpr("range", "cast(null as long) chunk", "cast(null as long) first", "cast(null as long) seq", "cast(null as int) docs", "data"))
-        rows = rows.repartition(self._partitions(), "range").sortWithinPartitions("range", F.asc_nulls_first("first"), F.asc_nulls_first("seq"))
+        rows = rows.repartition(1 << self.bits, "range").sortWithinPartitions("range", F.asc_nulls_first("first"), F.asc_nulls_first("seq"))
         replies, path = stored(rows.mapInArrow(lambda p: batches(merge_join(p, check, commit), _REPLY, 64), REPLY_SQL), "replies", self.scope, "kind")
         if commit:
             self.runs.append((0, replies.filter("kind = 1").select("range", "data"), f"{path}/kind=1"))
@@ -248,7 +245,7 @@ class FingerprintIndex:
                 rows = own[0][1]
                 for _, r, _ in own[1:]:
                     rows = rows.unionByName(r)
-                rows = rows.repartition(self._partitions(), "range").sortWithinPartitions("range")
+                rows = rows.repartition(1 << self.bits, "range").sortWithinPartitions("range")
                 merged, path = stored(rows.mapInArrow(lambda p: batches(compact(p, check), _RUN, 64), "range int, data binary"), "run", self.scope)
                 self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, merged, path)]
                 for _, _, old in own:

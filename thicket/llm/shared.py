@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -73,6 +74,7 @@ def drop_tables(spark: SparkSession, scope: str) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected."""
     gc.collect()
+    time.sleep(0.3)  # Python's references go in a thread of their own
     spark._jvm.System.gc()
 
 
