@@ -370,16 +370,28 @@ def test_skip_edges_carry_labels():
 
 
 def test_preference(spark):
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost"), (4, None, "user", "x"), (4, 1, "assistant", "")]
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost"), (None, 0, "user", "lost"), (4, None, "user", "x"), (4, 1, "assistant", "")]
+    turns += [(8, k, "user" if k % 2 == 0 else "assistant", f"a{k}") for k in range(5)] + [(9, k, "user" if k % 2 == 0 else "assistant", f"b{k}") for k in range(6)]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn int, role string, text string, n int")
-    got = {r["pair_id"]: r for r in preference.formatted(preference.swapped_pairs(df)).collect()}
-    assert sorted(got) == [0, 1, 2, 4]
+    rows = preference.formatted(preference.swapped_pairs(df)).collect()
+    got = {r["pair_id"]: r for r in rows}
+    assert sorted((r["pair_id"] for r in rows), key=str) == [0, 1, 2, 4, 8, 9, None, None]
     r = got[0]
     assert r["prompt"] == "<|user|>\nhi<|end|>\n" and r["chosen"] == "<|assistant|>\nyes<|end|>\n" and r["rejected"] == "<|assistant|>\nno<|end|>\n"
     a, b = map(int, r["chosen_mask"].split(":"))
     assert r["chosen"][a:b] == "yes<|end|>\n"
-    assert got[2]["prompt_turns"] == 1 and got[2]["chosen"] == "" and got[4]["prompt_turns"] == 2
+    assert got[2]["prompt_turns"] == 0 and got[2]["rejected"] == "" and got[4]["prompt_turns"] == 1 and got[None]["chosen"] == "<|user|>\nlost<|end|>\n"
+    # 8 keeps 1 + 4 mod 4 turns of five, 9 keeps 1 + 4 mod 5 of six; several turns follow, and the masks are the assistant's.
+    assert got[8]["prompt_turns"] == 1 and got[9]["prompt_turns"] == 5
+    for side, who, n in (("chosen", "a", 5), ("rejected", "b", 6)):
+        spans = [got[8][side][int(x):int(y)] for x, y in (m.split(":") for m in got[8][f"{side}_mask"].split(","))]
+        assert spans == [f"{who}{k}<|end|>\n" for k in range(1, n, 2)] and got[8][side].count("<|end|>") == n - 1
     assert preference.formatted(preference.swapped_pairs(df.limit(0))).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    assert sorted(map(str, con.sql(preference.SQL).fetchall())) == sorted(str(tuple(r)) for r in rows)
 
 
 def removed(rows):
@@ -501,6 +513,70 @@ def test_prefix_hashes(spark, docs, none):
     assert prefix_hash.fingerprints(none).count() == 0
 
 
+def test_ordinal_slopes_are_the_differences():
+    rng = np.random.default_rng(6)
+    rows = [rng.choice(12, int(rng.integers(1, 6)), replace=False) for _ in range(30)]
+    y, w, free = rng.integers(0, 3, 30), rng.normal(size=12), np.array([-0.4, 0.3])
+    loss, grad, by = ordinal.slopes(w, free, rows, y)
+    t, scores = ordinal.thresholds_of(free), np.array([w[r].sum() for r in rows])
+    at_least = np.stack([np.ones(30), 1 / (1 + np.exp(t[0] - scores)), 1 / (1 + np.exp(t[1] - scores)), np.zeros(30)], 1)
+    assert abs(loss + np.mean([math.log(at_least[i, g] - at_least[i, g + 1]) for i, g in enumerate(y)])) < 1e-9
+    assert np.allclose(ordinal.Model(w, t).tails(scores), at_least[:, 1:3])
+    for x, slope in ((w, grad), (free, by)):
+        for i in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            a, b = (ordinal.slopes(v, free, rows, y)[0] if x is w else ordinal.slopes(w, v, rows, y)[0] for v in (up, down))
+            assert abs((a - b) / 2e-5 - slope[i]) < 1e-6
+
+
+def test_ordinal_model_is_the_same_however_rows_lie(spark):
+    rows = [(i // 2, f"{'good' if i % 4 < 2 else 'bad'} words {i} of {i % 7}") for i in range(400)]  # two texts an id
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).distinct()
+    models = [ordinal.train(x, lab) for x in (d, d.orderBy(F.desc("text")).repartition(3))]
+    assert (models[0].weights == models[1].weights).all() and models[0].least == models[1].least
+
+
+def poured(sizes, weights, repeat):
+    """Targets by pouring: all is shared by weight, what is above a source's limit is shared again, until none is."""
+    total, free, out = float(sum(sizes)), set(range(len(sizes))), {}
+    while free:
+        share = {i: total * weights[i] / sum(weights[j] for j in free) for i in free}
+        above = {i for i in free if share[i] > repeat * sizes[i]}
+        if not above:
+            return [out[i] if i in out else share[i] for i in range(len(sizes))]
+        for i in above:
+            out[i] = float(repeat * sizes[i])
+            total -= out[i]
+        free -= above
+    return [out[i] for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize("sizes", [[100, 1, 1, 500], [1, 1, 1000], [10, 10, 10], [7], [1, 2, 4, 8, 16, 32, 64, 128]])
+def test_targets_are_poured(spark, sizes):
+    rows = spark.createDataFrame([(None if i == len(sizes) - 1 else f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = [r["target"] for r in mixing.targets(rows, (5, 2, 1), 3).orderBy(F.asc_nulls_last("source")).collect()]
+    assert np.allclose(got, poured(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 3))
+
+
+def test_rows_without_ids_are_mixed_each(spark):
+    """Rows with null ids, most of them copies, of a source that must lose some: its target is met, wherever the rows lie."""
+    rows = [(None, "w " * 4, "en", "b") for _ in range(60)] + [(None, "v " * (1 + i % 3), "en", "b") for i in range(30)] + [(i, "w " * 5, "en", "a") for i in range(40)] + [(None, None, "en", None)] * 5
+    d = spark.createDataFrame(clash(rows), SQL)
+    seen = []
+    for df in (d, d.repartition(5), d.coalesce(1)):
+        got = mixing.mix(df).collect()
+        assert len(got) == len(rows)
+        for source in ("a", "b"):
+            own = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+        seen.append(sorted(str(tuple(r)) for r in got))
+        assert mixing.mixed_documents(df).groupBy("source").count().count() == len({r["source"] for r in got if r["copies"]})
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_mixture(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()

@@ -44,7 +44,24 @@ def targets(sources: DataFrame, weights: tuple[float, ...], repeat: float) -> Da
 
 
 def with_hash(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumn("mix_hash", F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 1))
+    """Add ``mix_hash`` to rows with ``doc_id, source``, a hash ``mix_text`` of the text and their partition ``mix_part``.
+
+    A doc_id has one hash. Rows without one are numbered within those of the same source and
+    text, by partition, so each has a hash of its own, and the hashes are the same however
+    the rows lie; no task sees more of them than a partition has.
+    """
+    hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(*c, F.lit(seed)), 1)
+    known = docs.filter("doc_id is not null").withColumn("mix_hash", hashed(F.col("doc_id")))
+    bare = docs.filter("doc_id is null").withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_text", "source", "mix_part").orderBy(F.lit(0))))
+    sums = docs.filter("doc_id is null").groupBy(F.col("mix_text").alias("a"), F.col("source").alias("b"), F.col("mix_part").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.withColumn("mix_before", F.sum("n").over(Window.partitionBy("a", "b").orderBy("c")) - F.col("n")).drop("n")  # a row a partition
+    bare = attach(bare, sums, (F.col("mix_text") == F.col("a")) & F.col("source").eqNullSafe(F.col("b")) & (F.col("mix_part") == F.col("c"))).drop("a", "b", "c")
+    bare = bare.withColumn("mix_hash", hashed(F.col("mix_text"), F.col("mix_before") + F.col("mix_nth"))).drop("mix_before", "mix_nth")
+    return known.unionByName(bare).drop("mix_text", "mix_part")
+
+
+def text_and_part() -> list[F.Column]:
+    return [F.xxhash64("text").alias("mix_text"), F.spark_partition_id().alias("mix_part")]
 
 
 def thresholds(sized: DataFrame, weights: tuple[float, ...], repeat: int) -> DataFrame:
@@ -94,18 +111,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: int = 3
     the source nearer to its target.
 
     Null text: size 0. Null source: a source of its own, last. Rows that repeat a
-    doc_id share its hash and are taken or left together. An empty table gives an
-    empty result; other columns are ignored.
+    doc_id share its hash and are taken or left together; rows without one are chosen
+    each. Very long texts count whole. An empty table gives an empty result; other
+    columns are ignored.
     """
-    sized = with_hash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seed)
-    sized = shared_table(sized, "mix-sizes", scope)
+    sized = shared_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *text_and_part()), "mix-sizes", scope)
+    sized = with_hash(sized, seed)
     out = copies(sized, thresholds(sized, weights, repeat), repeat)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: int = 3, seed: int = 17) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as it is taken, columns unchanged."""
-    hashed = with_hash(docs.select("doc_id", "source", "text", F.struct("*").alias("row")), seed)
+    hashed = with_hash(docs.select("doc_id", "source", "text", F.struct("*").alias("row"), *text_and_part()), seed)
     plan = thresholds(hashed.select("source", "mix_hash", word_count(F.col("text")).alias("size")), weights, repeat)
     out = copies(hashed.select("row", "source", "mix_hash"), plan, repeat)
     return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

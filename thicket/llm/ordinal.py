@@ -60,8 +60,26 @@ class Model:
         return sigmoid(scores[:, None] - self.thresholds)
 
 
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and then gaps that are exponentials."""
+    return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
+
+def slopes(w: np.ndarray, free: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of grades ``y``, and its derivatives by the weights and by ``free``."""
+    cols, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    s = np.bincount(of, w[cols], len(rows))
+    t = np.concatenate([[-np.inf], thresholds_of(free), [np.inf]])
+    up, down = sigmoid(np.clip(t[y + 1] - s, -35, 35)), sigmoid(np.clip(t[y] - s, -35, 35))
+    p = np.maximum(up - down, 1e-9)
+    du, dd = up * (1 - up) / p, down * (1 - down) / p  # by the upper and the lower threshold
+    grad = np.bincount(cols, ((du - dd) / len(rows))[of], len(w))
+    by = np.array([(dd[y == j + 1].sum() - du[y == j].sum()) / len(rows) for j in range(len(free))])
+    return float(-np.log(p).mean()), grad, np.array([by.sum()] + [by[j:].sum() * np.exp(free[j]) for j in range(1, len(free))])
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 10, rate: float = 0.1, decay: float = 2e-3, batch: int = 128, seed: int = 3) -> Model:
-    """Maximum likelihood by AdaGrad over mini-batches; the thresholds stay in order, for their gaps are exponentials."""
+    """Maximum likelihood by AdaGrad over mini-batches."""
     rng = np.random.default_rng(seed)
     w, g = np.zeros(SIZE), np.full(SIZE, 1e-2)
     free, f = np.array([-1.0] + [0.0] * (GRADES - 2)), np.full(GRADES - 1, 1e-2)
@@ -69,24 +87,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 10, rate: floa
         order = rng.permutation(len(rows))
         for start in range(0, len(order), batch):
             own = order[start : start + batch]
-            cols = np.concatenate([rows[i] for i in own])
-            of = np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
-            s, y = np.bincount(of, w[cols], len(own)), grades[own]
-            t = np.concatenate([[-np.inf], np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])), [np.inf]])
-            up, down = sigmoid(np.clip(t[y + 1] - s, -35, 35)), sigmoid(np.clip(t[y] - s, -35, 35))
-            p = np.maximum(up - down, 1e-9)
-            du, dd = up * (1 - up) / p, down * (1 - down) / p  # derivatives by the upper and lower threshold
-            slope = (du - dd) / len(own)  # of the loss by the score
-            grad = np.bincount(cols, slope[of], SIZE)
+            _, grad, d = slopes(w, free, [rows[i] for i in own], grades[own])
             hit = np.flatnonzero(grad)
             grad = grad[hit] + decay * w[hit] / len(own)
             g[hit] += grad**2
             w[hit] -= rate * grad / np.sqrt(g[hit])
-            by = np.array([(dd[y == j + 1].sum() - du[y == j].sum()) / len(own) for j in range(GRADES - 1)])
-            d = np.array([by.sum()] + [by[j:].sum() * np.exp(free[j]) for j in range(1, GRADES - 1)])
             f += d**2
             free -= rate * d / np.sqrt(f)
-    return Model(w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
+    return Model(w, thresholds_of(free))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, false_rejection: float = 0.002, seed: int = 3) -> Model:
@@ -95,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, false_reje
     Grades: 0 if any label is toxic, else 1 if quality is below 1, else 2. A fifth of the
     sample is held back; the least tail probability for keeping a document is set so that
     of its good documents ``false_rejection`` fall below. With fewer than two grades all
-    documents are kept.
+    documents are kept. Of rows that share a doc_id one counts, that with the least features.
     """
     graded = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("toxic").alias("x"), F.min("quality").alias("q"))
     graded = graded.select(F.col("doc_id").alias("labelled"), F.when(F.coalesce("x", F.lit(0)) > 0, 0).when(F.coalesce("q", F.lit(1)) < 1, 1).otherwise(2).alias("grade"))
@@ -109,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, false_reje
             for i, text, grade in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), batch.column("grade").to_pylist(), strict=True):
                 yield i, grade, features(text).astype(np.int32).tobytes()
 
-    got = chosen.mapInArrow(lambda p: batches(rows(p), schema), "doc_id long, grade int, features binary").dropDuplicates(["doc_id"]).collect()
+    got = chosen.mapInArrow(lambda p: batches(rows(p), schema), "doc_id long, grade int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "grade")).alias("x")).select("doc_id", "x.*").collect()  # at most max_rows
     got.sort(key=lambda r: r["doc_id"])
     every = [np.frombuffer(r["features"], np.int32) for r in got]
     grades = np.array([r["grade"] for r in got], np.int64)
@@ -129,9 +137,10 @@ def graded(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Returns ``doc_id, score, expected_grade, p_at_least_1, p_at_least_2, kept``: kept
     documents are those whose probability of the best grade reaches the model's least.
 
-    Null or empty text: graded by its style features alone. Labels of one document
-    count as the worst of them; labels with neither value, or of no document, don't
-    count. Repeated rows are each graded. Empty tables: empty result, or all kept.
+    Null or empty text: graded by its style features alone. Very long texts are read
+    whole. Null doc_id: graded, has no label. Labels of one document count as the worst
+    of them; labels with neither value, or of no document, don't count. Repeated rows
+    are each graded. Other columns are ignored. Empty tables: empty result, or all kept.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))  # its size is fixed
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("expected_grade", pa.float64()), ("p_at_least_1", pa.float64()), ("p_at_least_2", pa.float64()), ("kept", pa.bool_())])

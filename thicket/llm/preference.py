@@ -50,17 +50,24 @@ def conversations_of(turns: DataFrame) -> DataFrame:
     """``conv_id, turns``: each conversation's turns (role, text) in order of turn, role and text.
 
     Null role or text: empty. Rows without a turn number come first, repeated ones stay.
+    Rows without a conv_id can't be put together: each is a conversation of one turn, so
+    however many there are, none is a long one. A conversation is one row here and in
+    the result, so it must fit into one.
     """
-    each = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("t")).select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    each = turns.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role, text))).alias("t"))
+    each = each.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    return each.unionByName(turns.filter("conv_id is null").select("conv_id", F.array(F.struct(role, text)).alias("turns")))
 
 
 def formatted(pairs: DataFrame) -> DataFrame:
     """Format ``pair_id, chosen, rejected``, the latter two arrays of (role, text).
 
     Returns ``pair_id, prompt_turns, prompt, chosen, rejected, chosen_mask,
-    rejected_mask``. Null arrays are empty. Equal conversations have the whole as their
-    prompt and empty completions; those that differ from the first turn have none.
+    rejected_mask``. Null arrays are empty, a null pair_id stays, other columns are
+    ignored, long turns are whole, repeated rows give a row each and no rows none. Equal
+    conversations have the whole as their prompt and empty completions; those that
+    differ from the first turn have none.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     pairs = pairs.select("pair_id", F.coalesce("chosen", empty).alias("c"), F.coalesce("rejected", empty).alias("r"))
@@ -71,37 +78,36 @@ def formatted(pairs: DataFrame) -> DataFrame:
 
 
 def swapped_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs from a table without ratings: each conversation is chosen over itself with its
-    last turn's text replaced by the last turn's of its neighbour, ``conv_id`` with the lowest
-    bit turned over; without a neighbour, by nothing. Conversations without an id are left out."""
-    c = conversations_of(turns.filter("conv_id is not null")).withColumn("last", F.element_at("turns", -1)["text"])
-    other = c.select(F.expr("conv_id ^ 1").alias("of"), F.col("last").alias("swap"))
-    c = c.join(other, F.col("conv_id") == F.col("of"), "left")
-    last = F.struct(F.element_at("turns", -1)["role"].alias("role"), F.coalesce("swap", F.lit("")).alias("text"))
-    return c.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", 1, F.size("turns") - 1), F.array(last)).alias("rejected"))
+    """Pairs from a table without ratings: each conversation is chosen over one that leaves it
+    after some turns, one at least if it has two, and goes on as its neighbour does from
+    there: ``conv_id`` with the lowest bit turned over. Without a neighbour it just ends."""
+    c = conversations_of(turns)
+    other = c.filter("conv_id is not null").select(F.expr("conv_id ^ 1").alias("of"), F.col("turns").alias("others"))
+    n = F.size("turns")
+    keep = F.when((n > 1) & F.col("conv_id").isNotNull(), 1 + F.pmod(F.shiftright("conv_id", 1), n - 1)).otherwise(0).cast("int")
+    c = c.join(other, F.col("conv_id") == F.col("of"), "left").withColumn("keep", keep)
+    own, rest = F.slice("turns", 1, F.col("keep")), F.slice("others", F.col("keep") + 1, F.size("others"))
+    return c.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.when(F.col("others").isNull(), own).otherwise(F.concat(own, rest)).alias("rejected"))
 
 
 #: DuckDB SQL for ``formatted(swapped_pairs(conversations))``.
 SQL = """
-with t as (
-  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
-    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k,
-    count(*) over (partition by conv_id) as n
-  from conversations where conv_id is not null),
-l as (select conv_id, text from t where k = n),
-p as (select t.conv_id, t.role, t.text, t.k, t.n, case when t.k = t.n then coalesce(l.text, '') else t.text end as other
-  from t left join l on l.conv_id = xor(t.conv_id, 1)),
-q as (select *, min(case when text <> other then k - 1 else n end) over (partition by conv_id) as m,
-  '<|' || role || '|>' || chr(10) as head, '<|end|>' || chr(10) as tail from p),
-s as (select *,
-    coalesce(sum(case when k > m then length(head || text || tail) end) over (partition by conv_id order by k rows between unbounded preceding and 1 preceding), 0) + length(head) as a,
-    coalesce(sum(case when k > m then length(head || other || tail) end) over (partition by conv_id order by k rows between unbounded preceding and 1 preceding), 0) + length(head) as b
-  from q)
-select conv_id as pair_id, cast(min(m) as bigint) as prompt_turns,
-  coalesce(string_agg(head || text || tail, '' order by k) filter (where k <= m), '') as prompt,
-  coalesce(string_agg(head || text || tail, '' order by k) filter (where k > m), '') as chosen,
-  coalesce(string_agg(head || other || tail, '' order by k) filter (where k > m), '') as rejected,
-  coalesce(string_agg(cast(cast(a as bigint) as varchar) || ':' || cast(cast(a + length(text || tail) as bigint) as varchar), ',' order by k) filter (where k > m and role = 'assistant'), '') as chosen_mask,
-  coalesce(string_agg(cast(cast(b as bigint) as varchar) || ':' || cast(cast(b + length(other || tail) as bigint) as varchar), ',' order by k) filter (where k > m and role = 'assistant'), '') as rejected_mask
-from s group by conv_id
+with r as (select row_number() over () as rid, conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+u as (select *, case when conv_id is null then 'row ' || rid else 'id ' || conv_id end as key from r),
+t as (select key, conv_id, role, text, row_number() over (partition by key order by turn nulls first, role, text) as k, count(*) over (partition by key) as n from u),
+c as (select key, any_value(conv_id) as conv_id, any_value(n) as n from t group by key),
+d as (select *, case when n > 1 and conv_id is not null then 1 + ((conv_id >> 1) % (n - 1) + n - 1) % (n - 1) else 0 end as keep from c),
+x as (select t.key, k, role, text from t join d using (key) where k <= keep union all select d.key, t.k, t.role, t.text from d join t on t.conv_id = xor(d.conv_id, 1) where t.k > d.keep),
+b as (select key, k, t.role as role, t.text as text, x.role as other_role, x.text as other from t full join x using (key, k)),
+m as (select key, coalesce(min(case when role is distinct from other_role or text is distinct from other then k end) - 1, max(k)) as m from b group by key),
+s as (select key, k, m, 'a' as side, role, text from t join m using (key) union all select key, k, m, 'b', role, text from x join m using (key)),
+h as (select *, '<|' || role || '|>' || chr(10) as head, text || '<|end|>' || chr(10) as body from s),
+p as (select *, coalesce(sum(case when k > m then length(head || body) end) over (partition by key, side order by k rows between unbounded preceding and 1 preceding), 0) + length(head) as first from h)
+select conv_id as pair_id, cast(any_value(m) as bigint) as prompt_turns,
+  coalesce(string_agg(head || body, '' order by k) filter (where side = 'a' and k <= m), '') as prompt,
+  coalesce(string_agg(head || body, '' order by k) filter (where side = 'a' and k > m), '') as chosen,
+  coalesce(string_agg(head || body, '' order by k) filter (where side = 'b' and k > m), '') as rejected,
+  coalesce(string_agg(cast(cast(first as bigint) as varchar) || ':' || cast(cast(first + length(body) as bigint) as varchar), ',' order by k) filter (where side = 'a' and k > m and role = 'assistant'), '') as chosen_mask,
+  coalesce(string_agg(cast(cast(first as bigint) as varchar) || ':' || cast(cast(first + length(body) as bigint) as varchar), ',' order by k) filter (where side = 'b' and k > m and role = 'assistant'), '') as rejected_mask
+from c join p using (key) group by key, conv_id
 """
