@@ -369,6 +369,76 @@ def test_skip_edges_carry_labels():
     assert p[1].argmax() == 4 and p[1, 4] > 0.9 and np.allclose(p[2], 1 / n)
 
 
+def marginals(unary, links):
+    """By enumeration: ``links`` are (a, b, table)."""
+    k, total = unary.shape[1], np.zeros_like(unary)
+    for y in np.ndindex(*[k] * len(unary)):
+        w = math.exp(sum(unary[i, y[i]] for i in range(len(y))) + sum(t[y[a], y[b]] for a, b, t in links))
+        for i, v in enumerate(y):
+            total[i, v] += w
+    return total / total.sum(1, keepdims=True)
+
+
+def test_messages_give_the_marginals():
+    rng = np.random.default_rng(9)
+    tables = rng.normal(size=(2, 3, 3))
+    tables = (tables + tables.transpose(0, 2, 1)) / 2
+    loops = ([(0, 1), (1, 2)], [(0, 2), (2, 3), (3, 4), (2, 4)])
+    # Exact on a tree; on loops an approximation, the better the weaker the tables are.
+    for (chain, skip), strength, tolerance in ((([(0, 1), (1, 2), (2, 3)], [(1, 4)]), 1.0, 1e-3), (loops, 0.3, 0.02), (loops, 0.03, 1e-3)):
+        unary, tables = rng.normal(size=(5, 3)), tables * strength
+        got = pii.infer(unary, np.array(chain), np.array(skip), tables)
+        assert abs(got - marginals(unary, [(a, b, tables[0]) for a, b in chain] + [(a, b, tables[1]) for a, b in skip])).max() < tolerance
+
+
+def test_field_slopes_are_the_differences():
+    rng = np.random.default_rng(10)
+    n, m = len(pii.KINDS) + 1, 40
+    shapes, labels, counts = rng.integers(0, 3, m), rng.integers(0, n, m), rng.integers(1, 5, m).astype(float)
+    chain, skip = rng.integers(0, 2, (m, n)).astype(float), rng.integers(0, 3, (m, n)).astype(float)
+    model = np.zeros(pii.SHAPES * n + 2 * n * n)
+    model[: 3 * n] = rng.normal(size=3 * n)
+    for k in range(2):
+        a = rng.normal(size=(n, n))
+        model[pii.SHAPES * n + k * n * n :][: n * n] = (a + a.T).ravel()
+    value = lambda x: pii.slopes(x, shapes, chain, skip, labels, counts)[2]
+    first, _, at = pii.slopes(model, shapes, chain, skip, labels, counts)
+    direct = 0.0
+    for i in range(m):
+        score = [model[shapes[i] * n + y] + sum(near[i, b] * model[pii.SHAPES * n + k * n * n + y * n + b] for k, near in enumerate((chain, skip)) for b in range(n)) for y in range(n)]
+        direct += counts[i] * (score[labels[i]] - math.log(sum(map(math.exp, score))))
+    assert abs(at - direct) < 1e-9
+    for cell in (0, 7, (1, 2, 0), (0, 3, 4), (1, 1, 1)):
+        step = np.zeros_like(model)
+        if isinstance(cell, int):
+            at_ = cell
+            step[cell] = 1e-5
+        else:  # both readings of a table move together
+            k, a, b = cell
+            at_ = pii.SHAPES * n + k * n * n + a * n + b
+            step[at_] = step[pii.SHAPES * n + k * n * n + b * n + a] = 1e-5
+        slope = (value(model + step) - value(model - step)) / 2e-5
+        assert abs(slope - (first[at_] if not isinstance(cell, tuple) or cell[1] != cell[2] else first[at_] / 2)) < 1e-4
+
+
+def test_labels_spread_to_mentions_without_a_pattern(spark):
+    """A number that a pattern knows once is found again without its plus sign; numbers like it in other texts are left alone."""
+    rows = [(i, f"call +4420{i % 90 + 10}550{i % 9}{i % 7}1 or 4420{i % 90 + 10}550{i % 9}{i % 7}1 again +4420{i % 90 + 10}550{i % 9}{i % 7}1") for i in range(200)]
+    rows += [(1000 + i, f"mail me{i}@site{i % 7}.org, me{i}@site{i % 7}.org") for i in range(100)] + [(2000 + i, f"order 77{i:09d} of 12 items") for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(r["n_phone"] == 2 for i, r in got.items() if i < 200)
+    assert all(r["spans"] == "" for i, r in got.items() if i >= 2000)
+    models = [pii.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)) for n in (1, 4)]
+    assert np.allclose(models[0], models[1])
+
+
+def test_enclosed_tokens_have_their_spans_label():
+    text = "x +1(269)555-3296@mail.example.org y"
+    base = pii.base_spans(text)
+    found, labels = pii.nodes(text, base)
+    assert len(base) >= 1 and labels.min() > 0
+
+
 def test_preference(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost"), (None, 0, "user", "lost"), (4, None, "user", "x"), (4, 1, "assistant", "")]
     turns += [(8, k, "user" if k % 2 == 0 else "assistant", f"a{k}") for k in range(5)] + [(9, k, "user" if k % 2 == 0 else "assistant", f"b{k}") for k in range(6)]

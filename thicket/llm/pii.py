@@ -4,14 +4,19 @@ Fixed patterns find what they find, and that stays. Around them a random field
 labels the tokens that could be personal data at all (those with a digit or an at
 sign): each has a potential from its shape, neighbours share one, and so do tokens
 anywhere in the document that repeat or resemble each other. Loopy belief propagation
-spreads what is known of one mention to the others. Weights are closed-form piecewise
-estimates: counts over all documents, summed across partitions.
+spreads what is known of one mention to the others.
+
+The weights are trained on the fixed patterns' labels of all documents, by the
+pseudo-likelihood: each token's label given its shape and its neighbours' labels.
+Tokens alike in all of that are counted together, so a pass over the texts leaves a
+table of such cases, and each round of training sums derivatives over it in tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Shapes are told apart by so many hash values, which bounds the model.
 SHAPES = 4096
 ROUNDS, DAMPING = 12, 0.3
+#: Rounds of training, how strongly weights are held to their first estimate, the length of a step, and tasks.
+TRAINING, HOLD, STEP, TASKS = 12, 1.0, 0.7, 16
+#: Cases that a task holds before it sends them on.
+MANY = 200_000
 #: Least probability of a kind for a span to be added.
 LEAST = 0.9
 
@@ -92,7 +101,7 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[int,
     found, labels = [], []
     spans = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
     j = 0
-    last = spans[-1][1] if spans else 0
+    last = max((b for _, b, _ in spans), default=0)
     for m in TOKEN.finditer(text):
         if not SOME.search(m[0]):
             continue
@@ -105,24 +114,23 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple[int,
             j += 1
         label = 0
         if start < last:
-            for a, b, k in spans[j:]:
-                if a >= end:
-                    break
-                if b > start:
-                    label = k
-                    break
+            at = j
+            while at < len(spans) and spans[at][0] < end and not label:
+                label = spans[at][2] if spans[at][1] > start else 0
+                at += 1
         found.append((start, end, core))
         labels.append(label)
     return found, np.array(labels, np.int64)
 
 
 def keys(core: str) -> list[str]:
-    """What tokens must have in common to be joined by a skip edge: the same text, or the same digits."""
+    """What tokens must have in common to be joined by a skip edge: the same text, the same last
+    seven digits of a number (with or without its prefix and marks), or the same name before an at sign."""
     low = core.lower()
     out = ["t" + low]
     digits = NOT_DIGIT.sub("", core)
     if len(digits) >= 7 and not re.search(r"[^\W\d_]", core):
-        out.append("d" + digits)
+        out.append("d" + digits[-7:])
     if "@" in low:
         out.append("m" + low.split("@")[0])
     return out
@@ -142,10 +150,20 @@ def edges(found: list[tuple[int, int, str]], text: str) -> tuple[np.ndarray, np.
     return pairs(chain), pairs(list(dict.fromkeys(skip)))
 
 
+def cases(found: list[tuple[int, int, str]], labels: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many neighbours of each label each token has, along the chain and by skip edges."""
+    out = []
+    for pairs in edges(found, text):
+        own = np.zeros((len(found), len(KINDS) + 1), np.uint8)
+        np.add.at(own, (pairs[:, 0], labels[pairs[:, 1]]), 1)
+        np.add.at(own, (pairs[:, 1], labels[pairs[:, 0]]), 1)
+        out.append(own)
+    return out[0], out[1]
+
+
 def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition: shape with label, chain label pairs, skip label pairs."""
-    n = len(KINDS) + 1
-    unary, chain, skip = np.zeros((SHAPES, n)), np.zeros((n, n)), np.zeros((n, n))
+    """Tokens of a partition by case: ``shape, chain, skip, label, n``."""
+    counts: Counter = Counter()
     for batch in rows:
         for text in batch.column(0).to_pylist():
             if not text or not SOME.search(text):
@@ -153,38 +171,100 @@ def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, labels = nodes(text, base_spans(text))
             if not found:
                 continue
-            np.add.at(unary, ([shape(c) for _, _, c in found], labels), 1)
-            a, b = edges(found, text)
-            np.add.at(chain, (labels[a[:, 0]], labels[a[:, 1]]), 1)
-            np.add.at(skip, (labels[b[:, 0]], labels[b[:, 1]]), 1)
-    flat = np.concatenate([unary.ravel(), chain.ravel(), skip.ravel()])
-    at = np.flatnonzero(flat)
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "n"])
+            chain, skip = cases(found, labels, text)
+            counts.update((shape(c), chain[i].tobytes(), skip[i].tobytes(), y) for i, ((_, _, c), y) in enumerate(zip(found, labels.tolist(), strict=True)))
+        if len(counts) > MANY:
+            yield from case_rows(counts)
+            counts.clear()
+    yield from case_rows(counts)
+
+
+def case_rows(counts: Counter) -> Iterator[pa.RecordBatch]:
+    if counts:
+        columns = zip(*counts, strict=True)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)), pa.array(counts.values(), pa.int64())], ["shape", "chain", "skip", "label", "n"])
+
+
+def slopes(model: np.ndarray, shapes: np.ndarray, chain: np.ndarray, skip: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The log pseudo-likelihood's first derivatives and the size of its second ones, by weight, and itself."""
+    n = len(KINDS) + 1
+    unary, tables = model[: SHAPES * n].reshape(SHAPES, n), model[SHAPES * n :].reshape(2, n, n)
+    score = unary[shapes] + chain @ tables[0] + skip @ tables[1]
+    score = score - score.max(1, keepdims=True)
+    p = np.exp(score)
+    p /= p.sum(1, keepdims=True)
+    seen = np.zeros_like(p)
+    seen[np.arange(len(p)), labels] = 1
+    off, spread = (seen - p) * counts[:, None], p * (1 - p) * counts[:, None]
+    first, second = np.zeros((SHAPES, n)), np.zeros((SHAPES, n))
+    np.add.at(first, shapes, off)
+    np.add.at(second, shapes, spread)
+    pairs = [(near.T @ off, (near**2).T @ spread) for near in (chain, skip)]
+    # A table is the same read either way.
+    g, h = ([x[i] + x[i].T for x in pairs] for i in (0, 1))
+    value = float((counts * np.log(p[np.arange(len(p)), labels])).sum())
+    return np.concatenate([first.ravel(), *(x.ravel() for x in g)]), np.concatenate([second.ravel(), *(x.ravel() for x in h)]), value
+
+
+def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Columns ``shape, chain, skip, label, n`` for ``slopes``."""
+    near = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, len(KINDS) + 1).astype(float)
+    plain = lambda i: batch.column(i).to_numpy(zero_copy_only=False)
+    return plain(0), near(1), near(2), plain(3), plain(4).astype(float)
+
+
+def summed(table: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """``slopes`` over all cases: TASKS vectors of the model's size come to the driver."""
+    sent = table.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * len(sent.value) + 1)
+        for batch in parts:
+            if batch.num_rows:
+                first, second, value = slopes(sent.value, *arrays(batch))
+                total += np.concatenate([first, second, [value]])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+
+    got = np.zeros(2 * len(model) + 1)
+    for r in table.mapInArrow(run, "sums binary").collect():
+        got += np.frombuffer(r["sums"])
+    sent.unpersist()
+    return got[: len(model)], got[len(model) : -1], float(got[-1])
+
+
+def first_estimate(table: DataFrame) -> np.ndarray:
+    """Smoothed shares of each shape's labels, and tables that favour equal labels along skip edges."""
+    n = len(KINDS) + 1
+    unary = np.zeros((SHAPES, n))
+    for r in table.groupBy("shape", "label").agg(F.sum("n").alias("n")).collect():  # a row a cell of the model
+        unary[r["shape"], r["label"]] = r["n"]
+    prior = unary.sum(0) + np.array([n, 1, 1, 1, 1])
+    unary = (unary + 2 * prior / prior.sum()) / (unary.sum(1, keepdims=True) + 2)
+    return np.concatenate([np.log(unary).ravel(), np.zeros(n * n), np.eye(n).ravel()])
 
 
 def fit(docs: DataFrame) -> np.ndarray:
     """Log potentials, flat: unary (SHAPES x labels), chain and skip (labels x labels).
 
-    The counts have one row a cell of the model, which its size bounds.
+    Newton steps by weight, about the first estimate; one that lowers the objective is
+    halved, and taken back at the end if it still does.
     """
-    n = len(KINDS) + 1
-    counts = docs.select("text").mapInArrow(gather, "at long, n double").groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(SHAPES * n + 2 * n * n)
-    for r in counts.collect():
-        flat[r["at"]] = r["n"]
-    unary, pairs = flat[: SHAPES * n].reshape(SHAPES, n), flat[SHAPES * n :].reshape(2, n, n)
-    prior = unary.sum(0) + np.array([n, 1, 1, 1, 1])
-    prior = prior / prior.sum()
-    unary = (unary + 2 * prior) / (unary.sum(1, keepdims=True) + 2)
-    # A pair's potential: how much likelier the labels are together than apart.
-    out = [np.log(unary).ravel()]
-    for table, own in zip(pairs, (0.0, 2.0), strict=True):
-        table = table + 0.5 + own * np.eye(n)
-        table = (table + table.T) / table.sum() / 2
-        side = table.sum(1)
-        out.append(np.log(table / np.outer(side, side)).ravel())
-    return np.concatenate(out)
+    table = docs.select("text").mapInArrow(gather, "shape int, chain binary, skip binary, label int, n long").groupBy("shape", "chain", "skip", "label").agg(F.sum("n").alias("n"))
+    table = table.coalesce(TASKS).checkpoint()
+    start = first_estimate(table)
+    best, step, best_value = start, STEP, -np.inf
+    model, slope = start, None
+    for _ in range(TRAINING):
+        first, second, value = summed(table, model)
+        value -= HOLD / 2 * float(((model - start) ** 2).sum())
+        if value > best_value:
+            if value - best_value < 1e-4 * abs(value):
+                return model
+            best, best_value, slope = model, value, (first - HOLD * (model - start)) / (second + HOLD)
+        else:
+            step /= 2
+        model = best + step * slope
+    return best
 
 
 def infer(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -240,8 +320,9 @@ def find(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone`` and ``base_sha256`` for the fixed
     patterns' spans, and ``spans``, all spans as ``kind:start:end`` by kind and start in
-    code points, joined by commas. Null or empty text: no spans. Repeated rows: each
-    gives its own row. An empty table gives an empty result.
+    code points, joined by commas. Null or empty text: no spans. Very long texts are one
+    field each. Null doc_id stays null. Repeated rows: each gives its own row. Other
+    columns are ignored. An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))  # its size is fixed
     schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -259,7 +340,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in square brackets; overlapping spans as one."""
+    """``docs`` with each span of ``text`` replaced by its kind in square brackets; overlapping spans as one. Other columns, null texts, repeated rows and no rows are as they were."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     schema = docs.schema
     where = docs.columns.index("text")
