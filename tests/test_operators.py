@@ -1,15 +1,19 @@
 """Operators on small tables with known answers."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from thicket import cli
 from thicket.functions.numeric import DropMode, sanitize
-from thicket.operators import analytics, boost, forest, matrix, predict, scan, stats
+from thicket.operators import analytics, boost, forest, matrix, predict, sampling, scan, stats
 from thicket.plans.parameters import Parameters, auto_parameters, parse, shape_rules
-from thicket.queries import _leaves, trees
 from thicket.sources import text
 
+from .small_trees import trees
+
 ONE = [10, -3, 0, 5, -2, -1, 15, 20]
 
 
@@ -149,5 +153,94 @@ def test_clusters_and_weights(spark):
     d = analytics.jaccard_distances(n)
     assert d.filter("distance < 0 or distance >= 1").count() == 0
     labels = analytics.clusters(d, n, 0.5, 2)
-    assert labels.count() == n.count()
-    assert _leaves is not None
+    got = {r["node"]: r["cluster"] for r in labels.collect()}
+    near = {(r["a"], r["b"]) for r in d.filter("distance <= 0.5").collect()}
+    assert got == by_hand(sorted(got), near, 2)
+    stat = {r["cluster"]: (r["nodes"], r["trees"]) for r in analytics.cluster_stats(n, labels).collect()}
+    assert stat == {c: (sum(x == c for x in got.values()), len({k.split("/")[0] for k, x in got.items() if x == c})) for c in set(got.values()) - {None}}
+
+
+def by_hand(names, near, least):
+    """DBSCAN a node at a time."""
+    beside = {n: {b if a == n else a for a, b in near if n in (a, b)} for n in names}
+    core = {n for n in names if len(beside[n]) + 1 >= least}
+    out = {}
+    for n in sorted(core):
+        todo = [n]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = n
+                todo += beside[x] & core
+    return {n: out.get(n, min((out[x] for x in beside[n] & core), default=None)) for n in names}
+
+
+def test_levels_grow_the_trees_that_one_task_grows(spark):
+    cells = [(t, i, f"f{j}", float((i * 37 + j * 11 + t * i * j) % 23 + (i % 2) * j) if (i + j) % 9 else None) for t in (1, 2) for i in range(60) for j in range(3)]
+    df = spark.createDataFrame(cells, "tree_id int, sample_id int, feature string, value double")
+    for mode in ("mad", "variance"):
+        got = {(r["tree_id"], r["node_id"]): r for r in forest.fit_levels(df, 12, 3, mode).collect()}
+        p = Parameters(trees=2, leaf_size=12, split=mode, drop="no", prediction="branch")
+        both = df.withColumn("role", F.explode(F.array(F.lit("in"), F.lit("out"))))
+        short = lambda node: "RT" + "".join(re.findall(r"!F[^!]+:S[-+0-9.eE]+([LR])", node))
+        want = {(r["tree_id"], short(r["node_id"])): r for r in forest.grown(both, p).filter("depth <= 3").collect()}
+        assert set(got) == set(want) and len(got) > 8
+        for k, r in got.items():
+            assert sorted(r["samples"]) == sorted(want[k]["samples"]) and r["medians"] == want[k]["medians"]
+            assert all(abs(a - b) < 1e-9 for a, b in zip(r["dispersions"], want[k]["dispersions"]))
+            if r["depth"] < 3:
+                assert (r["split_feature"], r["split_value"]) == (want[k]["split_feature"], want[k]["split_value"])
+
+
+def test_best_cut_by_brute_force(spark):
+    """Every cut of every input, with medians and deviations taken anew."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(-50, 50, (25, 3)).astype(float)
+    mad = lambda x: float(np.median(np.abs(x - np.median(x)))) if len(x) > 1 else 0.0
+    found = []
+    for j in range(3):
+        order = sorted(range(25), key=lambda i: (values[i, j], i))
+        for k in range(3, 23):
+            own = [o for o in range(3) if o != j]
+            d = [mad(values[order[k:], o]) * (26 - k) / 26 + mad(values[order[:k], o]) * (k + 1) / 26 for o in own]
+            found.append((sum(d) / 2, j, -k, values[order[k], j]))
+    score, j, k, at = min(found)
+    m = spark.createDataFrame([("RT", i, f"f{f}", float(values[i, f])) for i in range(25) for f in range(3)], "node string, sample_id int, feature string, value double").cache()
+    cut = scan.best_split(scan.best_cuts(scan.split_scores(scan.drawn(m, m)), spark.createDataFrame([("RT", 25)], "node string, samples int"))).first()
+    assert (cut["split_feature"], cut["k"], cut["split_value"]) == (f"f{j}", -k, at) and abs(cut["score"] - score) < 1e-9
+
+
+def test_draws_with_replacement_follow_the_weights(spark):
+    items = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "item int, w double")
+    draws = sampling.with_replacement(items, 20000, "item", "w", 3).toPandas()
+    assert sorted(draws["draw"]) == list(range(20000))
+    for i in range(50):
+        assert abs((draws["item"] == i).sum() - 20000 * (i % 5) / 100) <= 5 * (20000 * (i % 5) / 100) ** 0.5
+    one = sampling.choice(items, "item", "w", 9).collect()
+    assert len(one) == 1 and one[0]["item"] % 5 > 0
+    assert sampling.with_replacement(items.limit(0), 5, "item", "w", 3).count() == 0
+
+
+def test_draws_are_the_least_hashes(spark):
+    groups, items = spark.createDataFrame([(g,) for g in range(5)], "g int"), spark.range(3000)
+    for k in (1, 40, 2999, 5000):
+        got = sampling.draw(groups, items, k, "g", "id", 4)
+        want = sampling.without_replacement(groups.crossJoin(items), k, ["g"], "id", 4)
+        assert got.exceptAll(want).count() == 0 and got.count() == 5 * min(k, 3000)
+    assert sampling.draw(groups, items.limit(0), 3, "g", "id", 4).count() == 0
+
+
+def test_cells_are_drawn_by_their_error(spark):
+    errors = spark.createDataFrame([(i, f"f{j}", float(-j)) for i in range(400) for j in range(4)], "sample_id int, feature string, value double")
+    got = sampling.cells_by_error(errors, 300, 5)
+    share = {r["feature"]: r["count"] for r in got.groupBy("feature").count().collect()}
+    assert got.distinct().count() == 300 and "f0" not in share and share["f1"] < share["f2"] < share["f3"]
+
+
+def test_output_weights_are_sizes_of_errors(spark, monkeypatch):
+    seen = []
+    real = boost.grown
+    monkeypatch.setattr(boost, "grown", lambda cells, p, weights, epoch: seen.append({r["feature"]: r["weight"] for r in weights.collect()}) or real(cells, p, weights, epoch))
+    m = spark.createDataFrame([(i, f"f{j}", float((i % 4 + 1) * (-1) ** j)) for i in range(20) for j in range(3)], "sample_id int, feature string, value double")
+    boost.Boosted(m, Parameters(epochs=1, epoch_duration=1, leaf_size=6, in_features=2, out_features=2, sample_sub=20, drop="no", prediction="branch", boost="additive", seed=2)).run()
+    assert seen == [{f"f{j}": 50.0 for j in range(3)}]

@@ -8,7 +8,10 @@ from thicket import queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ["customer", "supplier", "part", "events", "lineitem", "orders", "embeddings"]
-CHECKED = ["mad_by_group", "dispersion_by_group", "pearson_pairs", "draw_order", "mad_scan", "split_scores_mad_l1", "best_cuts", "best_split", "split_children", "node_gains", "gain_pairs", "feature_cooccurrence", "node_jaccard", "gain_correlation", "node_requirements", "header_dedupe", "text_matrix"]
+CHECKED = [
+    "mad_by_group", "dispersion_by_group", "pearson_pairs", "matrix_arithmetic", "draw_order", "mad_scan", "split_scores_mad_l1", "best_cuts", "best_split", "split_children", "forest_levels", "route_branch", "route_truncate", "route_abort", "route_branch_joined", "leaf_average_gain", "interval_stack",
+    "node_gains", "node_cells", "node_correlations", "gain_pairs", "feature_cooccurrence", "node_jaccard", "gain_correlation", "node_requirements", "forest_roundtrip", "header_dedupe", "text_matrix",
+]
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from thicket.functions.numeric import DropMode
 from thicket.operators import matrix as mx
 from thicket.operators.forest import grown, leaf_features
 from thicket.operators.predict import predict
-from thicket.operators.sampling import without_replacement
+from thicket.operators.sampling import draw
 from thicket.plans.parameters import Parameters
 
 
@@ -84,7 +84,11 @@ class Boosted:
         return {"inputs": one, "outputs": one, "samples": samples}
 
     def grow(self, epoch: int) -> DataFrame:
-        """An epoch's trees: outputs are weighed by the sums of their errors."""
+        """An epoch's trees: outputs are weighed by the size of the sums of their errors.
+
+        As first built the sums kept their sign, so that an output that was predicted too
+        high made splits look for dispersion.
+        """
         p, spark = self.p, self.matrix.sparkSession
         names = sorted(r[0] for r in self.truth.select("feature").distinct().collect())  # the matrix's width
         like = {} if self.similarity is None else {(r["f1"], r["f2"]): r["corr"] for r in self.similarity.collect()}  # width squared
@@ -95,7 +99,7 @@ class Boosted:
             rows += [(tree, f, "in") for f in ins] + [(tree, f, "out") for f in outs]
         picked = spark.createDataFrame(rows, "tree_id int, feature string, role string")
         trees = picked.select("tree_id").distinct()
-        drawn = without_replacement(trees.crossJoin(self.truth.select("sample_id").distinct()), p.sample_sub, ["tree_id"], "sample_id", p.seed + epoch)
+        drawn = draw(trees, self.truth.select("sample_id").distinct(), p.sample_sub, "tree_id", "sample_id", p.seed + epoch)
         raw = self.truth.withColumn("value", F.when(F.col("value") != 0, F.col("value"))) if p.drop is DropMode.ZEROS else self.truth
         out = self.error if p.boost == "additive" else raw
         cells = raw.join(F.broadcast(picked.filter("role = 'in'")), "feature").unionByName(out.join(F.broadcast(picked.filter("role = 'out'")), "feature"))

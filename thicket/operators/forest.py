@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from thicket.functions.numeric import LEAST_NORMAL
 from thicket.operators import kernel
 from thicket.operators.matrix import dropped
-from thicket.operators.sampling import without_replacement
+from thicket.operators.sampling import draw
 from thicket.plans.parameters import Parameters
 
 NODE_SQL = (
@@ -98,8 +98,8 @@ def _subset(matrix: DataFrame, trees: DataFrame, p: Parameters) -> DataFrame:
     """``tree_id, role, sample_id, feature, value`` of each tree's subsample."""
     samples = matrix.select("sample_id").distinct()
     features = matrix.select("feature").distinct()
-    drawn = without_replacement(trees.crossJoin(samples), p.sample_sub, ["tree_id"], "sample_id", p.seed)
-    roles = [without_replacement(trees.crossJoin(features), k, ["tree_id"], "feature", p.seed + 1 + i).withColumn("role", F.lit(r)) for i, (r, k) in enumerate((("in", p.in_features), ("out", p.out_features)))]
+    drawn = draw(trees, samples, p.sample_sub, "tree_id", "sample_id", p.seed)
+    roles = [draw(trees, features, k, "tree_id", "feature", p.seed + 1 + i).withColumn("role", F.lit(r)) for i, (r, k) in enumerate((("in", p.in_features), ("out", p.out_features)))]
     picked = roles[0].unionByName(roles[1])
     return matrix.join(drawn, "sample_id").join(picked, ["tree_id", "feature"])
 
@@ -143,6 +143,58 @@ def fit(matrix: DataFrame, p: Parameters, prototype: bool = False) -> DataFrame:
     return out.unionByName(root_only(full, p)) if prototype else out
 
 
+def fit_levels(cells: DataFrame, leaf_size: int, depth: int, mode: str = "mad", norm: str = "l1") -> DataFrame:
+    """Trees over whole tables, all of them a level at a time: for nodes that are too large for one task's tree.
+
+    ``cells`` has ``tree_id, sample_id, feature, value`` of each tree's samples; all
+    features are inputs and outputs. Draws, scores and cuts are those of the split scans,
+    so a task holds a node's samples for one input at most. Nodes are named by their
+    sides from the root (RT, RTL, RTLR, ..); those of ``leaf_size`` samples or fewer, at
+    ``depth``, or without a valid cut are leaves. Each level is cut off in the shared folder.
+    """
+    from thicket.operators import scan
+    from thicket.operators.stats import summary
+
+    key = ["tree_id", "node_id"]
+    at = cells.select("tree_id", F.lit(ROOT).alias("node_id"), "sample_id", "feature", "value")
+    kept, out = ["node", *key, "sample_id", "feature", "value"], None
+    for level in range(depth + 1):
+        at = at.withColumn("node", F.concat_ws("/", *key)).select(*kept).checkpoint()
+        members = at.groupBy("node", *key).agg(F.array_sort(F.collect_set(F.col("sample_id").cast("string"))).alias("samples")).withColumn("n_samples", F.size("samples").cast("long"))
+        disp = F.col("mad") if mode == "mad" else F.col("var_pop")
+        own = at.select(*key, "feature").distinct().join(summary(at, [*key, "feature"]), [*key, "feature"], "left")
+        own = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("feature", F.coalesce("median", F.lit(0.0)).alias("m"), F.coalesce(disp, F.lit(0.0)).alias("d")))).alias("x"))
+        cut = at.sparkSession.createDataFrame([], "node string, split_feature string, k int, split_value double, score double")
+        if level < depth:
+            inner = at.join(members.filter(F.col("n_samples") > leaf_size).select("node"), "node", "left_semi")
+            scores = scan.split_scores(scan.drawn(inner, inner), mode, norm)
+            cut = scan.best_split(scan.best_cuts(scores, members.select("node", F.col("n_samples").alias("samples")))).checkpoint()
+            at_next = at.join(scan.children(inner, cut), ["node", "sample_id"]).withColumn("node_id", F.concat("node_id", "side")).drop("node", "side")
+        rows = members.join(own, key).join(cut.select("node", "split_feature", "split_value"), "node", "left")
+        parent = F.when(F.lit(level > 0), F.substring("node_id", 1, len(ROOT) + level - 1))
+        side = F.when(F.lit(level > 0), F.substring("node_id", len(ROOT) + level, 1))
+        values = {
+            "epoch": F.lit(0), "parent_id": parent, "depth": F.lit(level), "side": side, "is_leaf": F.col("split_feature").isNull(), "features": F.col("x.feature"), "medians": F.col("x.m"), "dispersions": F.col("x.d"), "weights": F.transform("x", lambda _: F.lit(1.0)),
+            "local_gains": F.lit(None), "absolute_gains": F.lit(None),
+        }
+        rows = rows.select(*[values.get(n, F.col(n)).cast(t).alias(n) for n, t in (c.split() for c in NODE_SQL.split(", "))]).checkpoint()
+        out = rows if out is None else out.unionByName(rows)
+        if level < depth:
+            at = at_next
+    return with_gains(out).checkpoint()
+
+
+def with_gains(nodes: DataFrame) -> DataFrame:
+    """The node table with the gains of its own dispersions in it."""
+    ordered = F.struct(F.col("feature"), "local_gain", "absolute_gain")
+    g = gains(nodes).groupBy("tree_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", ordered))).alias("g"))
+    full = nodes.drop("local_gains", "absolute_gains").join(g, ["tree_id", "node_id"])
+    known = F.col("parent_id").isNotNull()
+    for name in ("local_gain", "absolute_gain"):
+        full = full.withColumn(f"{name}s", F.when(known, F.transform("features", lambda f: F.col("g")[f][name])))  # noqa: B023
+    return full.select(*[c.split()[0] for c in NODE_SQL.split(", ")])
+
+
 def root_only(matrix: DataFrame, p: Parameters) -> DataFrame:
     """The prototype: one root over all samples and features, not split."""
     from thicket.operators.stats import summary

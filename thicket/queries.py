@@ -1,8 +1,9 @@
 """One query for each operator over the test tables, and the SQL that checks it.
 
 The matrices: ``lineitem`` (a line is a sample; quantity, price, discount and tax are its
-features; zeros are missing), customers by nation for split scans, and two small trees
-written out below for routing and forest analytics.
+features; zeros are missing) and customers with three features, some cells missing.
+Customers by nation are the nodes of the split scans, and of a forest for routing and
+forest analytics: a tree for each nation, grown over all its customers.
 """
 
 from __future__ import annotations
@@ -25,22 +26,6 @@ SQL: dict[str, str] = {}
 LINE_ID = "((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 1013 + l_suppkey"
 FEATURES = ["quantity", "extendedprice", "discount", "tax"]
 
-#: Two trees: (tree, node, parent, depth, side, split feature, split value, samples, medians, dispersions) over two outputs.
-OUTPUTS = ["quantity", "extendedprice"]
-TREES = [
-    (1, "RT", None, 0, None, "discount", 0.05, ["1", "2", "3", "4", "5", "6"], [25.0, 36000.0], [12.0, 17000.0]),
-    (1, "RTL", "RT", 1, "L", None, None, ["1", "2", "3"], [20.0, 30000.0], [8.0, 9000.0]),
-    (1, "RTR", "RT", 1, "R", "tax", 0.04, ["4", "5", "6"], [28.0, 40000.0], [10.0, 15000.0]),
-    (1, "RTRL", "RTR", 2, "L", None, None, ["4", "5"], [24.0, 35000.0], [0.0, 5000.0]),
-    (1, "RTRR", "RTR", 2, "R", None, None, ["6"], [33.0, 45000.0], [7.0, 12000.0]),
-    (2, "RT", None, 0, None, "quantity", 25.0, ["2", "3", "4", "5", "6", "7"], [26.0, 35000.0], [13.0, 16000.0]),
-    (2, "RTL", "RT", 1, "L", "discount", 0.03, ["2", "3", "4"], [12.0, 18000.0], [6.0, 8000.0]),
-    (2, "RTR", "RT", 1, "R", None, None, ["5", "6", "7"], [38.0, 52000.0], [6.0, 20000.0]),
-    (2, "RTLL", "RTL", 2, "L", None, None, ["2"], [10.0, 15000.0], [5.0, 4000.0]),
-    (2, "RTLR", "RTL", 2, "R", None, None, ["3", "4"], [14.0, 21000.0], [4.0, 6000.0]),
-]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,16 +67,20 @@ def flagged(spark: SparkSession, d: str) -> DataFrame:
 G = "g as (select * from (select l_returnflag, unnest(['quantity','extendedprice','discount','tax']) as feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as value from lineitem) where value <> 0)"
 
 
+#: Features of customers: column, every how manieth is missing, and its value as SQL.
+CUSTOMER = [("a", 11, "c_acctbal"), ("b", 13, "((c_custkey * 7919) % 1009) / 8.0 - 60"), ("c", 17, "((c_custkey * 4657 + c_nationkey * 31) % 757) / 4.0 + 5")]
+OUTPUTS = [c for c, _, _ in CUSTOMER]
+
+
 def nations(spark: SparkSession, d: str) -> DataFrame:
-    """Customers by nation: node, sample and two features, some cells missing."""
+    """Customers by nation: node, sample and features, some cells missing."""
     t = table(spark, d, "customer")
-    a = F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal"))
-    b = F.when(F.col("c_custkey") % 13 != 0, ((F.col("c_custkey") * 7919) % 1009) / 8.0 - 60)
-    return t.select(F.col("c_nationkey").alias("node"), F.col("c_custkey").alias("sample_id"), a.alias("a"), b.alias("b")).unpivot(["node", "sample_id"], ["a", "b"], "feature", "value")
+    cells = [F.when(F.col("c_custkey") % lost != 0, F.expr(f"cast({value} as double)")).alias(name) for name, lost, value in CUSTOMER]
+    return t.select(F.col("c_nationkey").alias("node"), F.col("c_custkey").alias("sample_id"), *cells).unpivot(["node", "sample_id"], OUTPUTS, "feature", "value")
 
 
-NM = """nm as (select node, sample_id, feature, value from (select c_nationkey as node, c_custkey as sample_id, unnest(['a', 'b']) as feature,
-  unnest([case when c_custkey % 11 <> 0 then c_acctbal end, case when c_custkey % 13 <> 0 then ((c_custkey * 7919) % 1009) / 8.0 - 60 end]) as value from customer)),
+NM = f"""nm as materialized (select node, sample_id, feature, value from (select c_nationkey as node, c_custkey as sample_id, unnest({OUTPUTS}) as feature,
+  unnest([{", ".join(f"case when c_custkey % {lost} <> 0 then cast({value} as double) end" for _, lost, value in CUSTOMER)}]) as value from customer)),
 dr as (select node, feature as split_feature, sample_id, value as split_value, row_number() over (partition by node, feature order by value, sample_id) - 1 as k,
   count(*) over (partition by node, feature) as n from nm where value is not null),
 al as (select dr.*, nm.feature, nm.value from dr join nm using (node, sample_id) where n >= 6)"""
@@ -103,7 +92,7 @@ NMS = NM + f""", sc as (select *, coalesce(case when count(value) {ORDERED} < 2
 
 def score_sql(before: str, onward: str, norm: str) -> str:
     d = f"({onward} * (n + 1 - k) / (n + 1.0) + {before} * (k + 1) / (n + 1.0))"
-    return f"ss as (select node, split_feature, k, n, any_value(split_value) as split_value, sum(case when feature <> split_feature then {d if norm == 'l1' else d + ' * ' + d} else 0 end) as score from sc group by node, split_feature, k, n)"
+    return f"ss as (select node, split_feature, k, n, any_value(split_value) as split_value, sum(case when feature <> split_feature then {d if norm == 'l1' else d + ' * ' + d} else 0 end) / sum(case when feature <> split_feature then 1 else 0 end) as score from sc group by node, split_feature, k, n)"
 
 
 def along(spark: SparkSession, d: str) -> DataFrame:
@@ -111,46 +100,72 @@ def along(spark: SparkSession, d: str) -> DataFrame:
     return scan.drawn(m, m)
 
 
-def trees(spark: SparkSession, _: str = "") -> DataFrame:
-    rows = [(t, 0, n, p, depth, side, f, v, f is None, len(s), s, OUTPUTS, m, x, [1.0, 1.0], None, None) for t, n, p, depth, side, f, v, s, m, x in TREES]
-    bare = spark.createDataFrame(rows, forest.NODE_SQL)
-    g = forest.gains(bare).groupBy("tree_id", "node_id").agg(F.array_sort(F.collect_list(F.struct((F.array_position(F.lit(OUTPUTS), F.col("feature"))).alias("i"), "local_gain", "absolute_gain"))).alias("g"))
-    full = bare.drop("local_gains", "absolute_gains").join(F.broadcast(g), ["tree_id", "node_id"])
-    known = F.col("parent_id").isNotNull()
-    full = full.withColumn("local_gains", F.when(known, F.col("g.local_gain"))).withColumn("absolute_gains", F.when(known, F.col("g.absolute_gain")))
-    return full.select(*[c.split()[0] for c in forest.NODE_SQL.split(", ")])
+#: Of the forest over nations: nodes of more samples are split, down to a depth.
+LEAF, DEPTH = 5, 2
+_forests: dict[tuple[str, str], DataFrame] = {}
 
 
-def _quoted(x) -> str:
-    return "null" if x is None else f"'{x}'" if isinstance(x, str) else "[" + ", ".join(map(_quoted, x)) + "]" if isinstance(x, list) else repr(x) + "e0" if isinstance(x, float) else repr(x)
+def trees(spark: SparkSession, d: str) -> DataFrame:
+    """A tree for each nation, over all its customers; grown once for each session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _forests:
+        _forests[key] = grown(spark, d)
+    return _forests[key]
 
 
-N = "n0(tree_id, node_id, parent_id, depth, side, split_feature, split_value, samples, medians, dispersions) as (values " + ", ".join("(" + ", ".join(map(_quoted, t)) + ")" for t in TREES) + """),
-lf0 as (select tree_id, node_id, parent_id, depth, split_feature is null as is_leaf, unnest(['quantity', 'extendedprice']) as feature, unnest(medians) as median, unnest(dispersions) as dispersion from n0),
-lf1 as (select *, dispersion / median as cov from lf0),
-lf as (select a.*, b.cov - a.cov as local_gain, case when a.parent_id is not null then r.cov - a.cov end as absolute_gain from lf1 a left join lf1 b on a.tree_id = b.tree_id and a.parent_id = b.node_id and a.feature = b.feature
-  join lf1 r on r.tree_id = a.tree_id and r.node_id = 'RT' and r.feature = a.feature)"""
+def grown(spark: SparkSession, d: str) -> DataFrame:
+    return forest.fit_levels(nations(spark, d).withColumn("tree_id", (F.col("node") + 1).cast("int")), LEAF, DEPTH)
 
 
-def few_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d)
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    return nations(spark, d).drop("node")
+
+
+def level_sql(k: int) -> str:
+    """The scan of all nodes of a level, their best splits, and the next level's cells."""
+    at = "over (partition by tree_id, node_id, split_feature, feature order by k rows between "
+    before, onward = at + "unbounded preceding and 1 preceding)", at + "current row and unbounded following)"
+    return f"""sz{k} as (select tree_id, node_id, count(distinct sample_id) as samples from c{k} group by all),
+dr{k} as materialized (select tree_id, node_id, feature as split_feature, sample_id, value as split_value, row_number() over (partition by tree_id, node_id, feature order by value, sample_id) - 1 as k, count(*) over (partition by tree_id, node_id, feature) as n
+  from c{k} join sz{k} using (tree_id, node_id) where value is not null and samples > {LEAF}),
+al{k} as (select dr{k}.*, c{k}.feature, c{k}.value from dr{k} join c{k} using (tree_id, node_id, sample_id) where n >= 6),
+sc{k} as (select *, coalesce(case when count(value) {before} < 2 then 0 else mad(value) {before} end, 0) as mb, coalesce(case when count(value) {onward} < 2 then 0 else mad(value) {onward} end, 0) as mo from al{k}),
+ss{k} as (select tree_id, node_id, split_feature, k, n, any_value(split_value) as split_value, sum(case when feature <> split_feature then (mo * (n + 1 - k) / (n + 1.0) + mb * (k + 1) / (n + 1.0)) else 0 end) / sum(case when feature <> split_feature then 1 else 0 end) as score from sc{k} group by tree_id, node_id, split_feature, k, n),
+bc{k} as (select tree_id, node_id, split_feature, arg_min({{k: k, v: split_value, n: n, s: score}}, {{s: score, k: -k}}) as b from ss{k} where k between 3 and n - 3 group by 1, 2, 3),
+ct{k} as (select tree_id, node_id, split_feature, b.k as k, b.v as split_value, b.s * (samples - b.n + 1) as score from bc{k} join sz{k} using (tree_id, node_id)),
+bs{k} as materialized (select tree_id, node_id, arg_min({{f: split_feature, k: k, v: split_value}}, {{s: score, f: split_feature}}) as b from ct{k} group by 1, 2),
+c{k + 1} as materialized (select c{k}.tree_id, c{k}.node_id || case when dr{k}.k < b.k then 'L' else 'R' end as node_id, c{k}.sample_id, c{k}.feature, c{k}.value
+  from bs{k} join dr{k} on dr{k}.tree_id = bs{k}.tree_id and dr{k}.node_id = bs{k}.node_id and dr{k}.split_feature = b.f join c{k} on c{k}.tree_id = dr{k}.tree_id and c{k}.node_id = dr{k}.node_id and c{k}.sample_id = dr{k}.sample_id)"""
+
+
+#: The forest over nations in SQL: nodes ``n0``, their outputs ``lf``.
+N = f"""{NM}, c0 as (select node + 1 as tree_id, 'RT' as node_id, sample_id, feature, value from nm), {", ".join(map(level_sql, range(DEPTH)))},
+cs as materialized ({" union all ".join(f"select * from c{k}" for k in range(DEPTH + 1))}),
+cut as ({" union all ".join(f"select * from bs{k}" for k in range(DEPTH))}),
+n0 as materialized (select tree_id, node_id, case when len(node_id) > 2 then node_id[:-2] end as parent_id, len(node_id) - 2 as depth, case when len(node_id) > 2 then node_id[-1] end as side, b.f as split_feature, b.v as split_value, samples
+  from (select tree_id, node_id, list(distinct cast(sample_id as varchar)) as samples from cs group by all) left join cut using (tree_id, node_id)),
+lf0 as (select tree_id, node_id, parent_id, depth, split_feature is null as is_leaf, feature, coalesce(median(value), 0) as median, coalesce(case when count(value) < 2 then 0 else mad(value) end, 0) as dispersion from cs join n0 using (tree_id, node_id) group by all),
+lf1 as (select *, case when median <> 0 then dispersion / median else 0 end as cov from lf0),
+lf as materialized (select a.*, b.cov - a.cov as local_gain, case when a.parent_id is not null then r.cov - a.cov end as absolute_gain from lf1 a left join lf1 b on a.tree_id = b.tree_id and a.parent_id = b.node_id and a.feature = b.feature
+  join lf1 r on r.tree_id = a.tree_id and r.node_id = 'RT' and r.feature = a.feature)"""
 
 
 def route_sql(policy: str) -> str:
-    step = {
-        "branch": "(kid.side = 'L' and (v.value is null or v.value <= f.split_value)) or (kid.side = 'R' and (v.value is null or v.value > f.split_value))",
-        "truncate": "(kid.side = 'L' and v.value <= f.split_value) or (kid.side = 'R' and v.value > f.split_value)",
-        "abort": "(kid.side = 'L' and v.value <= f.split_value) or (kid.side = 'R' and v.value > f.split_value)",
-    }[policy]
-    ended = "f.split_feature is null" + (" or v.value is null" if policy == "truncate" else "")
-    level = lambda a, b: f"{b} as (select f.sample_id, f.tree_id, kid.node_id, kid.split_feature, kid.split_value from {a} f left join c v on v.sample_id = f.sample_id and v.feature = f.split_feature join n0 kid on kid.tree_id = f.tree_id and kid.parent_id = f.node_id where {step})"
-    end = lambda a: f"select f.sample_id, f.tree_id, f.node_id from {a} f left join c v on v.sample_id = f.sample_id and v.feature = f.split_feature where {ended}"
-    return f"{C}, {N}, f0 as (select distinct m.sample_id, n0.tree_id, n0.node_id, n0.split_feature, n0.split_value from m, n0 where n0.node_id = 'RT'), {level('f0', 'f1')}, {level('f1', 'f2')}, rt as ({end('f0')} union all {end('f1')} union all {end('f2')})"
+    """Each sample's path through a tree in one pass over wide rows: a list of the nodes that it ends in."""
+    left, right = "x <= t.v", "x > t.v"
+    if policy == "branch":
+        left, right = "x is null or x <= t.v", "x is null or x > t.v"
+    stop = "t.f is null" + (" or x is null" if policy == "truncate" else "")
+    step = lambda k: f"w{k + 1} as (select sample_id, a, b, c, tree_id, node_id || side as node_id from x{k} t, (values ('L'), ('R')) s(side) where t.f is not null and case when side = 'L' then {left} else {right} end)"
+    look = lambda k: f"x{k} as materialized (select w.*, n0.split_feature as f, n0.split_value as v, case n0.split_feature when 'a' then a when 'b' then b when 'c' then c end as x from w{k} w join n0 using (tree_id, node_id))"
+    wide = "w0 as (select sample_id, a, b, c, tree_id, 'RT' as node_id from (select sample_id, max(value) filter (where feature = 'a') as a, max(value) filter (where feature = 'b') as b, max(value) filter (where feature = 'c') as c from nm group by sample_id), (select distinct tree_id from n0))"
+    levels = ", ".join(x for k in range(DEPTH) for x in (look(k), step(k)))
+    return f"{N}, {wide}, {levels}, {look(DEPTH)}, rt as materialized ({' union all '.join(f'select sample_id, tree_id, node_id from x{k} t where {stop}' for k in range(DEPTH + 1))})"
 
 
 def routed(spark: SparkSession, d: str, policy: str) -> DataFrame:
-    m = few_lines(spark, d)
-    return predict.route(trees(spark), predict._with_all_samples(predict.present(m, DropMode.ZEROS), m), policy)
+    m = customers(spark, d)
+    return predict.route(trees(spark, d), predict._with_all_samples(predict.present(m, DropMode.NO), m), policy)
 
 
 # Matrix and statistics ---------------------------------------------------------------
@@ -204,9 +219,9 @@ def fetch_cell(spark, d):
     return mx.cell(lines(spark, d), "tax", first)
 
 
-@query(f"with {M} select sample_id, feature, value - value * 0.5 as difference, value * (value * 0.5) as product, value + value * 0.5 as total from m")
+@query(f"with {NM} select sample_id, feature, x - x * 0.5 as difference, x * (x * 0.5) as product, x + x * 0.5 as total from (select sample_id, feature, coalesce(value, 0) as x from nm)")
 def matrix_arithmetic(spark, d):
-    a = lines(spark, d)
+    a = customers(spark, d)
     got = mx.combined(a, a.withColumn("value", F.col("value") * 0.5), ["subtract", "multiply", "add"])
     return got.select("sample_id", "feature", F.col("subtract").alias("difference"), F.col("multiply").alias("product"), F.col("add").alias("total"))
 
@@ -311,22 +326,22 @@ def cuts(spark, d, best="min"):
     return scan.best_cuts(scan.split_scores(along(spark, d)), sizes, best)
 
 
-@query(f"{CUTS} select node, split_feature, k, split_value, round(score, 2) as score from ct")
+@query(f"{CUTS} select node, split_feature, k, split_value, round(score * {UNEVEN}, 2) as score from ct")
 def best_cuts(spark, d):
-    return cuts(spark, d).select("node", "split_feature", F.col("k").cast("long"), "split_value", r4("score", 2).alias("score"))
+    return cuts(spark, d).select("node", "split_feature", F.col("k").cast("long"), "split_value", r4(F.col("score") * UNEVEN, 2).alias("score"))
 
 
-@query(f"with {NMS}, {score_sql('mb', 'mo', 'l1')}, bc as (select node, split_feature, arg_max({{k: k, n: n, s: score}}, {{s: score, k: -k}}) as b from ss where k between 3 and n - 3 group by 1, 2) select node, split_feature, b.k as k, round(b.s * b.n, 2) as score from bc")
+@query(f"with {NMS}, {score_sql('mb', 'mo', 'l1')}, bc as (select node, split_feature, arg_max({{k: k, n: n, s: score}}, {{s: score, k: -k}}) as b from ss where k between 3 and n - 3 group by 1, 2) select node, split_feature, b.k as k, round(b.s * b.n * {UNEVEN}, 2) as score from bc")
 def best_cuts_max(spark, d):
-    return cuts(spark, d, "max").select("node", "split_feature", F.col("k").cast("long"), r4("score", 2).alias("score"))
+    return cuts(spark, d, "max").select("node", "split_feature", F.col("k").cast("long"), r4(F.col("score") * UNEVEN, 2).alias("score"))
 
 
 BEST = f"{CUTS}, bs as (select node, arg_min({{f: split_feature, k: k, v: split_value, s: score}}, {{s: score, f: split_feature}}) as b from ct group by node)"
 
 
-@query(f"{BEST} select node, b.f as split_feature, b.k as k, b.v as split_value, round(b.s, 2) as score from bs")
+@query(f"{BEST} select node, b.f as split_feature, b.k as k, b.v as split_value, round(b.s * {UNEVEN}, 2) as score from bs")
 def best_split(spark, d):
-    return scan.best_split(cuts(spark, d)).select("node", "split_feature", F.col("k").cast("long"), "split_value", r4("score", 2).alias("score"))
+    return scan.best_split(cuts(spark, d)).select("node", "split_feature", F.col("k").cast("long"), "split_value", r4(F.col("score") * UNEVEN, 2).alias("score"))
 
 
 @query(f"{BEST} select bs.node, case when dr.k < b.k then 'L' else 'R' end as side, sample_id from bs join dr on dr.node = bs.node and dr.split_feature = b.f")
@@ -353,8 +368,8 @@ for _policy in ("branch", "truncate", "abort"):
 
 @query(f"with {route_sql('branch')} select sample_id, tree_id, node_id from rt")
 def route_branch_joined(spark, d):
-    m = few_lines(spark, d)
-    return predict.route_joined(trees(spark), predict._with_all_samples(predict.present(m, DropMode.ZEROS), m), "branch")
+    m = customers(spark, d)
+    return predict.route_joined(trees(spark, d), predict._with_all_samples(predict.present(m, DropMode.NO), m), "branch")
 
 
 WEIGHTS = {
@@ -365,18 +380,18 @@ WEIGHTS = {
 
 
 def _leaves(spark, d, policy="branch"):
-    lf = forest.leaf_features(trees(spark)).select("tree_id", "node_id", "feature", "median", "dispersion", "cov", "absolute_gain")
-    return routed(spark, d, policy).join(F.broadcast(lf), ["tree_id", "node_id"])
+    lf = forest.leaf_features(trees(spark, d)).select("tree_id", "node_id", "feature", "median", "dispersion", "cov", "absolute_gain")
+    return routed(spark, d, policy).join(lf, ["tree_id", "node_id"])
 
 
 def _average(weighing):
     literal = weighing.endswith("literal")
-    return lambda spark, d: predict.combine(_leaves(spark, d), weighing.removesuffix("_literal"), literal).select("sample_id", "feature", F.col("value").cast("float").alias("value"))
+    return lambda spark, d: predict.combine(_leaves(spark, d), weighing.removesuffix("_literal"), literal).select("sample_id", "feature", (F.col("value").cast("float") if literal else r4(F.col("value") * UNEVEN, 3)).alias("value"))
 
 
 for _name, _sql in WEIGHTS.items():
     QUERIES[f"leaf_average_{_name}"] = _average(_name)
-    SQL[f"leaf_average_{_name}"] = f"with {route_sql('branch')} select sample_id, feature, cast(coalesce({_sql}, 0) as float) as value from rt join lf using (tree_id, node_id) group by sample_id, feature"
+    SQL[f"leaf_average_{_name}"] = f"with {route_sql('branch')} select sample_id, feature, {f'cast(coalesce({_sql}, 0) as float)' if _name.endswith('literal') else f'round(coalesce({_sql}, 0) * {UNEVEN}, 3)'} as value from rt join lf using (tree_id, node_id) group by sample_id, feature"
 
 STACK = f"with {route_sql('branch')}, iv as (select sample_id, feature, median - dispersion as s, median + dispersion as e from rt join lf using (tree_id, node_id)), st as (select sample_id, feature, pos, sum(d) as d from (select sample_id, feature, s as pos, 1 as d from iv union all select sample_id, feature, e, -1 from iv) group by all), sg as (select sample_id, feature, pos as start, lead(pos) over w as end_, sum(d) over w as score from st window w as (partition by sample_id, feature order by pos))"
 
@@ -391,62 +406,78 @@ def stacking_predict(spark, d):
     return predict.stacked(predict.interval_stack(predict.intervals(_leaves(spark, d))))
 
 
-@query(f"with {route_sql('truncate')} select g.sample_id, g.feature, cast(coalesce(v, 0) as float) as value from (select distinct m.sample_id, x.feature from m, (select distinct feature from lf) x) g left join (select sample_id, feature, sum(median * greatest(coalesce(absolute_gain, 0), 0)) / nullif(sum(greatest(coalesce(absolute_gain, 0), 0)), 0) as v from rt join lf using (tree_id, node_id) group by all) p using (sample_id, feature)")
+@query(f"with {route_sql('truncate')} select g.sample_id, g.feature, round(coalesce(v, 0) * {UNEVEN}, 3) as value from (select distinct nm.sample_id, x.feature from nm, (select distinct feature from lf) x) g left join (select sample_id, feature, sum(median * greatest(coalesce(absolute_gain, 0), 0)) / nullif(sum(greatest(coalesce(absolute_gain, 0), 0)), 0) as v from rt join lf using (tree_id, node_id) group by all) p using (sample_id, feature)")
 def predict_truncate_gain(spark, d):
-    return predict.predict(trees(spark), few_lines(spark, d), "truncate").select("sample_id", "feature", F.col("value").cast("float").alias("value"))
+    return predict.predict(trees(spark, d), customers(spark, d), "truncate", mode=DropMode.NO).select("sample_id", "feature", r4(F.col("value") * UNEVEN, 3).alias("value"))
 
 
 # Forest analytics ----------------------------------------------------------------------
 
 
+@query(f"with {N} select tree_id, node_id, parent_id, depth, side, split_feature, split_value, split_feature is null as is_leaf, cast(len(samples) as bigint) as n_samples from n0")
+def forest_levels(spark, d):
+    return grown(spark, d).select("tree_id", "node_id", "parent_id", F.col("depth").cast("long"), "side", "split_feature", "split_value", "is_leaf", "n_samples")
+
+
+@query(f"with {N} select nm.sample_id, nm.feature, nm.value, r.pos from (select sample_id, row_number() over (order by value nulls first, sample_id) as pos from nm where node = 0 and feature = (select split_feature from n0 where tree_id = 1 and node_id = 'RT')) r join nm using (sample_id)")
+def node_cells(spark, d):
+    return analytics.node_cells(trees(spark, d), customers(spark, d), 1, "RT").select("sample_id", "feature", "value", F.col("pos").cast("long"))
+
+
+@query(f"with {NM}, e as (select sample_id, feature, value from nm where node = 0 and value is not null) select y.feature, round(corr(x.value, y.value), 6) as r from e x join e y using (sample_id) where x.feature = 'a' group by 1")
+def node_correlations(spark, d):
+    cells = analytics.node_cells(trees(spark, d), customers(spark, d), 1, "RT").filter("value is not null")
+    return analytics.node_correlations(cells, "a").select("feature", r4("r", 6).alias("r"))
+
+
 @query(f"with {N} select tree_id, node_id, feature, round(local_gain, 6) as local_gain, round(absolute_gain, 6) as absolute_gain from lf")
 def node_gains(spark, d):
-    return forest.gains(trees(spark)).select("tree_id", "node_id", "feature", r4("local_gain", 6).alias("local_gain"), r4("absolute_gain", 6).alias("absolute_gain"))
+    return forest.gains(trees(spark, d)).select("tree_id", "node_id", "feature", r4("local_gain", 6).alias("local_gain"), r4("absolute_gain", 6).alias("absolute_gain"))
 
 
 @query(f"with {N} select tree_id, node_id, feature, round(cov, 6) as cov from lf")
 def node_covs(spark, d):
-    return analytics.covs(trees(spark)).select("tree_id", "node_id", "feature", r4("cov", 6).alias("cov"))
+    return analytics.covs(trees(spark, d)).select("tree_id", "node_id", "feature", r4("cov", 6).alias("cov"))
 
 
 @query(f"with {N} select tree_id, node_id, unnest(samples) as sample_id from n0")
 def membership_encoding(spark, d):
-    return analytics.membership(trees(spark))
+    return analytics.membership(trees(spark, d))
 
 
 @query(f"with {N} select tree_id, node_id, feature, median from lf")
 def median_matrix(spark, d):
-    return analytics.median_matrix(trees(spark))
+    return analytics.median_matrix(trees(spark, d))
 
 
 @query(f"with {N} select split_feature as feature, list_sort(list(depth + 1))::varchar as levels, count(*) as frequency, round(sum(5.0 / (depth + 1)), 6) as score from n0 where split_feature is not null group by 1")
 def feature_levels(spark, d):
-    return analytics.feature_levels(trees(spark)).select("feature", F.concat(F.lit("["), F.array_join("levels", ", "), F.lit("]")).alias("levels"), "frequency", r4("score", 6).alias("score"))
+    return analytics.feature_levels(trees(spark, d)).select("feature", F.concat(F.lit("["), F.array_join("levels", ", "), F.lit("]")).alias("levels"), "frequency", r4("score", 6).alias("score"))
 
 
 @query(f"with {N} select split_feature as feature, round(sum(5.0 / (depth + 1)), 6) as score from n0 where split_feature is not null group by 1 order by 2 desc, 1 limit 2")
 def top_features(spark, d):
-    return analytics.top(analytics.feature_levels(trees(spark)).select("feature", r4("score", 6).alias("score")), "score", 2)
+    return analytics.top(analytics.feature_levels(trees(spark, d)).select("feature", r4("score", 6).alias("score")), "score", 2)
 
 
 @query(f"with {N} select p.split_feature, lf.feature, count(lf.local_gain) as n, round(avg(lf.local_gain), 6) as gain from lf join n0 p on p.tree_id = lf.tree_id and p.node_id = lf.parent_id group by all")
 def gain_pairs(spark, d):
-    return analytics.gain_pairs(trees(spark)).select("split_feature", "feature", "n", r4("gain", 6).alias("gain"))
+    return analytics.gain_pairs(trees(spark, d)).select("split_feature", "feature", "n", r4("gain", 6).alias("gain"))
 
 
 @query(f"with {N} select p.split_feature, lf.feature, round(avg(lf.absolute_gain), 6) as gain from lf join n0 p on p.tree_id = lf.tree_id and p.node_id = lf.parent_id where is_leaf group by all having avg(lf.absolute_gain) > 0.1")
 def strong_leaf_pairs(spark, d):
-    return analytics.strong_pairs(analytics.gain_pairs(trees(spark), "absolute_gain"), 0.1).select("split_feature", "feature", r4("gain", 6).alias("gain"))
+    return analytics.strong_pairs(analytics.gain_pairs(trees(spark, d), "absolute_gain"), 0.1).select("split_feature", "feature", r4("gain", 6).alias("gain"))
 
 
 @query(f"with {N}, l as (select tree_id, feature, avg(cov) as c from lf where is_leaf group by all) select lf.tree_id, lf.feature, round(lf.cov, 6) as root_cov, round(l.c, 6) as leaf_cov, round(lf.cov - l.c, 6) as gain from lf join l using (tree_id, feature) where node_id = 'RT'")
 def root_leaf_covs(spark, d):
-    return analytics.root_leaf(trees(spark)).select("tree_id", "feature", *[r4(c, 6).alias(c) for c in ("root_cov", "leaf_cov", "gain")])
+    return analytics.root_leaf(trees(spark, d)).select("tree_id", "feature", *[r4(c, 6).alias(c) for c in ("root_cov", "leaf_cov", "gain")])
 
 
-@query(f"with {N}, k as (select tree_id, split_feature as f, count(*) as n from n0 where split_feature is not null group by all), p as (select a.f as f1, b.f as f2, count(*) as trees, sum(a.n * b.n) as xy from k a join k b using (tree_id) group by all), s as (select f, sum(n) as s from k group by f) select f1, f2, trees, round(xy - a.s * b.s / 2.0, 6) as covariance from p join s a on a.f = f1 join s b on b.f = f2")
+@query(f"with {N}, k as (select tree_id, split_feature as f, count(*) as n from n0 where split_feature is not null group by all), p as (select a.f as f1, b.f as f2, count(*) as trees, sum(a.n * b.n) as xy from k a join k b using (tree_id) group by all), s as (select f, sum(n) as s from k group by f) select f1, f2, trees, round((xy - a.s * b.s / t) / (t - 1), 6) as covariance from p join s a on a.f = f1 join s b on b.f = f2, (select count(distinct tree_id)::double as t from n0)")
 def feature_cooccurrence(spark, d):
-    return analytics.cooccurrence(trees(spark)).select("f1", "f2", "trees", r4("covariance", 6).alias("covariance"))
+    return analytics.cooccurrence(trees(spark, d)).select("f1", "f2", "trees", r4("covariance", 6).alias("covariance"))
 
 
 JD = f"with {N}, s as (select tree_id || '/' || node_id as node, samples from n0)"
@@ -454,31 +485,31 @@ JD = f"with {N}, s as (select tree_id || '/' || node_id as node, samples from n0
 
 @query(f"{JD} select a.node as a, b.node as b, round(1 - len(list_intersect(a.samples, b.samples)) / cast(len(list_distinct(list_concat(a.samples, b.samples))) as double), 6) as distance from s a join s b on a.node < b.node where len(list_intersect(a.samples, b.samples)) > 0")
 def node_jaccard(spark, d):
-    return analytics.jaccard_distances(trees(spark)).select("a", "b", r4("distance", 6).alias("distance"))
+    return analytics.jaccard_distances(trees(spark, d)).select("a", "b", r4("distance", 6).alias("distance"))
 
 
 @query()
 def node_clusters(spark, d):
-    n = trees(spark)
+    n = trees(spark, d)
     return analytics.clusters(analytics.jaccard_distances(n), n, 0.5, 2)
 
 
 @query()
 def cluster_statistics(spark, d):
-    n = trees(spark)
+    n = trees(spark, d)
     labels = analytics.clusters(analytics.jaccard_distances(n), n, 0.5, 2)
     out = analytics.cluster_stats(n, labels).join(analytics.tree_histogram(n, labels).groupBy("cluster").agg(F.max("n").alias("most")), "cluster")
     return out.join(analytics.requirement_frequency(n, labels).groupBy("cluster").agg(F.sum("n").alias("requirements")), "cluster", "left")
 
 
-@query(f"with {N}, l as (select tree_id, node_id, feature, coalesce(local_gain, 0) as g from lf where is_leaf) select a.tree_id, a.feature as f1, b.feature as f2, round(corr(a.g, b.g), 6) as corr from l a join l b using (tree_id, node_id) group by all")
+@query(f"with {N}, l as (select tree_id, node_id, feature, coalesce(local_gain, 0) as g from lf where is_leaf) select a.tree_id, a.feature as f1, b.feature as f2, round(case when var_pop(a.g) <= 1e-12 * avg(a.g * a.g) or var_pop(b.g) <= 1e-12 * avg(b.g * b.g) then 0 else corr(a.g, b.g) end, 6) as corr from l a join l b using (tree_id, node_id) group by all")
 def gain_correlation(spark, d):
-    return boost.gain_correlation(trees(spark)).select("tree_id", "f1", "f2", r4("corr", 6).alias("corr"))
+    return boost.gain_correlation(trees(spark, d)).select("tree_id", "f1", "f2", r4("corr", 6).alias("corr"))
 
 
-@query(f"with {N}, l as (select tree_id, node_id, feature, coalesce(local_gain, 0) as g from lf where is_leaf), k as (select a.tree_id, a.feature as f1, b.feature as f2, corr(a.g, b.g) as corr from l a join l b using (tree_id, node_id) group by all) select f1, f2, round(avg(corr), 6) as corr from k group by all")
+@query(f"with {N}, l as (select tree_id, node_id, feature, coalesce(local_gain, 0) as g from lf where is_leaf), k as (select a.tree_id, a.feature as f1, b.feature as f2, case when var_pop(a.g) <= 1e-12 * avg(a.g * a.g) or var_pop(b.g) <= 1e-12 * avg(b.g * b.g) then 0 else corr(a.g, b.g) end as corr from l a join l b using (tree_id, node_id) group by all) select f1, f2, round(avg(corr), 6) as corr from k group by all")
 def similarity_mean(spark, d):
-    return boost.similarity(trees(spark)).select("f1", "f2", r4("corr", 6).alias("corr"))
+    return boost.similarity(trees(spark, d)).select("f1", "f2", r4("corr", 6).alias("corr"))
 
 
 UP = f"with {N}, e as (select c.tree_id, c.node_id, p.split_feature || case when c.side = 'L' then '<' else '>' end || cast(p.split_value as varchar) as req, c.parent_id from n0 c join n0 p on p.tree_id = c.tree_id and p.node_id = c.parent_id), u as (select tree_id, node_id, req from e union all select a.tree_id, a.node_id, b.req from e a join e b on a.tree_id = b.tree_id and a.parent_id = b.node_id)"
@@ -486,22 +517,22 @@ UP = f"with {N}, e as (select c.tree_id, c.node_id, p.split_feature || case when
 
 @query(f"{UP} select n0.tree_id, n0.node_id, coalesce(string_agg(req, ';' order by req), '') as path from n0 left join u using (tree_id, node_id) group by all")
 def node_requirements(spark, d):
-    return analytics.requirement_paths(trees(spark))
+    return analytics.requirement_paths(trees(spark, d))
 
 
 @query(f"with {N} select tree_id, node_id from n0 where depth = 1 or split_feature is null and depth < 1")
 def leaves_at_depth(spark, d):
-    return analytics.leaves_at(analytics.to_depth(trees(spark), 1), 1).select("tree_id", "node_id")
+    return analytics.leaves_at(analytics.to_depth(trees(spark, d), 1), 1).select("tree_id", "node_id")
 
 
 @query(f"with {N} select tree_id, node_id from n0 a where split_feature is not null and not exists (select 1 from n0 b where b.tree_id = a.tree_id and b.parent_id = a.node_id and b.split_feature is not null)")
 def nodes_above_leaves(spark, d):
-    return analytics.above_leaves(trees(spark)).select("tree_id", "node_id")
+    return analytics.above_leaves(trees(spark, d)).select("tree_id", "node_id")
 
 
-@query(f"with {N} select tree_id, node_id, round(max(case when feature = 'quantity' then absolute_gain end), 6) as quantity, round(max(case when feature = 'extendedprice' then absolute_gain end), 6) as extendedprice from lf group by all")
+@query(f"with {N} select tree_id, node_id, round(max(case when feature = 'a' then absolute_gain end), 6) as a, round(max(case when feature = 'b' then absolute_gain end), 6) as b, round(max(case when feature = 'c' then absolute_gain end), 6) as c from lf group by all")
 def gain_vectors(spark, d):
-    return analytics.gain_vectors(trees(spark), OUTPUTS).select("tree_id", "node_id", *[r4(c, 6).alias(c) for c in OUTPUTS])
+    return analytics.gain_vectors(trees(spark, d), OUTPUTS).select("tree_id", "node_id", *[r4(c, 6).alias(c) for c in OUTPUTS])
 
 
 @query("select case when l_quantity < 5 then 0 when l_quantity >= 45 then 9 else 1 + cast(floor((l_quantity - 5) / 5) as bigint) end as bin, count(*) as n from lineitem group by 1")
@@ -511,19 +542,19 @@ def value_histogram(spark, d):
 
 @query(f"with {N} select feature, dispersion from lf where is_leaf")
 def leaf_dispersions(spark, d):
-    return analytics.dispersion_values(trees(spark))
+    return analytics.dispersion_values(trees(spark, d))
 
 
 @query(f"with {N} select tree_id || ':' || node_id as node, node_id || chr(9) || split_feature || chr(9) || cast(split_value as varchar) as value from n0 where split_feature is not null")
 def summary_lines(spark, d):
-    n = trees(spark)
+    n = trees(spark, d)
     return n.filter("not is_leaf").select(F.concat_ws(":", "tree_id", "node_id").alias("node"), F.concat_ws("\t", "node_id", "split_feature", F.col("split_value").cast("string")).alias("value"))
 
 
-@query(f"with {N} select tree_id, node_id, parent_id, depth, split_feature, split_value, medians[1] as first_median from n0")
+@query(f"with {N} select n0.tree_id, n0.node_id, n0.parent_id, n0.depth, split_feature, split_value, median as first_median from n0 join lf using (tree_id, node_id) where feature = 'a'")
 def forest_roundtrip(spark, d):
-    out = text.from_nested(text.nested(trees(spark)))
-    short = F.when(F.col("depth") == 0, "RT").otherwise(F.concat(F.lit("RT"), F.array_join(F.regexp_extract_all("node_id", F.lit(r"!F[^:]+:S[0-9.]+([LR])"), F.lit(1)), "")))
+    out = text.from_nested(text.nested(trees(spark, d)))
+    short = F.when(F.col("depth") == 0, "RT").otherwise(F.concat(F.lit("RT"), F.array_join(F.regexp_extract_all("node_id", F.lit(r"!F[^:]+:S[-+0-9.eE]+([LR])"), F.lit(1)), "")))
     out = out.withColumn("short", short)
     return out.select("tree_id", F.col("short").alias("node_id"), F.when(F.col("depth") > 0, F.expr("substring(short, 1, length(short) - 1)")).alias("parent_id"), "depth", "split_feature", "split_value", F.col("medians")[0].alias("first_median"))
 
@@ -568,10 +599,11 @@ def sample_weighted(spark, d):
     return sampling.weighted(c, 20, ["c_nationkey"], "c_custkey", "w", 7).groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("n"))
 
 
-@query("select 500 as n")
+@query("select 500 as n, 500 as known")
 def sample_with_replacement(spark, d):
     c = table(spark, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("w"))
-    return sampling.with_replacement(c, 500, "s_suppkey", "w", 7).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    got = sampling.with_replacement(c, 500, "s_suppkey", "w", 7).join(c.filter("w > 0"), "s_suppkey", "left")
+    return got.agg(F.countDistinct("draw").cast("int").alias("n"), F.count("w").cast("int").alias("known"))
 
 
 @query("select count(*) as n, 5 as pieces from customer")
