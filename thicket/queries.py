@@ -424,7 +424,7 @@ def node_cells(spark, d):
     return analytics.node_cells(trees(spark, d), customers(spark, d), 1, "RT").select("sample_id", "feature", "value", F.col("pos").cast("long"))
 
 
-@query(f"with {NM}, e as (select sample_id, feature, value from nm where node = 0 and value is not null) select y.feature, round(corr(x.value, y.value), 6) as r from e x join e y using (sample_id) where x.feature = 'a' group by 1")
+@query(f"with {N}, e as (select sample_id, feature, value from nm where node = 0 and value is not null and exists (select 1 from n0 where tree_id = 1 and node_id = 'RT' and split_feature is not null)) select y.feature, round(corr(x.value, y.value), 6) as r from e x join e y using (sample_id) where x.feature = 'a' group by 1")
 def node_correlations(spark, d):
     cells = analytics.node_cells(trees(spark, d), customers(spark, d), 1, "RT").filter("value is not null")
     return analytics.node_correlations(cells, "a").select("feature", r4("r", 6).alias("r"))
