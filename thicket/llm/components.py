@@ -10,8 +10,10 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component``, the smallest node reachable, of all nodes of links ``a, b``.
 
     Each step points nodes to the least of their neighbours. Minima are summed up in
-    the tasks before the shuffle, so a node with very many links is no bottleneck, and
-    each step's links are cut off from their lineage in the shared folder.
+    the tasks before the shuffle. The join that hands them back to a node's links is
+    split by the engine where a node has very many (adaptive skew joins; its other side
+    has one row a node). Each step's links are cut off from their lineage in the shared
+    folder. Null ends, and links of a node with itself, don't count; no links, no rows.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None

@@ -273,14 +273,19 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, scope: str =
     registers. Rows are linked by their texts alone, whatever ids they share. Null
     doc_id: as the largest; its component is null if it has no smaller member. One row
     of each group is kept; where several have its least doc_id, or null, any one of
-    them. An empty table gives an empty result.
+    them. Very long texts are read whole. Other columns are ignored. An empty table
+    gives an empty result.
     """
     return near_rows(docs, width, percent, scope).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def near_rows(docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
     """As ``near_groups``, with ``t``, the text's hash, and ``copy``: a row that isn't kept, of the doc_id and text of the kept one."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):  # all that goes to Python is written or checkpointed in there
+        return _near_rows(docs, width, percent, scope)
+
+
+def _near_rows(docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
     table = sketched(docs, width, scope)
     some = table.filter("n > 0")
     # A class of equal sets has a number, the id of everything up to the components, and a row with the least doc_id.
