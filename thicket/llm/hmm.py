@@ -16,22 +16,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import WordHash, shared_table, text_bytes
+from thicket.llm.shared import shared_table, text_bytes
 
-#: Tokens and distinct words at which a chunk ends, if it has a whole document, and chunks of a group.
-CHUNK_TOKENS, CHUNK_WORDS, GROUP_CHUNKS = 400_000, 65_000, 32
+#: Tokens at most (of more than one document) and distinct words at which a chunk ends, and chunks of a group.
+CHUNK_TOKENS, CHUNK_WORDS, GROUP_CHUNKS = 400_000, 60_000, 8
 #: Hash of the end token, which no word can be.
 END = np.uint64(0)
 #: Bytes of words that are counted in one range of hashes, and the least mean number of a group's words in a range.
 RANGE_BYTES, ROW_WORDS = 32 << 20, 64
 #: Tokens of a segment, those that lead into it, and how far states may differ where segments meet.
-RUN, WARM, TOLERANCE = 512, 48, 1e-4
+RUN, WARM, TOLERANCE = 256, 48, 1e-4
 #: Symbols in a block of counts.
 BLOCK = 1024
 #: Weight of the corpus' frequencies in each state's emissions.
@@ -46,12 +48,13 @@ def chunks(parts: Iterator[pa.RecordBatch], test_part: int, folds: int) -> Itera
     """Rows of CHUNK_SQL. Kind 1 is a chunk: the documents' ids and lengths, tokens as places in
     ``words``, and the distinct word hashes in order. Kind 0 is a group of chunks: their distinct
     words in order, and how often each stands in training documents."""
-    memo, serial, group = WordHash(seed=11), 0, 0
+    serial, group, task = 0, 0, 0
+    places = Places()
     held: list[np.ndarray] = []
     docs: list[int] = []
     tests: list[bool] = []
     counted: list[tuple[int, np.ndarray, np.ndarray]] = []
-    tokens, distinct, task = 0, set(), 0
+    tokens = 0
 
     def record(*row) -> pa.RecordBatch:
         types = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
@@ -60,11 +63,11 @@ def chunks(parts: Iterator[pa.RecordBatch], test_part: int, folds: int) -> Itera
     def close() -> pa.RecordBatch:
         nonlocal serial
         lens = np.array([len(x) for x in held], np.int32)
-        words, ids = np.unique(np.concatenate(held), return_inverse=True)
+        words, rank = np.unique(places.hashes(), return_inverse=True)
+        ids = rank.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)[np.concatenate(held)]
         counted.append((serial, words, np.bincount(ids[np.repeat(~np.array(tests), lens)], minlength=len(words))))
-        kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
         serial += 1
-        return record(1, (task << 24) + group, serial, np.array(docs, np.int64).tobytes(), lens.tobytes(), np.array(tests, np.uint8).tobytes(), ids.astype(kind).tobytes(), words.tobytes(), None)
+        return record(1, (task << 24) + group, serial, np.array(docs, np.int64).tobytes(), lens.tobytes(), np.array(tests, np.uint8).tobytes(), ids.tobytes(), words.tobytes(), None)
 
     def close_group() -> pa.RecordBatch:
         nonlocal group
@@ -75,25 +78,36 @@ def chunks(parts: Iterator[pa.RecordBatch], test_part: int, folds: int) -> Itera
 
     for batch in parts:
         for text, doc_id, label, part in zip(text_bytes(batch), batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), batch.column("task").to_pylist(), strict=True):
-            h = memo.all(text.lower().split())
-            h[h == END] = 1
-            fresh = set(h.tolist())
-            if held and (tokens + len(h) > CHUNK_TOKENS or len(distinct) + len(fresh) > CHUNK_WORDS):
+            words = text.lower().split()
+            if held and (tokens + len(words) > CHUNK_TOKENS or len(places) >= CHUNK_WORDS):
                 yield close()
-                held, docs, tests, tokens, distinct = [], [], [], 0, set()
+                places, held, docs, tests, tokens = Places(), [], [], [], 0
                 if len(counted) == GROUP_CHUNKS:
                     yield close_group()
-            held.append(np.append(h, END))
+            held.append(np.fromiter(chain(map(places.__getitem__, words), (0,)), np.uint32, len(words) + 1))
             docs.append(NULL_ID if doc_id is None else doc_id)
             tests.append(zlib.crc32((label or "").encode()) % folds == test_part)
-            tokens += len(h) + 1
-            distinct |= fresh
+            tokens += len(words) + 1
             task = part
     if held:
         yield close()
         yield close_group()
 
 
+class Places(dict):
+    """Words by the order in which they first come; the end of a text is the first."""
+
+    def __init__(self) -> None:
+        self[None] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w, 11) or 1 for w in self), np.uint64, len(self))
+
+
 def symbol(words: np.ndarray, symbols: int) -> np.ndarray:
     return (words % np.uint64(symbols - 1)).astype(np.int32) + 1 - (words == END)
 
@@ -183,41 +197,47 @@ def forward(model: Model, symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lens))
     if not len(lens):
         return out
-    alpha, total = None, np.zeros(len(lens))
+    alpha, total, ones = None, np.zeros(len(lens)), np.ones((len(model.first), 1), np.float32)
     for t, n in enumerate(active):
-        e = model.emit[symbols[starts[:n] + t]]
+        e = model.emit.take(symbols.take(starts[:n] + t), 0)
         alpha = e * model.first if alpha is None else (alpha[:n] @ model.step) * e
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        total[:n] += np.log(scale)
+        scale = alpha @ ones
+        alpha *= 1 / scale
+        total[:n] += np.log(scale[:, 0])
     out[order] = total
     return out
 
 
-def sweep(model: Model, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray, prior: np.ndarray, alphas: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
+def rows(table: np.ndarray) -> np.ndarray:
+    """A table's rows as single values, which are moved at once."""
+    return table.view(f"V{table.shape[1] * table.itemsize}").ravel()
+
+
+def sweep(model: Model, emits: np.ndarray, starts: np.ndarray, lens: np.ndarray, prior: np.ndarray, alphas: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
     """The scaled forward recursion over segments that start from ``prior``; the last states of each.
 
+    ``emits`` has what each state gives each token.
     States and scales of all tokens are put into ``alphas`` and ``scales`` if given.
     """
     order, _, active = by_length(lens)
-    starts, alpha = starts[order], None
+    starts, alpha, ones = starts[order], None, np.ones((len(model.first), 1), np.float32)
     last = np.empty((len(lens), len(model.first)), np.float32)
     for t, n in enumerate(active):
         at = starts[:n] + t
-        alpha = (prior[order] if alpha is None else alpha[:n] @ model.step) * model.emit[symbols[at]]
-        scale = alpha.sum(1, keepdims=True)
-        alpha /= scale
+        alpha = (prior[order] if alpha is None else alpha[:n] @ model.step) * emits.take(at, 0)
+        scale = alpha @ ones
+        alpha *= 1 / scale
         if alphas is not None:
-            alphas[at], scales[at] = alpha, scale[:, 0]
+            rows(alphas)[at], scales[at] = rows(alpha), scale[:, 0]
         ended = slice(active[t + 1] if t + 1 < len(active) else 0, n)
         last[order[ended]] = alpha[ended]
     return last
 
 
-def sweep_back(model: Model, symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray, after: np.ndarray, scales: np.ndarray, alphas: np.ndarray | None = None, gammas: np.ndarray | None = None, moves: np.ndarray | None = None) -> np.ndarray:
+def sweep_back(model: Model, emits: np.ndarray, starts: np.ndarray, lens: np.ndarray, after: np.ndarray, betas: np.ndarray | None = None) -> np.ndarray:
     """The backward recursion over segments that end with ``after``; what stands before each segment's first token.
 
-    ``gammas`` (the states' probabilities) and ``moves`` (what a step into a token adds) are filled if given.
+    ``emits`` are over the scales of the forward recursion here; ``betas`` is filled if given.
     """
     order, _, active = by_length(lens)
     starts, after, turn = starts[order], after[order], model.step.T.copy()
@@ -225,11 +245,11 @@ def sweep_back(model: Model, symbols: np.ndarray, starts: np.ndarray, lens: np.n
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
-        beta = np.concatenate([beta, after[len(beta) : n]])
-        move = beta * model.emit[symbols[at]] / scales[at][:, None]
-        if gammas is not None:
-            gammas[at], moves[at] = alphas[at] * beta, move
-        beta = move @ turn
+        if len(beta) < n:
+            beta = np.concatenate([beta, after[len(beta) : n]])
+        if betas is not None:
+            rows(betas)[at] = rows(beta)
+        beta = (beta * emits.take(at, 0)) @ turn
     out = np.empty_like(after)
     out[order] = beta
     return out
@@ -251,36 +271,40 @@ def expected(model: Model, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.nd
     sizes = np.minimum(lens[seq] - nth * RUN, RUN)
     later = np.flatnonzero(nth > 0)  # segments that go on from the one before
     rest = np.linalg.matrix_power(model.step.astype(float), 64)[0].astype(np.float32)
+    emits = model.emit[symbols]
     alphas, scales = np.empty((len(symbols), k), np.float32), np.empty(len(symbols), np.float32)
     prior = np.tile(model.first, (len(seq), 1))
     came = np.empty((len(seq), k), np.float32)
-    came[later] = sweep(model, symbols, starts[later] - WARM, np.full(len(later), WARM), np.tile(rest, (len(later), 1)))
+    came[later] = sweep(model, emits, starts[later] - WARM, np.full(len(later), WARM), np.tile(rest, (len(later), 1)))
     todo, last = np.arange(len(seq)), np.empty((len(seq), k), np.float32)
     while len(todo):
         on = todo[nth[todo] > 0]
         prior[on] = came[on] @ model.step
-        last[todo] = sweep(model, symbols, starts[todo], sizes[todo], prior[todo], alphas, scales)
+        last[todo] = sweep(model, emits, starts[todo], sizes[todo], prior[todo], alphas, scales)
         todo = later[np.abs(last[later - 1] - came[later]).max(1) > TOLERANCE] if len(later) else later
         came[todo] = last[todo - 1]
-    gammas, moves = np.empty_like(alphas), np.empty_like(alphas)
+    emits /= scales[:, None]
+    betas = np.empty_like(alphas)
     after = np.ones((len(seq), k), np.float32)
     before = later - 1
     unit = lambda b: b / (b * last[before]).sum(1, keepdims=True)
     ahead = np.empty((len(seq), k), np.float32)
-    ahead[later] = sweep_back(model, symbols, starts[later], np.minimum(sizes[later], WARM), after[later], scales)
+    ahead[later] = sweep_back(model, emits, starts[later], np.minimum(sizes[later], WARM), after[later])
     after[before] = unit(ahead[later])
     todo = np.arange(len(seq))
     while len(todo):
-        ahead[todo] = sweep_back(model, symbols, starts[todo], sizes[todo], after[todo], scales, alphas, gammas, moves)
+        ahead[todo] = sweep_back(model, emits, starts[todo], sizes[todo], after[todo], betas)
         met = unit(ahead[later])
         todo = before[np.abs((met - after[before]) * last[before]).max(1) > TOLERANCE] if len(later) else later
         after[before] = met
-    inner = np.ones(len(symbols), bool)
-    inner[np.cumsum(lens) - lens] = False
-    into = np.flatnonzero(inner)
-    step = (alphas[into - 1].T @ moves[into]).astype(np.float64) * model.step
-    emit = np.stack([np.bincount(symbols, gammas[:, i], len(model.emit)) for i in range(k)], 1)
-    return gammas[~inner].sum(0, dtype=np.float64), step, emit, float(np.log(scales, dtype=np.float64).sum())
+    emits *= betas  # what a step into a token adds
+    into = np.ones(len(symbols), bool)
+    firsts = np.cumsum(lens) - lens
+    into[firsts] = False
+    step = (alphas[:-1][into[1:]].T @ emits[into]).astype(np.float64) * model.step
+    alphas *= betas  # the states' probabilities
+    emit = np.stack([np.bincount(symbols, alphas[:, i], len(model.emit)) for i in range(k)], 1)
+    return alphas[firsts].sum(0, dtype=np.float64), step, emit, float(np.log(scales, dtype=np.float64).sum())
 
 
 def sequences(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple]:
@@ -415,5 +439,5 @@ def scores(docs: DataFrame, test_part: int = 1, folds: int = 5, states: int = 12
     sides = [groups.select("grp", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), none.alias("docs"), none.alias("lens"), none.alias("held"), none.alias("ids"), "words", none.alias("counts"))]
     sides += [replies.filter("grp is not null").select("grp", F.lit(1).alias("kind"), F.col("range").cast("long").alias("pos"), none.alias("docs"), none.alias("lens"), none.alias("held"), none.alias("ids"), none.alias("words"), "counts")]
     sides += [table.select("grp", F.lit(2).alias("kind"), F.col("chunk").alias("pos"), "docs", "lens", "held", "ids", "words", none.alias("counts"))]
-    ready = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition(max(1, n), "grp").sortWithinPartitions("grp", "kind", "pos")
+    ready = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition(max(1, 2 * n), "grp").sortWithinPartitions("grp", "kind", "pos")
     return ready.mapInArrow(score, schema)
