@@ -215,7 +215,7 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path).count() == 0 and packing.pack(none, path, weights=(5, 2, 1)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a\x1cb", "it's we'll", "x,y", "Σας İ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>, c", "<|ENDOFTEXT|> <| endoftext |>", "é ́z", "　a b\x85c", "ab. cd! EF? 12"])
+@pytest.mark.parametrize("text", ["a\x1cb", "it's we'll", "x,y", "Σας İ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>, c", "<|ENDOFTEXT|> <| endoftext |>", "é ́z", "　a b\x85c", "ab. cd! EF? 12", "de%%% éon,*** x'***", "a' don't!! y'all's", "a_b word_ __w", "“quoted” say-so- (in) [x]", "ab.c d.. <b> </b>"])
 def test_short_way_to_ids(text):
     memo = packing.memo_of(tokenizer_path("word_bpe_49k.json"), "<u2")
     assert memo.short and memo.ids(text) == np.array(fresh_ids(text), "<u2").tobytes()

@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -38,23 +39,25 @@ SIGMA = frozenset("Σİ")
 class TokenMemo(dict):
     """A chunk's ids as little-endian unsigned 16- or 32-bit values, remembered.
 
-    Words of letters, alone or with one mark behind, are lower-cased here and go to the
-    tokenizer's model as they are after its own first steps; all else goes through the
-    whole tokenizer. Both give the same ids.
+    Words of letters, alone or with a run of ASCII marks behind, are lower-cased here and
+    go to the tokenizer's model as they are after its own first steps; all else goes
+    through the whole tokenizer. Both give the same ids.
     """
 
-    LIMIT = 500_000
-    MARKS = frozenset(".,;:!?")
+    LIMIT = 300_000
 
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.kind, self.pieces = self.tokenizer.model, kind, {}
+        #: What was remembered before the last LIMIT chunks and pieces.
+        self.older: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.code = {"<u2": "H", "<u4": "I"}[kind]  # of the machine, which is little-endian
         self.visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # Plain words must pass unchanged through the first steps for the short way to hold.
-        probe = [("Déjà", "déjà"), ("Abc.", "abc ."), ("xyZ,", "xyz ,")]
+        probe = [("Déjà", "déjà"), ("Abc.", "abc ."), ("xyZ,", "xyz ,"), ("été%%'!", "été %%'!")]
         steps = lambda x: " ".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(x)))
         self.short = bool(self.tokenizer.normalizer and self.tokenizer.pre_tokenizer) and all(steps(x) == " ".join(map(self.bytes_visible, y.split())) for x, y in probe)
 
@@ -62,27 +65,42 @@ class TokenMemo(dict):
         return piece if piece.isascii() else self.visible.pre_tokenize_str(piece)[0][0]
 
     def piece(self, piece: str) -> bytes:
-        if (known := self.pieces.get(piece)) is None:
+        known = self.pieces.get(piece)
+        if known is None:
             if len(self.pieces) >= self.LIMIT:
-                self.pieces.clear()
-            known = self.pieces[piece] = array(self.code, [x.id for x in self.model.tokenize(self.bytes_visible(piece))]).tobytes()
+                self.older_pieces, self.pieces = self.pieces, {}
+            known = self.older_pieces.get(piece)
+            if known is None:
+                known = array(self.code, [x.id for x in self.model.tokenize(self.bytes_visible(piece))]).tobytes()
+            self.pieces[piece] = known
         return known
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
-        if self.short and low.isalpha() and not SIGMA.intersection(chunk):
-            value = self.piece(low)
-        elif self.short and low[-1:] in self.MARKS and low[:-1].isalpha() and not SIGMA.intersection(chunk):
-            value = self.piece(low[:-1]) + self.piece(low[-1])
-        else:
-            value = self.whole(chunk)
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.fresh(chunk)
         self[chunk] = value
         return value
 
+    def fresh(self, chunk: str) -> bytes:
+        plain = self.short
+        if chunk.isascii():
+            low = chunk.lower()
+        else:
+            low = unicodedata.normalize("NFC", chunk).lower()
+            plain = plain and not SIGMA.intersection(chunk)
+        if plain and low.isalpha():
+            return self.piece(low)
+        word = low.rstrip(punctuation)
+        if plain and word.isalpha():
+            return self.piece(word) + self.piece(low[len(word) :])
+        return self.whole(chunk)
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Ids of a text. The tokenizer drops white space and joins nothing across it.
