@@ -44,7 +44,7 @@ class TokenMemo(dict):
     through the whole tokenizer. Both give the same ids.
     """
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers

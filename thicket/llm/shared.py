@@ -7,7 +7,6 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +78,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Meanwhile, send at most ``rows`` rows at once to Python: for stages whose rows hold whole sets or texts, and which run before this ends."""
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send at most ``rows`` rows at once to Python from now on, for stages whose rows hold whole sets or texts.
+
+    This stays in the session: results that are evaluated later need it as well. A
+    smaller setting of the caller's is left as it is.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    if 0 < int(before) <= rows:
-        yield
-        return
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key, "10000") or 10000) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def attach(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
