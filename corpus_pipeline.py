@@ -2,7 +2,8 @@
 
 In every stage null and empty texts stay, as do null ids and sources, repeated rows
 (but for the near-duplicate stage, which leaves one of them) and columns that the
-stage doesn't know; an empty table gives an empty one. Texts are read whole.
+stage doesn't know; an empty table gives an empty one. Texts are read whole. The first
+stage sets how many rows go to Python at once in this session, to bound its memory.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from thicket.llm import mixing, ordinal, packing, pii, setsketch
 from thicket.llm.queries import table, tokenizer_path
-from thicket.llm.shared import attach, delete, drop_tables, shared_root
+from thicket.llm.shared import attach, delete, drop_tables, shared_root, small_batches
 
 SCOPE = "pipeline"
 
@@ -29,6 +30,7 @@ def free(columns: list[str], name: str) -> str:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier accepts."""
     drop_tables(spark, SCOPE)
+    small_batches(spark)
     return ordinal.accepted(docs, table(spark, sf_dir, "labels"))
 
 
