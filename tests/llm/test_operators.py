@@ -702,6 +702,41 @@ def test_near_groups(spark, docs, none):
     assert setsketch.near_groups(none).count() == 0
 
 
+def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        words = [f"t{k}" for k in range(200)]
+        for k in rng.integers(0, 200, int(rng.integers(1, 12))):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    r = F.min(F.struct("id", "t", "n", "regs")).alias("r")
+    reps = setsketch.sketched(d, 3, "").groupBy("key").agg(r).select("r.id", F.col("r.id").alias("least"), "r.t", "r.n", "r.regs").checkpoint()
+    own = {i: 0 if i < 40 else i for i, _ in rows}
+    buckets = {}
+    for x in reps.select("id", "regs").collect():
+        for k in setsketch.band_keys(np.frombuffer(x.regs, np.uint16))[0].view(np.int64).tolist():
+            buckets.setdefault(k, []).append(x.id)
+    mixed = {k: v for k, v in buckets.items() if len({own[i] for i in v}) > 1}
+    assert max(map(len, mixed.values())) > 8
+    members = spark.createDataFrame([(k, i, own[i]) for k, v in mixed.items() for i in v], "bucket long, id long, component long")
+    found = [tuple(x) for x in setsketch.across(members, reps, d, 3, 85, "").collect()]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(198)} for i, t in rows for w in [t.split()]}
+    true = {(a, b) for v in mixed.values() for a in v for b in v if a < b and own[a] != own[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert found and set(found) <= true
+
+    def groups(links):
+        root = dict(own)
+        for a, b in links:
+            a, b = root[a], root[b]
+            root = {i: min(a, b) if c in (a, b) else c for i, c in root.items()}
+        return root
+
+    assert groups(found) == groups(true)
+
+
 def test_registers_estimate_and_merge():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)

@@ -9,9 +9,9 @@ confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start. Each band bucket then links
 its members to its least member only. Components of the confirmed links leave few
-buckets with more than one component; there, all pairs across components are estimated
-in blocks of bounded size, so no link between candidates is lost and no task sees a
-whole hot bucket.
+buckets with more than one component; there, pairs across components are estimated in
+blocks of bounded size, so no link between candidates is lost and no task sees a whole
+hot bucket; the largest component's blocks don't meet each other.
 """
 
 from __future__ import annotations
@@ -170,16 +170,22 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
 
 
 def across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scope: str) -> DataFrame:
-    """Confirmed links between components among the buckets' members ``bucket, id, component, size``.
+    """Confirmed links between components among the buckets' members ``bucket, id, component``.
 
-    Pairs are estimated and confirmed where their block is, and those that links found
-    there connect already are skipped, so only links leave a task, never candidates.
+    Members of a bucket's largest component meet those of the others only, so a large
+    group with few strangers is dealt out once for each block of those. Pairs are
+    estimated and confirmed where their block is, and those that links found there
+    connect already are skipped, so only links leave a task, never candidates.
     """
     limit = percent / 100
     sets = full_sets(docs, members.select("id").distinct(), reps, width, scope)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # Blocks 0 up to ``blocks`` hold the members outside a bucket's largest component, and the next ``wide`` ones that component.
+    counts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    held = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = counts.select("k", F.col("m.component").alias("main"), held(F.col("m.n")).alias("wide"), held(F.col("all") - F.col("m.n")).alias("blocks")).checkpoint()
+    inside = F.col("component") == F.col("main")
+    rows = attach(members, counts, F.col("bucket") == F.col("k")).withColumn("own", F.when(inside, F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("wide"))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("blocks")).otherwise(F.col("blocks") + F.col("wide")) - 1)))
     rows = rows.select("bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(reps.select("id", "n", "regs"), "id").join(sets, "id")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -300,8 +306,8 @@ def near_rows(docs: DataFrame, width: int, percent: int, scope: str) -> DataFram
     members = shared_table(attach(keyed, full, F.col("bucket") == F.col("k")).filter("id <> pivot").select("bucket", "id", "pivot", "size"), "members", scope)
     links, first = star_links(members, reps, docs, width, percent, scope)
     # Buckets in which pairs of different components haven't been compared: none with the pivot is among them.
-    open_ = members.filter("size > 2").select("bucket", "id", "size")
-    open_ = attach(open_, first.select(F.col("node").alias("v"), "component"), F.col("id") == F.col("v"), "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+    open_ = members.filter("size > 2").select("bucket", "id")
+    open_ = attach(open_, first.select(F.col("node").alias("v"), "component"), F.col("id") == F.col("v"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     open_ = open_.checkpoint()
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("k")).checkpoint()
     rest = attach(open_, mixed, F.col("bucket") == F.col("k"), "left_semi")
