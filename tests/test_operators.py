@@ -137,6 +137,23 @@ def test_commands(spark, tmp_path):
     assert lines == 30 and text.read_forest(spark, str(tmp_path / "out")).count() > 2
 
 
+def test_gradient_writes_a_similarity_an_epoch(spark, tmp_path):
+    m = spark.createDataFrame([(i, f"f{j}", float(10 * (i % 2) + j + (i * 7 % 5) / 10 + 1)) for i in range(30) for j in range(4)], "sample_id int, feature string, value double")
+    p = Parameters(epochs=2, epoch_duration=2, leaf_size=6, in_features=2, out_features=2, sample_sub=20, drop="no", prediction="branch", boost="additive", weighing="flat", seed=2)
+    cli.gradient(m, p, str(tmp_path / "out"))
+    first, last = (spark.read.parquet(str(tmp_path / f"out.{k}.similarity")) for k in (0, 1))
+    assert first.columns == ["f1", "f2", "corr"] and 0 < first.count() <= last.count()
+
+
+def test_interactions_and_coordinates_as_text(spark, tmp_path):
+    row = (1, "RTL", "RT", "a", "<", 2.5, "b", ">", 4.0, "c", -0.25)
+    given = spark.createDataFrame([row], "tree_id int, node_id string, ancestor_id string, split string, sign string, split_value double, ancestor_feature string, ancestor_sign string, ancestor_split double, output string, interaction double")
+    text.write_interactions(given, str(tmp_path / "t"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "t.interactions")).collect()] == ["a\t<\t2.5\tb\t>\t4.0\tc\t-0.25"]
+    text.write_coordinates(spark.createDataFrame([(1, "RT", 0.5, -1.0)], "tree_id int, node_id string, x double, y double"), str(tmp_path / "xy"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "xy")).collect()] == ["1/RT\t[0.5 -1.0]"]
+
+
 def test_streaming_scores_equal_batch(spark, tmp_path):
     from thicket.streaming.score import score_stream
 

@@ -38,10 +38,10 @@ def score(matrix: DataFrame, nodes: DataFrame, p: Parameters, path: str) -> Data
 def gradient(matrix: DataFrame, p: Parameters, path: str) -> DataFrame:
     b = boost.Boosted(matrix, p).run()
     names = names_of(matrix)
-    for epoch, got in enumerate(b.predictions):
+    for epoch, (got, like) in enumerate(zip(b.predictions, b.similarities, strict=True)):
         text.write_prediction(got, b.truth, names, path, epoch)
         text.write_weights(b.weights(epoch, names), path, epoch)
-    text.write_similarity(b.similarity, path, p.epochs - 1)
+        text.write_similarity(like, path, epoch)
     text.write_forest(b.nodes, f"{path}.forest")
     out = b.predict()
     text.write_prediction(out, b.truth, names, path)

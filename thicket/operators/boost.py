@@ -65,7 +65,7 @@ def epoch_trees(nodes: DataFrame, epoch: int, duration: int, as_built: bool = Fa
 
 
 class Boosted:
-    """``nodes`` of all epochs, the last ``error`` matrix, ``similarity``, and each epoch's prediction."""
+    """``nodes`` of all epochs, the last ``error`` matrix, and each epoch's ``predictions`` and ``similarities``."""
 
     def __init__(self, matrix: DataFrame, p: Parameters) -> None:
         self.matrix, self.p = matrix, p
@@ -73,9 +73,14 @@ class Boosted:
         self.truth = self.truth.checkpoint()
         self.error = self.truth if p.boost == "additive" else mx.filled(self.truth, 1.0)
         self.nodes: DataFrame | None = None
-        self.similarity: DataFrame | None = None
+        self.similarities: list[DataFrame] = []
         self.predictions: list[DataFrame] = []
 
+    @property
+    def similarity(self) -> DataFrame | None:
+        """That of the last epoch."""
+        return self.similarities[-1] if self.similarities else None
+
     def weights(self, epoch: int, names: list[str]) -> dict[str, DataFrame]:
         """Sampling weights of inputs, outputs and samples: all 1."""
         spark = self.matrix.sparkSession
@@ -115,7 +120,7 @@ class Boosted:
             self.predictions.append(got)
             base = self.error if self.p.boost == "additive" else self.truth
             self.error = residuals(base, got.drop("epoch")).checkpoint()
-            self.similarity = similarity(self.nodes, self.similarity).checkpoint()
+            self.similarities.append(similarity(self.nodes, self.similarity).checkpoint())
         return self
 
     def predict(self) -> DataFrame:

@@ -488,18 +488,26 @@ def node_jaccard(spark, d):
     return analytics.jaccard_distances(trees(spark, d)).select("a", "b", r4("distance", 6).alias("distance"))
 
 
-@query()
+#: Nodes within the radius of each other, reached over any number of steps; a cluster has its least node's name.
+CLUSTERS = f"""{JD.replace("with", "with recursive", 1)}, p as (select a.node as a, b.node as b from s a join s b on a.node < b.node where len(list_intersect(a.samples, b.samples)) > 0 and 1 - len(list_intersect(a.samples, b.samples)) / cast(len(list_distinct(list_concat(a.samples, b.samples))) as double) <= 0.5),
+e as (select a, b from p union all select b, a from p), r(node, other) as (select a, b from e union select r.node, e.b from r join e on r.other = e.a), cl as (select s.node, min(other) as cluster from s left join r on s.node = r.node group by s.node)"""
+
+
+@query(f"{CLUSTERS} select node, cluster from cl")
 def node_clusters(spark, d):
     n = trees(spark, d)
     return analytics.clusters(analytics.jaccard_distances(n), n, 0.5, 2)
 
 
-@query()
+@query(f"""{CLUSTERS}, kd as (select n0.*, cluster from n0 join cl on cl.node = tree_id || '/' || node_id where cluster is not null), g as (select cluster, feature, avg(absolute_gain) as g from kd join lf using (tree_id, node_id) group by all),
+t as (select cluster, string_agg(feature, ',' order by g desc nulls last, feature) as top_features from g group by 1), m as (select cluster, max(n) as most from (select cluster, tree_id, count(*) as n from kd group by all) group by 1)
+select cluster, count(*) as nodes, count(distinct tree_id) as trees, any_value(top_features) as top_features, any_value(most) as most, nullif(sum(depth), 0)::bigint as requirements from kd join t using (cluster) join m using (cluster) group by cluster""")
 def cluster_statistics(spark, d):
     n = trees(spark, d)
     labels = analytics.clusters(analytics.jaccard_distances(n), n, 0.5, 2)
     out = analytics.cluster_stats(n, labels).join(analytics.tree_histogram(n, labels).groupBy("cluster").agg(F.max("n").alias("most")), "cluster")
-    return out.join(analytics.requirement_frequency(n, labels).groupBy("cluster").agg(F.sum("n").alias("requirements")), "cluster", "left")
+    out = out.join(analytics.requirement_frequency(n, labels).groupBy("cluster").agg(F.sum("n").alias("requirements")), "cluster", "left")
+    return out.withColumn("top_features", F.array_join("top_features", ","))
 
 
 @query(f"with {N}, l as (select tree_id, node_id, feature, coalesce(local_gain, 0) as g from lf where is_leaf) select a.tree_id, a.feature as f1, b.feature as f2, round(case when var_pop(a.g) <= 1e-12 * avg(a.g * a.g) or var_pop(b.g) <= 1e-12 * avg(b.g * b.g) then 0 else corr(a.g, b.g) end, 6) as corr from l a join l b using (tree_id, node_id) group by all")
@@ -666,16 +674,20 @@ def boost_two_epochs(spark, d):
     return stats.errors(m, boost.Boosted(m, p).run().predict())
 
 
-@query()
+@query(f"with {N} select tree_id, node_id, lf.feature, round(any_value(lf.median), 6) as median, round(any_value(dispersion), 6) as dispersion, round(median(value), 6) as true_median, round(mad(value), 6) as true_mad from lf join (select tree_id, node_id, unnest(samples) as id from n0) using (tree_id, node_id) join nm on cast(nm.sample_id as varchar) = id and nm.feature = lf.feature group by tree_id, node_id, lf.feature")
 def node_check(spark, d):
-    m = vectors(spark, d)
-    return analytics.checked(forest.fit(m, SMALL), m)
+    out = analytics.checked(trees(spark, d), customers(spark, d))
+    return out.select("tree_id", "node_id", "feature", *[r4(c, 6).alias(c) for c in ("median", "dispersion", "true_median", "true_mad")])
 
 
-@query()
+@query(f"""with {N}, up as (select n.tree_id, n.node_id, a.node_id as ancestor_id, n.split_feature as split, n.split_value, a.split_feature as ancestor_feature, case when n.node_id[len(a.node_id) + 1] = 'L' then '<' else '>' end as ancestor_sign, a.split_value as ancestor_split, a.samples
+  from n0 n join n0 a on a.tree_id = n.tree_id and a.depth < n.depth and starts_with(n.node_id, a.node_id) where n.split_feature is not null),
+parted as (select u.tree_id, u.node_id, u.ancestor_id, id, case when value > split_value then '>' else '<' end as sign from (select *, unnest(samples) as id from up) u join nm on cast(nm.sample_id as varchar) = id and nm.feature = split where value is not null),
+th as (select tree_id, node_id, ancestor_id, sign, feature, median(value) as m, case when count(*) < 2 then 0 else mad(value) end as d from parted join nm on cast(nm.sample_id as varchar) = id where value is not null group by all)
+select up.tree_id, up.node_id, up.ancestor_id, split, sign, up.split_value, ancestor_feature, ancestor_sign, ancestor_split, th.feature as output, round(k.local_gain - (r.cov - case when m <> 0 then d / m else 0 end), 6) as interaction
+  from up join th using (tree_id, node_id, ancestor_id) join n0 kid on kid.tree_id = up.tree_id and kid.parent_id = up.node_id and (kid.side = 'L') = (sign = '<') join lf k on k.tree_id = up.tree_id and k.node_id = kid.node_id and k.feature = th.feature join lf r on r.tree_id = up.tree_id and r.node_id = up.ancestor_id and r.feature = th.feature""")
 def split_interactions(spark, d):
-    m = vectors(spark, d)
-    return analytics.interactions(forest.fit(m, SMALL), m)
+    return analytics.interactions(trees(spark, d), customers(spark, d)).withColumn("interaction", r4("interaction", 6))
 
 
 @query()

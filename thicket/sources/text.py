@@ -184,3 +184,18 @@ def write_similarity(similarity: DataFrame, path: str, epoch: int) -> None:
 def write_matches(pairs: DataFrame, path: str) -> None:
     """Pairs of features with their gains, as tab separated lines."""
     pairs.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in pairs.columns]).alias("value")).write.mode("overwrite").text(path)
+
+
+#: Columns of an interactions file, in their order; fixed values.
+INTERACTIONS = ["split", "sign", "split_value", "ancestor_feature", "ancestor_sign", "ancestor_split", "output", "interaction"]
+
+
+def write_interactions(interactions: DataFrame, path: str) -> None:
+    """``.interactions`` under a path: what splits gain beyond their ancestors, eight tab separated columns."""
+    interactions.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in INTERACTIONS]).alias("value")).write.mode("overwrite").text(f"{path}.interactions")
+
+
+def write_coordinates(coordinates: DataFrame, path: str) -> None:
+    """Nodes and their coordinates ``tree_id, node_id, x, y``, a tab between: ``tree/node`` and ``[x y]``."""
+    where = F.concat(F.lit("["), F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")), F.lit("]"))
+    coordinates.select(F.concat_ws("\t", F.concat_ws("/", "tree_id", "node_id"), where).alias("value")).write.mode("overwrite").text(path)
