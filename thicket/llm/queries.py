@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import fingerprint_index, hmm, mixing, ordinal, packing, pii, preference, prefix_hash, quality_rules, setsketch
+from thicket.llm import fingerprint_index, hmm, mixing, ordinal, packing, pii, preference, prefix_hash, quality_rules, setsketch, vocabulary_audit, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,17 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_vocabulary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op4_ordinal, op5_pii, op6_preference, op7_fingerprint_index, op8_prefix_hash, op9_mixture, op10_setsketch)}
+    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op4_ordinal, op5_pii, op6_preference, op7_fingerprint_index, op8_prefix_hash, op9_mixture, op10_setsketch, op12_vocabulary_audit, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_risk_rules": quality_rules.sql(), "op6_preference": preference.SQL}
+    return {"op3_risk_rules": quality_rules.sql(), "op6_preference": preference.SQL, "op12_vocabulary_audit": vocabulary_audit.sql()}
