@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import fingerprint_index, hmm, mixing, ordinal, packing, pii, preference, prefix_hash, quality_rules, setsketch, vocabulary_audit, whitening
+from thicket.llm import fingerprint_index, hmm, mixing, ngram_join, ordinal, packing, pii, preference, prefix_hash, quality_rules, setsketch, vocabulary_audit, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op12_vocabulary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op4_ordinal, op5_pii, op6_preference, op7_fingerprint_index, op8_prefix_hash, op9_mixture, op10_setsketch, op12_vocabulary_audit, op13_whitening)}
+    return {f.__name__: f for f in (op1_hmm, op2_packing, op3_risk_rules, op4_ordinal, op5_pii, op6_preference, op7_fingerprint_index, op8_prefix_hash, op9_mixture, op10_setsketch, op11_ngram_join, op12_vocabulary_audit, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
