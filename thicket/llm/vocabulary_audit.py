@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import filterfalse
 from operator import itemgetter
 
 import ahocorasick
@@ -36,14 +36,18 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 #: Documents of a language in which a term must stand; parts of a whole; ranks of terms that are returned.
 LEAST_DOCUMENTS, WHOLE, RANKS = 3, 1_000_000_000, 200
 #: Terms that the automaton of every task knows at most, and their bytes at most; terms of a range, on average.
-HEAD_TERMS, TERM_BYTES, RANGE_TERMS = 100_000, 64, 50_000
-#: Counts that a task holds before it sends them on, characters that an automaton reads at once, and pairs of postings.
-HELD, TEXT_CHARS, PAIRS = 400_000, 1 << 22, 1 << 20
-#: Sources of a language that are compared as a block.
-SOURCES = 1024
+HEAD_TERMS, TERM_BYTES, RANGE_TERMS = 40_000, 64, 50_000
+#: Counts, and matches, that a task holds before it sends them on, characters that an automaton reads at once, and pairs of postings.
+HELD, MATCHES, TEXT_CHARS, PAIRS = 400_000, 6_000_000, 1 << 22, 1 << 20
+#: Bits of a term's number that lie within a block of counts; where the numbers of terms outside the head start.
+BLOCK_BITS, TAIL = 12, 1 << 40
+#: Sources of a language that are compared as a block, and pairs of sources whose sums a task holds as a matrix.
+SOURCES, MATRIX = 1024, 1 << 20
 
 COUNT_SQL = "tid long, lang string, source string, n long"
-COUNT_SCHEMA = pa.schema([("tid", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n", pa.int64())])
+#: Counts of a block of terms in a source: places in the block, and counts.
+BLOCKS = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
+BLOCK_SQL = "kind int, range long, lang string, source string, block long, places binary, counts binary, text binary"
 
 
 def delimited(text: bytes) -> bytes:
@@ -60,19 +64,25 @@ def document_frequencies(plain: DataFrame) -> DataFrame:
     """``lang, term, df``: in how many documents of its language each term stands."""
     schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("df", pa.int64())])
 
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: defaultdict[str, Counter] = defaultdict(Counter)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in held.items():
+                terms, n = list(c.keys()), list(c.values())
+                for i in range(0, len(terms), 20_000):
+                    some = terms[i : i + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(n[i : i + 20_000], pa.int64())], schema=schema)
+            held.clear()
+
         for batch in parts:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held[lang].update(set(text.translate(LETTERS).split()))
             if sum(map(len, held.values())) > HELD:
-                for lang, c in held.items():
-                    yield from zip(repeat(lang), c.keys(), c.values())
-                held.clear()
-        for lang, c in held.items():
-            yield from zip(repeat(lang), c.keys(), c.values())
+                yield from flush()
+        yield from flush()
 
-    got = plain.select("lang", "text").mapInArrow(lambda p: batches(rows(p), schema, 20_000), "lang string, term binary, df long")
+    got = plain.select("lang", "text").mapInArrow(rows, "lang string, term binary, df long")
     return got.groupBy("lang", "term").agg(F.sum("df").alias("df"))
 
 
@@ -92,11 +102,66 @@ def spelled(text: bytes) -> str:
     return text.decode("utf-8", "surrogateescape")
 
 
-def counted(found: Counter, a: ahocorasick.Automaton, text: bytes) -> None:
-    """Add how often each term stands in a delimited text."""
-    ids, n = np.unique(np.fromiter(map(itemgetter(1), a.iter(spelled(text))), np.int64), return_counts=True)
-    for i, k in zip(ids.tolist(), n.tolist(), strict=True):
-        found[i] += k
+def matches(a: ahocorasick.Automaton, text: bytes) -> np.ndarray:
+    """The numbers of the terms that stand in a delimited text, once an occurrence."""
+    return np.fromiter(map(itemgetter(1), a.iter(spelled(text))), np.int64)
+
+
+def blocks_of(kind: int, lang: str, source: str, tids: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """Rows of BLOCKS for counts of terms in ascending order."""
+    block = tids >> BLOCK_BITS
+    cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(tids) else np.zeros(1, int)
+    places, counts = (tids & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), counts.astype(np.int64)
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield kind, None, lang, source, int(block[i]), places[i:j].tobytes(), counts[i:j].tobytes(), None
+
+
+class Found:
+    """Matches by language and source, until there are many."""
+
+    def __init__(self) -> None:
+        self.held: defaultdict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
+        self.size = 0
+
+    def add(self, lang: str, source: str, tids: np.ndarray) -> None:
+        self.held[lang, source].append(tids)
+        self.size += len(tids)
+
+    def flush(self, kind: int) -> Iterator[tuple]:
+        for (lang, source), some in self.held.items():
+            yield from blocks_of(kind, lang, source, *np.unique(np.concatenate(some), return_counts=True))
+        self.held.clear()
+        self.size = 0
+
+
+def merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of COUNT_SQL from rows ``block, lang, source, places, counts`` that are sorted by the first three."""
+    at, total, made = None, np.zeros(1 << BLOCK_BITS, np.int64), []
+
+    def close() -> None:
+        some = np.flatnonzero(total)
+        made.append((at, some + (at[0] << BLOCK_BITS), total[some]))
+        total[:] = 0
+
+    def batch_of() -> pa.RecordBatch:
+        sizes = [len(m[1]) for m in made]
+        name = lambda i: pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(made), dtype=np.int32), sizes)), pa.array([m[0][i] for m in made], pa.string())).cast(pa.string())
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[1] for m in made])), name(1), name(2), pa.array(np.concatenate([m[2] for m in made]))], ["tid", "lang", "source", "n"])
+        made.clear()
+        return out
+
+    for batch in parts:
+        for *key, places, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "source", "places", "counts")), strict=True):
+            if key != at and at is not None:
+                close()
+                if len(made) >= 50:
+                    yield batch_of()
+            at = key
+            np.add.at(total, np.frombuffer(places, np.uint16), np.frombuffer(counts, np.int64))
+    if at is not None:
+        close()
+    if made:
+        yield batch_of()
 
 
 def range_of(seed: int, term: bytes, ranges: int) -> int:
@@ -105,47 +170,51 @@ def range_of(seed: int, term: bytes, ranges: int) -> int:
     return (h - (h >> 63 << 64)) % ranges
 
 
-def recounted(plain: DataFrame, vocabulary: DataFrame, scope: str) -> DataFrame:
-    """``tid, lang, source, n``: occurrences of kept terms, by source; sums of tasks, so keys repeat.
+def numbered_terms(found: DataFrame, scope: str) -> tuple[DataFrame, int]:
+    """A shared table ``tid, lang, term, df``, and how many terms lie outside the head.
 
-    ``vocabulary``: ``tid, lang, term, df``.
+    The head is all short terms above the least step of df (16 steps a doubling) that leaves
+    HEAD_TERMS of them at most; its numbers start at 0, by language, the others' at TAIL.
     """
-    spark = plain.sparkSession
-    # The head: terms above the least step of df (16 a doubling) that still leaves HEAD_TERMS of them.
     step = F.floor(16 * F.log2(F.col("df").cast("double"))).cast("int")
     short = (F.octet_length("term") <= TERM_BYTES) & (F.octet_length("lang") <= TERM_BYTES)
-    steps = vocabulary.groupBy(F.when(short, step).otherwise(-1).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # 1,024 rows at most
+    steps = found.groupBy(F.when(short, step).otherwise(-1).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # 1,024 rows at most
     total, cut = 0, None
     for r in sorted(steps, key=lambda r: -r["step"]):
         if r["step"] < 0 or total + r["n"] > HEAD_TERMS:
             break
         total, cut = total + r["n"], r["step"]
     inside = short & (step >= cut) if cut is not None else F.lit(False)
-    rest = sum(r["n"] for r in steps) - total
+    order = [F.monotonically_increasing_id().alias("tid"), "lang", "term", "df"]
+    head = found.filter(inside).coalesce(1).sortWithinPartitions("lang", "term").select(*order)  # HEAD_TERMS at most
+    tail = found.filter(~inside).select(*order).withColumn("tid", F.col("tid") + TAIL)
+    return shared_table(head.unionByName(tail), "vocabulary-terms", scope), sum(r["n"] for r in steps) - total
+
+
+def recounted(plain: DataFrame, vocabulary: DataFrame, rest: int, scope: str) -> DataFrame:
+    """``tid, lang, source, n``: occurrences of kept terms, by source.
+
+    ``vocabulary``: ``tid, lang, term, df``, of which ``rest`` lie outside the head.
+    """
+    spark = plain.sparkSession
     ranges = max(1, -(-rest // RANGE_TERMS))
     head = defaultdict(list)
-    for r in vocabulary.filter(inside).select("lang", "term", "tid").toLocalIterator():  # HEAD_TERMS at most
+    for r in vocabulary.filter(F.col("tid") < TAIL).select("lang", "term", "tid").collect():  # HEAD_TERMS at most
         head[r["lang"]].append((bytes(r["term"]), r["tid"]))
     sent = spark.sparkContext.broadcast(dict(head))
 
-    schema = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("tid", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("text", pa.binary())])
-    sql = "kind int, range long, tid long, lang string, source string, n long, text binary"
-
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Counts of head terms (kind 0), and delimited text of other words by range (kind 2)."""
-        machines = Machines(sent.value)
-        found: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
+        machines, found = Machines(sent.value), Found()
         other: defaultdict[tuple[int, str, str], list[bytes]] = defaultdict(list)
+        held = 0
 
         def flush() -> Iterator[tuple]:
-            for (lang, source), c in found.items():
-                yield from zip(repeat(0), repeat(None), c.keys(), repeat(lang), repeat(source), c.values(), repeat(None))
+            yield from found.flush(0)
             for (r, lang, source), words in other.items():
-                yield 2, r, None, lang, source, None, b" " + b" ".join(words) + b" "
-            found.clear()
+                yield 2, r, lang, source, None, None, None, b" " + b" ".join(words) + b" "
             other.clear()
 
-        held = 0
         for batch in parts:
             by: defaultdict[tuple[str, str], list[bytes]] = defaultdict(list)
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
@@ -155,51 +224,47 @@ def recounted(plain: DataFrame, vocabulary: DataFrame, scope: str) -> DataFrame:
                 seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogateescape"), 42)
                 for text in pieces(some):
                     if machine:
-                        counted(found[lang, source], machine, text)
+                        found.add(lang, source, matches(machine, text))
                     if rest:
-                        for w in text.split():
-                            if w not in known:
-                                other[range_of(seed, w, ranges), lang, source].append(w)
-                                held += 1
-            if held + sum(map(len, found.values())) > HELD:
+                        for w in filterfalse(known.__contains__, text.split()):
+                            other[range_of(seed, w, ranges), lang, source].append(w)
+                            held += 1
+            if held > HELD or found.size > MATCHES:
                 yield from flush()
                 held = 0
         yield from flush()
 
-    # A batch's Arrow text is sent on in rows of its own size: few rows, for they may be long.
-    first = plain.mapInArrow(lambda p: batches(scan(p), schema, 5_000), sql)
-    if not rest:
-        return first.select("tid", "lang", "source", "n")
-    first = shared_table(first, "vocabulary-scan", scope)
-    terms = vocabulary.filter(~inside).select(F.lit(1).alias("kind"), F.pmod(F.xxhash64("lang", "term"), F.lit(ranges)).cast("long").alias("range"), "tid", "lang", F.lit("").alias("source"), F.lit(0).cast("long").alias("n"), F.col("term").alias("text"))
+    first = plain.mapInArrow(lambda p: batches(scan(p), BLOCKS, 500), BLOCK_SQL)
+    if rest:
+        first = shared_table(first, "vocabulary-scan", scope)
+        terms = vocabulary.filter(F.col("tid") >= TAIL).select(
+            F.lit(1).alias("kind"), F.pmod(F.xxhash64("lang", "term"), F.lit(ranges)).cast("long").alias("range"), "lang", F.lit("").alias("source"), F.col("tid").alias("block"), F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("counts"), F.col("term").alias("text")
+        )
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = terms.unionByName(first.filter("kind = 2")).repartition(max(n, ranges), "range").sortWithinPartitions("range", "kind")
+
+        def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            at, terms, found = None, defaultdict(list), Found()
+            machines = Machines(terms)
+            for batch in parts:
+                for kind, r, lang, source, tid, text in zip(*(batch.column(c).to_pylist() for c in ("kind", "range", "lang", "source", "block", "text")), strict=True):
+                    if r != at:
+                        yield from found.flush(0)
+                        at, terms = r, defaultdict(list)
+                        machines = Machines(terms)
+                    if kind == 1:
+                        terms[lang].append((text, tid))
+                    elif machine := machines[lang][0]:
+                        found.add(lang, source, matches(machine, text))
+                if found.size > MATCHES:
+                    yield from found.flush(0)
+            yield from found.flush(0)
+
+        tail = ranged.mapInArrow(lambda p: batches(finish(p), BLOCKS, 500), BLOCK_SQL)
+        first = first.filter("kind = 0").unionByName(tail)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = terms.unionByName(first.filter("kind = 2")).repartition(max(n, ranges), "range").sortWithinPartitions("range", "kind")
-
-    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        at, machines, terms = None, Machines({}), defaultdict(list)
-        found: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def flush() -> Iterator[tuple]:
-            for (lang, source), c in found.items():
-                yield from zip(c.keys(), repeat(lang), repeat(source), c.values())
-            found.clear()
-
-        for batch in parts:
-            for kind, r, tid, lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("kind", "range", "tid", "lang", "source", "text")), strict=True):
-                if r != at:
-                    yield from flush()
-                    at, terms = r, defaultdict(list)
-                    machines = Machines(terms)
-                if kind == 1:
-                    terms[lang].append((text, tid))
-                elif machine := machines[lang][0]:
-                    counted(found[lang, source], machine, text)
-            if sum(map(len, found.values())) > HELD:
-                yield from flush()
-        yield from flush()
-
-    tail = ranged.mapInArrow(lambda p: batches(finish(p), COUNT_SCHEMA, 20_000), COUNT_SQL)
-    return first.filter("kind = 0").select("tid", "lang", "source", "n").unionByName(tail)
+    by_block = first.select("block", "lang", "source", "places", "counts").repartition(n, "block", "lang", "source").sortWithinPartitions("block", "lang", "source")
+    return by_block.mapInArrow(merged, COUNT_SQL)
 
 
 class Machines(dict):
@@ -243,63 +308,75 @@ def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def common(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """From postings ``tid, lang, gid, p, z`` sorted by tid the rows ``lang, a, b, value``: what terms
+    """From postings ``tid, lang, gid, p, z, sources`` sorted by tid the rows ``lang, a, b, value``: what terms
     that both sources have add to a pair, beyond what they would as terms of one or neither."""
-    sums: defaultdict[str, Counter] = defaultdict(Counter)
+    dense: dict[str, np.ndarray] = {}  # by language, of few sources: sums of pairs
+    sparse: defaultdict[str, Counter] = defaultdict(Counter)
     kept: list[tuple[np.ndarray, ...]] = []
+    names: dict[str, int] = {}
+    widths: list[int] = []
 
     def add(tid: np.ndarray, lang: np.ndarray, gid: np.ndarray, p: np.ndarray, z: np.ndarray) -> None:
         start = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1]]))
         size = np.diff(np.concatenate([start, [len(tid)]]))
-        own = np.repeat(size, size)  # each posting meets all of its term's
-        first = np.repeat(start, size)
-        done = 0
+        own, first = np.repeat(size, size), np.repeat(start, size)  # each posting meets all of its term's
+        upto, done = np.cumsum(own), 0
         while done < len(tid):
-            upto = max(done + 1, int(np.searchsorted(np.cumsum(own[done:]), PAIRS, "right")) + done)
-            i = np.repeat(np.arange(done, upto), own[done:upto])
-            j = np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(own[done:upto])[:-1]]), own[done:upto]) + first[i]
+            stop = max(done + 1, int(np.searchsorted(upto, PAIRS + (upto[done - 1] if done else 0), "right")))
+            k = own[done:stop]
+            i = np.repeat(np.arange(done, stop), k)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + first[i]
             i, j = i[i != j], j[i != j]
             v = gaps(p[i], p[j]) - gaps(p[i], z[j]) - gaps(z[i], p[j]) + gaps(z[i], z[j])
-            for k in np.unique(lang[i]):
-                m = lang[i] == k
-                pair, where = np.unique(np.column_stack([gid[i[m]], gid[j[m]]]), axis=0, return_inverse=True) if gid.max() >= 1 << 31 else _pairs(gid[i[m]], gid[j[m]])
+            for name, code in names.items():
+                m, width = lang[i] == code, widths[code]
+                if not m.any():
+                    continue
+                a, b = gid[i[m]], gid[j[m]]
+                if width * width <= MATRIX:
+                    np.add.at(dense.setdefault(name, np.zeros(width * width, np.int64)), a * width + b, v[m])
+                    continue
+                pair, where = np.unique(np.column_stack([a, b]), axis=0, return_inverse=True)
                 total = np.zeros(len(pair), np.int64)
-                np.add.at(total, where, v[m])
-                mine = sums[k]
-                for a, b, x in zip(pair[:, 0].tolist(), pair[:, 1].tolist(), total.tolist(), strict=True):
-                    mine[a, b] += x
-            done = upto
+                np.add.at(total, where.ravel(), v[m])
+                for (x, y), t in zip(pair.tolist(), total.tolist(), strict=True):
+                    sparse[name][x, y] += t
+            done = stop
 
     def flush() -> Iterator[tuple]:
-        for lang, c in sums.items():
+        for name, c in sparse.items():
             for (a, b), v in c.items():
-                yield lang, a, b, v
-        sums.clear()
+                yield name, a, b, v
+        sparse.clear()
+        for name, sums in dense.items():
+            for i in np.flatnonzero(sums).tolist():
+                yield name, *divmod(i, widths[names[name]]), int(sums[i])
+        dense.clear()
 
     for batch in parts:
         if not batch.num_rows:
             continue
-        tid, gid, p, z = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tid", "gid", "p", "z"))
-        kept.append((tid, np.array(batch.column("lang").to_pylist(), object), gid, p, z))
+        tid, gid, p, z, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tid", "gid", "p", "z", "sources"))
+        coded = batch.column("lang").dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        for i, name in enumerate(coded.dictionary.to_pylist()):
+            if name not in names:
+                names[name] = len(widths)
+                widths.append(int(width[np.flatnonzero(place == i)[0]]))
+        kept.append((tid, np.array([names[x] for x in coded.dictionary.to_pylist()])[place], gid, p, z))
         # All but the last term, whose postings may go on.
-        last = tid[-1]
-        if kept[0][0][0] != last:
+        if kept[0][0][0] != tid[-1]:
             cols = [np.concatenate([k[i] for k in kept]) for i in range(5)]
-            cut = int(np.searchsorted(cols[0], last)) if cols[0][0] <= last else len(cols[0])
+            cut = int(np.searchsorted(cols[0], tid[-1]))
             add(*(c[:cut] for c in cols))
             kept = [tuple(c[cut:] for c in cols)]
-        if sum(map(len, sums.values())) > HELD:
+        if sum(map(len, sparse.values())) > HELD or len(dense) > 16:
             yield from flush()
     if kept:
         add(*(np.concatenate([k[i] for k in kept]) for i in range(5)))
     yield from flush()
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(a << np.int64(32) | b, return_inverse=True)
-    return np.column_stack([keys >> np.int64(32), keys & np.int64(0xFFFFFFFF)]), where
-
-
 def single(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows ``lang, a, b, value`` of what terms add as those of one source or of neither, from each
     source's histogram ``gid, z, kinds, counts`` (p of its terms, how many) against a block of the language's sources."""
@@ -345,10 +422,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS, sco
     """
     small_batches(docs.sparkSession, 1000)
     plain = texts(docs)
-    vocabulary = document_frequencies(plain).filter(F.col("df") >= least)
-    vocabulary = shared_table(vocabulary.select(F.monotonically_increasing_id().alias("tid"), "lang", "term", "df"), "vocabulary", scope)
-    counts = recounted(plain, vocabulary, scope).groupBy("tid", "lang", "source").agg(F.sum("n").alias("n"))
-    counts = shared_table(counts, "vocabulary-counts", scope)
+    found = shared_table(document_frequencies(plain).filter(F.col("df") >= least), "vocabulary", scope)
+    vocabulary, rest = numbered_terms(found, scope)
+    counts = shared_table(recounted(plain, vocabulary, rest, scope), "vocabulary-counts", scope)
 
     # A row a source: its number within the language, N, the number of kept terms, and the share of a term it doesn't have.
     every = plain.select("lang", "source").distinct()
@@ -356,16 +432,15 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS, sco
     kept = vocabulary.groupBy(F.col("lang").alias("kl")).agg(F.count(F.lit(1)).alias("v"))
     groups = every.join(sizes, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left").join(kept, F.col("lang") == F.col("kl"), "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "have", "v")])
-    groups = groups.withColumn("gid", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long"))
+    groups = groups.withColumn("gid", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")).withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     z = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.greatest(F.col("total") + F.col("v"), F.lit(1)))).otherwise(1)
     groups = shared_table(groups.withColumn("z", z.cast("long")), "vocabulary-groups", scope)
 
     # Postings with both shares, in order of the term.
-    side = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "gid", (F.col("total") + F.col("v")).alias("size"), "z")
-    posted = attach(counts, side, (F.col("lang") == F.col("gl")) & (F.col("source") == F.col("gs"))).select("tid", "lang", "gid", "n", share(F.col("n"), F.col("size")).alias("p"), "z")
+    side = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "gid", (F.col("total") + F.col("v")).alias("size"), "z", "sources")
+    posted = attach(counts, side, (F.col("lang") == F.col("gl")) & (F.col("source") == F.col("gs"))).select("tid", "lang", "gid", "n", share(F.col("n"), F.col("size")).alias("p"), "z", "sources")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = shared_table(posted.repartition(n, "tid").sortWithinPartitions("tid"), "vocabulary-postings", scope)
-    both = posted.select("tid", "lang", "gid", "p", "z").repartition(n, "tid").sortWithinPartitions("tid").mapInArrow(lambda p: batches(common(p), PAIR_SCHEMA), PAIR_SQL)
+    both = posted.select("tid", "lang", "gid", "p", "z", "sources").repartition(n, "tid").sortWithinPartitions("tid").mapInArrow(lambda p: batches(common(p), PAIR_SCHEMA), PAIR_SQL)
 
     shapes = posted.groupBy("lang", "gid", "p").agg(F.count(F.lit(1)).alias("m")).groupBy(F.col("lang").alias("hl"), F.col("gid").alias("hg")).agg(F.collect_list("p").alias("p"), F.collect_list("m").alias("m"))
     own = groups.join(shapes, (F.col("lang") == F.col("hl")) & (F.col("gid") == F.col("hg")), "left").select("lang", "v", "gid", "z", "have", "p", "m")
