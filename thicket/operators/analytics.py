@@ -236,26 +236,62 @@ def interactions(nodes: DataFrame, matrix: DataFrame) -> DataFrame:
     return out.select("tree_id", "node_id", "ancestor_id", F.col("split_feature").alias("split"), "sign", "split_value", "ancestor_feature", "ancestor_sign", "ancestor_split", F.col("feature").alias("output"), (F.col("local_gain") - F.col("gain_there")).alias("interaction"))
 
 
-def leaf_weights(nodes: DataFrame, truth: DataFrame, feature: str, ridge: float = 1e-6) -> DataFrame:
+def leaf_weights(nodes: DataFrame, truth: DataFrame, feature: str, ridge: float = 1e-6, tolerance: float = 1e-12) -> DataFrame:
     """``leaf, weight``: how much each leaf's median should count so that the leaves of a sample add up to the truth.
 
-    A ridge regression of the truth over leaf medians; the leaves of a forest are its width.
+    Least squares of the truth over leaf medians with a small ridge, over samples whose
+    truth is known, by conjugate gradients: a step multiplies the rows by a vector, one for each
+    sample, where the rows are. The driver holds vectors as long as the forest has leaves,
+    never their products. Leaves of which no sample's truth is known have weight 0.
     """
     import numpy as np
+    import pyarrow as pa
 
+    spark = nodes.sparkSession
     leaves = nodes.filter("is_leaf")
-    m = membership(leaves).join(leaf_features(leaves).filter(F.col("feature") == feature).select("tree_id", "node_id", "median"), ["tree_id", "node_id"]).select("sample_id", F.concat_ws("/", "tree_id", "node_id").alias("leaf"), "median")
-    names = sorted(r[0] for r in m.select("leaf").distinct().collect())
-    at = {x: i for i, x in enumerate(names)}
-    t = truth.filter(F.col("feature") == feature).select(F.col("sample_id").cast("string").alias("sample_id"), F.col("value").alias("y"))
-    a = np.eye(len(names)) * ridge
-    for r in m.alias("p").join(m.alias("q"), "sample_id").groupBy(F.col("p.leaf").alias("a"), F.col("q.leaf").alias("b")).agg(F.sum(F.col("p.median") * F.col("q.median")).alias("v")).toLocalIterator():
-        a[at[r["a"]], at[r["b"]]] += r["v"]
-    b = np.zeros(len(names))
-    for r in m.join(t, "sample_id").groupBy("leaf").agg(F.sum(F.col("median") * F.col("y")).alias("v")).collect():
-        b[at[r["leaf"]]] = r["v"]
-    w = np.linalg.solve(a, b) if names else b
-    return nodes.sparkSession.createDataFrame([(x, float(w[i])) for x, i in at.items()], "leaf string, weight double")
+    own = leaf_features(leaves).filter(F.col("feature") == feature).select("tree_id", "node_id", "median")
+    names = sorted(r[0] for r in own.select(F.concat_ws("/", "tree_id", "node_id")).collect())  # the forest's leaves
+    if not names:
+        return spark.createDataFrame([], "leaf string, weight double")
+    places = spark.createDataFrame(list(enumerate(names)), "at int, leaf string")
+    m = membership(leaves).join(own, ["tree_id", "node_id"]).select("sample_id", F.concat_ws("/", "tree_id", "node_id").alias("leaf"), "median").join(places, "leaf")
+    known = truth.filter((F.col("feature") == feature) & F.col("value").isNotNull()).select(F.col("sample_id").cast("string").alias("sample_id"), F.col("value").alias("y"))
+    rows = m.groupBy("sample_id").agg(F.collect_list("at").alias("at"), F.collect_list("median").alias("x")).join(known, "sample_id").select("at", "x", "y").checkpoint()  # a tree has one leaf of a sample
+
+    def products(vector: np.ndarray | None) -> np.ndarray:
+        """The rows' transpose times the truths or, with a vector, times the rows times the vector; without a row's other entries ever meeting."""
+        sent = spark.sparkContext.broadcast(vector)
+        n = len(names)
+
+        def run(parts):
+            total, v = np.zeros(n), sent.value
+            for batch in parts:
+                at, x = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+                size = np.diff(batch.column(0).offsets.to_numpy())
+                row = np.repeat(np.arange(len(size)), size)
+                y = batch.column(2).to_numpy(zero_copy_only=False) if v is None else np.bincount(row, x * v[at], len(size))
+                total += np.bincount(at, x * y[row], n)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["at", "v"])
+
+        out = np.zeros(n)
+        for r in rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            out[r["at"]] = r["v"]
+        sent.unpersist()
+        return out
+
+    b = products(None)
+    w, r = np.zeros(len(names)), b.copy()
+    p, size = r.copy(), float(r @ r)
+    for _ in range(2 * len(names)):
+        if size <= tolerance**2 * float(b @ b):
+            break
+        q = products(p) + ridge * p
+        step = size / float(p @ q)
+        w, r = w + step * p, r - step * q
+        size, before = float(r @ r), size
+        p = r + size / before * p
+    return spark.createDataFrame([(x, float(v)) for x, v in zip(names, w, strict=True)], "leaf string, weight double")
 
 
 def covs(nodes: DataFrame) -> DataFrame:

@@ -143,16 +143,21 @@ def fit(matrix: DataFrame, p: Parameters, prototype: bool = False) -> DataFrame:
     return out.unionByName(root_only(full, p)) if prototype else out
 
 
-def fit_levels(cells: DataFrame, leaf_size: int, depth: int, mode: str = "mad", norm: str = "l1") -> DataFrame:
+def fit_levels(cells: DataFrame, leaf_size: int, depth: int, mode: str = "mad", norm: str = "l1", most: int | None = None, size: int | None = None) -> DataFrame:
     """Trees over whole tables, all of them a level at a time: for nodes that are too large for one task's tree.
 
     ``cells`` has ``tree_id, sample_id, feature, value`` of each tree's samples; all
-    features are inputs and outputs. Draws, scores and cuts are those of the split scans,
-    so a task holds a node's samples for one input at most. Nodes are named by their
-    sides from the root (RT, RTL, RTLR, ..); those of ``leaf_size`` samples or fewer, at
-    ``depth``, or without a valid cut are leaves. Each level is cut off in the shared folder.
+    features are inputs and outputs. Draws, scores and cuts are those of the split scans:
+    a level whose nodes have ``most`` cells at most runs a node and input in a task, one
+    with a larger node leaves cells spread over tasks of about ``size``. Nodes are named by
+    their sides from the root (RT, RTL, RTLR, ..); those of ``leaf_size`` samples or fewer, at
+    ``depth``, or without a valid cut are leaves. A node's row lists its samples if it has
+    no more than ``most`` cells; else ``samples`` is null, for a row couldn't hold them.
+    Each level is cut off in the shared folder.
     """
     from thicket.operators import scan
+
+    most, size = most or scan.TASK_CELLS, size or scan.SIZE
     from thicket.operators.stats import summary
 
     key = ["tree_id", "node_id"]
@@ -160,16 +165,22 @@ def fit_levels(cells: DataFrame, leaf_size: int, depth: int, mode: str = "mad",
     kept, out = ["node", *key, "sample_id", "feature", "value"], None
     for level in range(depth + 1):
         at = at.withColumn("node", F.concat_ws("/", *key)).select(*kept).checkpoint()
-        members = at.groupBy("node", *key).agg(F.array_sort(F.collect_set(F.col("sample_id").cast("string"))).alias("samples")).withColumn("n_samples", F.size("samples").cast("long"))
+        wide, listed = scan.is_wide(at, most), F.array_sort(F.collect_set(F.col("sample_id").cast("string"))).alias("samples")
+        if wide:
+            counts = at.select("node", *key, "sample_id").distinct().groupBy("node", *key).agg(F.count(F.lit(1)).alias("n_samples"))
+            small = at.groupBy("node").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") <= most).select("node")
+            members = counts.join(at.join(small, "node", "left_semi").groupBy("node").agg(listed), "node", "left")
+        else:
+            members = at.groupBy("node", *key).agg(listed).withColumn("n_samples", F.size("samples").cast("long"))
         disp = F.col("mad") if mode == "mad" else F.col("var_pop")
         own = at.select(*key, "feature").distinct().join(summary(at, [*key, "feature"]), [*key, "feature"], "left")
         own = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("feature", F.coalesce("median", F.lit(0.0)).alias("m"), F.coalesce(disp, F.lit(0.0)).alias("d")))).alias("x"))
         cut = at.sparkSession.createDataFrame([], "node string, split_feature string, k int, split_value double, score double")
         if level < depth:
             inner = at.join(members.filter(F.col("n_samples") > leaf_size).select("node"), "node", "left_semi")
-            scores = scan.split_scores(scan.drawn(inner, inner), mode, norm)
+            scores = scan.split_scores(scan.drawn(inner, inner, wide, size), mode, norm, wide=wide, size=size)
             cut = scan.best_split(scan.best_cuts(scores, members.select("node", F.col("n_samples").alias("samples")))).checkpoint()
-            at_next = at.join(scan.children(inner, cut), ["node", "sample_id"]).withColumn("node_id", F.concat("node_id", "side")).drop("node", "side")
+            at_next = at.join(scan.children(inner, cut, wide, size), ["node", "sample_id"]).withColumn("node_id", F.concat("node_id", "side")).drop("node", "side")
         rows = members.join(own, key).join(cut.select("node", "split_feature", "split_value"), "node", "left")
         parent = F.when(F.lit(level > 0), F.substring("node_id", 1, len(ROOT) + level - 1))
         side = F.when(F.lit(level > 0), F.substring("node_id", len(ROOT) + level, 1))

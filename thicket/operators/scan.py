@@ -1,8 +1,10 @@
 """Split scans: how dispersed the outputs are on both sides of every cut of an input.
 
 Inputs and outputs are long tables with a ``node`` column. Variance scans are running
-sums of window functions; MAD scans run the kernel once per node and input feature, so
-a node's subsample is the most that a task holds.
+sums of window functions. MAD scans run the kernel once per node and input feature as
+long as a node's cells fit into a task; the cells of larger nodes stay spread over
+tasks, in chunks of positions and ranges of values (``wide_scan``). Both give the same
+numbers. Functions that can do both take ``wide``, which ``is_wide`` finds by counting.
 """
 
 from __future__ import annotations
@@ -12,25 +14,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.functions.numeric import LEAST_NORMAL
 from thicket.operators import kernel
+from thicket.operators.numbered import numbered
+from thicket.operators.selection import largest
+from thicket.operators.wide_scan import SIZE, wide_running
 
+#: Cells of a node that one task may hold.
+TASK_CELLS = 2_000_000
 #: Fewest samples with a value of the input for a node to be cut, and cuts left out at each end.
 LEAST_DRAWS, EDGE = 6, 3
 
 
-def draw_order(inputs: DataFrame) -> DataFrame:
+def is_wide(cells: DataFrame, most: int = TASK_CELLS) -> bool:
+    """Whether a node has more cells than a task may hold."""
+    return largest(cells, ["node"]) > most
+
+
+def draw_order(inputs: DataFrame, wide: bool = False, size: int = SIZE) -> DataFrame:
     """``node, split_feature, sample_id, split_value, k, n``: samples by ascending value, ties by sample."""
     own = inputs.filter("value is not null").select("node", F.col("feature").alias("split_feature"), "sample_id", F.col("value").alias("split_value"))
+    if wide:
+        placed = numbered(own, ["node", "split_feature"], ["split_value", "sample_id"], "k", 4 * size)
+        n = own.groupBy(F.col("node").alias("of"), F.col("split_feature").alias("by")).agg(F.count(F.lit(1)).alias("n"))
+        return placed.join(n, (F.col("node") == F.col("of")) & (F.col("split_feature") == F.col("by"))).drop("of", "by")
     w = Window.partitionBy("node", "split_feature")
     return own.withColumn("k", F.row_number().over(w.orderBy("split_value", "sample_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
 
 
-def drawn(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+def drawn(inputs: DataFrame, outputs: DataFrame, wide: bool = False, size: int = SIZE) -> DataFrame:
     """The outputs along each input's draw order: ``node, split_feature, k, n, sample_id, split_value, feature, value``.
 
     Inputs with too few draws go before anything is joined or sorted again.
     """
-    order = draw_order(inputs).filter(F.col("n") >= LEAST_DRAWS)
+    order = draw_order(inputs, wide, size).filter(F.col("n") >= LEAST_DRAWS)
     return order.join(outputs.select("node", "sample_id", "feature", "value"), ["node", "sample_id"])
 
 
@@ -65,8 +82,26 @@ def _table(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[str]]:
     return draws, wide.to_numpy(float), [str(c) for c in wide.columns]
 
 
-def mad_scan(along: DataFrame) -> DataFrame:
+def wide_mad_scan(along: DataFrame, size: int = SIZE) -> DataFrame:
+    """As ``mad_scan``, with at most a few times ``size`` cells in a task, however many a node has."""
+    keys = ["node", "split_feature", "feature"]
+    along = along.select(*keys, "k", "n", "value").checkpoint()
+    draws = along.select("node", "split_feature", F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n")).distinct()
+    # Every output has a cell at every draw, if only an empty one.
+    every = draws.join(along.select("node", "split_feature", "feature").distinct(), ["node", "split_feature"])
+    cells = every.join(along.select(*keys, F.col("k").cast("long").alias("k"), "value"), [*keys, "k"], "left").checkpoint()
+    before = wide_running(cells.select(*keys, "k", "value"), keys, size)
+    onward = wide_running(cells.select(*keys, (F.col("n") - 1 - F.col("k")).alias("k"), "value"), keys, size)
+    n = draws.select("node", "split_feature", "n").distinct()
+    onward = onward.join(n, ["node", "split_feature"]).select(*keys, (F.col("n") - F.col("k")).alias("k"), F.col("median").alias("median_onward"), F.col("mad").alias("mad_onward"))
+    both = before.select(*keys, "k", F.col("mad").alias("mad_before")).join(onward, [*keys, "k"])
+    return both.select(*keys, F.col("k").cast("int").alias("k"), "median_onward", "mad_before", "mad_onward")
+
+
+def mad_scan(along: DataFrame, wide: bool = False, size: int = SIZE) -> DataFrame:
     """``node, split_feature, feature, k, median_onward, mad_before, mad_onward`` for cuts 0 .. n."""
+    if wide:
+        return wide_mad_scan(along, size)
 
     def each(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, values, names = _table(pdf)
@@ -88,13 +123,37 @@ def mad_gains(scan: DataFrame) -> DataFrame:
     return d.select("node", "split_feature", "feature", "k", F.greatest(F.first("mad_onward").over(w) - F.col("mad_onward"), F.lit(0.0)).alias("mad_gain"), "cov_onward", (F.first("cov_onward").over(w) - F.col("cov_onward")).alias("cov_gain"))
 
 
-def split_scores(along: DataFrame, mode: str = "mad", norm: str = "l1", weights: dict[str, float] | None = None) -> DataFrame:
+def wide_scores(along: DataFrame, mode: str, norm: str, weights: dict[str, float], size: int) -> DataFrame:
+    """As ``split_scores``, from scans that leave a node's cells spread over tasks."""
+    along = along.checkpoint()
+    if mode == "variance":
+        sides = variance_scan(along).select("node", "split_feature", "feature", "k", "before", "onward")
+    else:
+        sides = wide_mad_scan(along, size).select("node", "split_feature", "feature", "k", F.col("mad_before").alias("before"), F.col("mad_onward").alias("onward"))
+    draws = along.select("node", "split_feature", "k", "n", "split_value").distinct()
+    at = sides.join(draws, ["node", "split_feature", "k"])
+    whole = F.col("n") + 1
+    d = F.col("onward") * ((whole - F.col("k")) / whole) + F.col("before") * ((F.col("k") + 1) / whole)
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map().cast("map<string,double>")
+    w = F.when(F.col("feature") == F.col("split_feature"), 0.0).otherwise(F.coalesce(F.get(F.array(known[F.col("feature")]), F.lit(0)), F.lit(1.0)))
+    at = at.withColumn("w", w).withColumn("x", F.col("w") * (d if norm == "l1" else d * d))
+    # Added up by feature, so that the sum is the same whatever the order of rows.
+    rows = at.groupBy("node", "split_feature", "k").agg(F.first("n").alias("n"), F.first("split_value").alias("split_value"), F.array_sort(F.collect_list(F.struct("feature", "x", "w"))).alias("all"))
+    total = lambda field: F.aggregate("all", F.lit(0.0), lambda s, e: F.when(e["w"] == 0, s).otherwise(s + e[field]))
+    score = F.try_divide(total("x"), total("w"))
+    fine = ~F.isnan(score) & (F.abs(score) < float("inf")) & ((score == 0) | (F.abs(score) >= LEAST_NORMAL))
+    return rows.select("node", "split_feature", F.col("k").cast("int").alias("k"), "n", "split_value", F.when(fine, score).otherwise(F.lit(float("inf"))).alias("score"))
+
+
+def split_scores(along: DataFrame, mode: str = "mad", norm: str = "l1", weights: dict[str, float] | None = None, wide: bool = False, size: int = SIZE) -> DataFrame:
     """``node, split_feature, k, n, split_value, score`` of cuts 0 .. n - 1.
 
     The score sums the outputs' dispersions on both sides, weighted by how much lies on
     each; an input that is an output too has weight 0 in its own scan.
     """
     weights = dict(weights or {})
+    if wide:
+        return wide_scores(along, mode, norm, weights, size)
 
     def each(key, pdf: pd.DataFrame) -> pd.DataFrame:
         draws, values, names = _table(pdf)
@@ -127,9 +186,10 @@ def best_split(cuts: DataFrame) -> DataFrame:
     return cuts.filter(F.col("score") < float("inf")).groupBy("node").agg(F.min_by(F.struct("split_feature", "k", "split_value", "score"), F.struct("score", "split_feature")).alias("b")).select("node", "b.*")
 
 
-def children(inputs: DataFrame, splits: DataFrame) -> DataFrame:
+def children(inputs: DataFrame, splits: DataFrame, wide: bool = False, size: int = SIZE) -> DataFrame:
     """``node, side, sample_id`` after the split: draws before k left, the others right; samples without a value in neither."""
-    order = draw_order(inputs).select("node", "split_feature", "sample_id", F.col("k").alias("at"))
+    chosen = splits.select("node", F.col("split_feature").alias("feature"))
+    order = draw_order(inputs.join(chosen, ["node", "feature"], "left_semi"), wide, size).select("node", "split_feature", "sample_id", F.col("k").alias("at"))
     both = order.join(splits.select("node", "split_feature", "k"), ["node", "split_feature"])
     return both.select("node", F.when(F.col("at") < F.col("k"), "L").otherwise("R").alias("side"), "sample_id")
 
@@ -141,4 +201,4 @@ def route_by_value(inputs: DataFrame, splits: DataFrame) -> DataFrame:
     return both.select("node", F.when(F.col("value") > F.col("split_value"), "R").otherwise("L").alias("side"), "sample_id")
 
 
-__all__ = ["best_cuts", "best_split", "children", "draw_order", "drawn", "mad_gains", "mad_scan", "route_by_value", "split_scores", "variance_scan"]
+__all__ = ["best_cuts", "best_split", "children", "draw_order", "drawn", "is_wide", "mad_gains", "mad_scan", "route_by_value", "split_scores", "variance_scan", "wide_mad_scan"]

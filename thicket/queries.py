@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.numeric import DropMode, drop
 from thicket.operators import analytics, boost, forest, predict, sampling, scan, stats
+from thicket.operators import density as density_
 from thicket.operators import matrix as mx
 from thicket.plans.parameters import Parameters, auto_parameters, density, parse
 from thicket.sources import text
@@ -316,6 +317,23 @@ for _mode, (_b, _o) in {"mad": ("mb", "mo"), "variance": ("vb", "vo")}.items():
         QUERIES[f"split_scores_{_mode}_{_norm}"] = _scores(_mode, _norm)
         SQL[f"split_scores_{_mode}_{_norm}"] = f"with {NMS}, {score_sql(_b, _o, _norm)} select node, split_feature, k, round(score * {UNEVEN}, 3) as score from ss where k between 3 and n - 3"
 
+#: All customers as one node, in chunks and ranges of this size: the scans whose cells stay spread over tasks.
+ROOT_SIZE = 500
+ROOT_SQL = NMS.replace("select c_nationkey as node, c_custkey as sample_id", "select 0 as node, c_custkey as sample_id")
+
+
+def whole_root(spark: SparkSession, d: str) -> DataFrame:
+    return nations(spark, d).withColumn("node", F.lit(0))
+
+
+@query(f"with {ROOT_SQL} select split_feature, feature, k, round(med, 4) as median_onward, round(mb, 4) as mad_before, round(mo, 4) as mad_onward from sc")
+def root_mad_scan(spark, d):
+    m = whole_root(spark, d)
+    along = scan.drawn(m, m, True, ROOT_SIZE).checkpoint()
+    n = along.select("split_feature", "n").distinct()
+    return scan.mad_scan(along, True, ROOT_SIZE).join(n, "split_feature").filter("k < n").select("split_feature", "feature", F.col("k").cast("long"), *[r4(c).alias(c) for c in ("median_onward", "mad_before", "mad_onward")])
+
+
 SIZES = "sz as (select c_nationkey as node, count(*) as samples from customer group by 1)"
 CUTS = f"with {NMS}, {score_sql('mb', 'mo', 'l1')}, {SIZES}, bc as (select node, split_feature, arg_min({{k: k, v: split_value, n: n, s: score}}, {{s: score, k: -k}}) as b from ss where k between 3 and n - 3 group by 1, 2), ct as (select node, split_feature, b.k as k, b.v as split_value, b.s * (samples - b.n + 1) as score from bc join sz using (node))"
 
@@ -344,6 +362,17 @@ def best_split(spark, d):
     return scan.best_split(cuts(spark, d)).select("node", "split_feature", F.col("k").cast("long"), "split_value", r4(F.col("score") * UNEVEN, 2).alias("score"))
 
 
+ROOT_BEST = BEST.replace(NMS, ROOT_SQL).replace("select c_nationkey as node, count(*) as samples", "select 0 as node, count(*) as samples")
+
+
+@query(f"{ROOT_BEST} select b.f as split_feature, b.k as k, b.v as split_value, round(b.s * {UNEVEN}, 2) as score from bs")
+def root_best_split(spark, d):
+    m = whole_root(spark, d)
+    scores = scan.split_scores(scan.drawn(m, m, True, ROOT_SIZE), wide=True, size=ROOT_SIZE)
+    sizes = m.filter("feature = 'a'").groupBy("node").agg(F.count(F.lit(1)).alias("samples"))
+    return scan.best_split(scan.best_cuts(scores, sizes)).select("split_feature", F.col("k").cast("long"), "split_value", r4(F.col("score") * UNEVEN, 2).alias("score"))
+
+
 @query(f"{BEST} select bs.node, case when dr.k < b.k then 'L' else 'R' end as side, sample_id from bs join dr on dr.node = bs.node and dr.split_feature = b.f")
 def split_children(spark, d):
     return scan.children(nations(spark, d), scan.best_split(cuts(spark, d)))
@@ -510,6 +539,13 @@ def cluster_statistics(spark, d):
     return out.withColumn("top_features", F.array_join("top_features", ","))
 
 
+@query()
+def node_hdbscan(spark, d):
+    n = trees(spark, d)
+    points = n.select(F.concat_ws("/", "tree_id", "node_id").alias("node"))
+    return density_.hdbscan(points, analytics.jaccard_distances(n), 3, 2)
+
+
 @query(f"with {N}, l as (select tree_id, node_id, feature, coalesce(local_gain, 0) as g from lf where is_leaf) select a.tree_id, a.feature as f1, b.feature as f2, round(case when var_pop(a.g) <= 1e-12 * avg(a.g * a.g) or var_pop(b.g) <= 1e-12 * avg(b.g * b.g) then 0 else corr(a.g, b.g) end, 6) as corr from l a join l b using (tree_id, node_id) group by all")
 def gain_correlation(spark, d):
     return boost.gain_correlation(trees(spark, d)).select("tree_id", "f1", "f2", r4("corr", 6).alias("corr"))
@@ -595,35 +631,65 @@ def command_line(spark, d):
     return spark.createDataFrame([(p.trees, p.leaf_size, p.split, p.prediction)], "trees int, leaf_size int, split string, prediction string")
 
 
-@query("select c_nationkey, least(count(*), 20) as n from customer group by 1")
+def dice(key: str) -> str:
+    """A number from 0 to 1,000,002 for a whole number, in SQL that Spark and DuckDB read alike: draws that both can make."""
+    return f"(({key}) * 7919 + 12345) % 1000003"
+
+
+def even(key: str) -> Column:
+    return (F.expr(dice(key)) + F.lit(0.5)) / F.lit(1000003.0)
+
+
+EVEN = "(({}) + 0.5) / 1000003.0::double"
+
+
+@query(f"select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by {dice('c_custkey')}, c_custkey) as r from customer) where r <= 20")
 def sample_without_replacement(spark, d):
     c = table(spark, d, "customer").select("c_nationkey", "c_custkey")
-    return sampling.without_replacement(c, 20, ["c_nationkey"], "c_custkey", 7).groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("n"))
+    return sampling.without_replacement(c, 20, ["c_nationkey"], "c_custkey", 7, F.expr(dice("c_custkey")))
 
 
-@query("select c_nationkey, least(count(*), 20) as n from customer where c_acctbal > 0 group by 1")
+@query(f"select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by ln({EVEN.format(dice('c_custkey'))}) / c_acctbal desc, c_custkey) as r from customer where c_acctbal > 0) where r <= 20")
 def sample_weighted(spark, d):
     c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("w"))
-    return sampling.weighted(c, 20, ["c_nationkey"], "c_custkey", "w", 7).groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("n"))
+    return sampling.weighted(c, 20, ["c_nationkey"], "c_custkey", "w", 7, even("c_custkey")).select("c_nationkey", "c_custkey")
+
+
+#: Draws among suppliers by the size of their balance, and the supplier at each place of the cumulative weights.
+PLACES = "s as (select s_suppkey, s_suppkey % 16 as bucket, abs(s_acctbal)::double as w from supplier where s_acctbal <> 0), c as (select *, sum(w) over (order by bucket, s_suppkey) as upto from s), t as (select sum(w) as total from s)"
+
 
+def drawn_suppliers(sql: str) -> str:
+    return f"with {PLACES}, d as (select draw, {EVEN.format(dice('draw'))} * total as u from {sql} r(draw), t) select draw, (select arg_min(s_suppkey, upto) from c where upto > u) as s_suppkey from d"
 
-@query("select 500 as n, 500 as known")
+
+def balances(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("w"))
+
+
+@query(drawn_suppliers("range(500)"))
 def sample_with_replacement(spark, d):
-    c = table(spark, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("w"))
-    got = sampling.with_replacement(c, 500, "s_suppkey", "w", 7).join(c.filter("w > 0"), "s_suppkey", "left")
-    return got.agg(F.countDistinct("draw").cast("int").alias("n"), F.count("w").cast("int").alias("known"))
+    return sampling.with_replacement(balances(spark, d), 500, "s_suppkey", "w", 7, even("id"), F.col("s_suppkey") % 16)
+
 
+@query(drawn_suppliers("range(1)"))
+def sample_choice(spark, d):
+    return sampling.choice(balances(spark, d), "s_suppkey", "w", 7, even("id"), F.col("s_suppkey") % 16)
 
-@query("select count(*) as n, 5 as pieces from customer")
+
+@query(f"select c_custkey, ({dice('c_custkey')} % 5)::int as piece from customer")
 def sample_pieces(spark, d):
-    c = sampling.pieces(table(spark, d, "customer").select("c_custkey"), 5, "c_custkey", 3)
-    return c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").cast("int").alias("pieces"))
+    return sampling.pieces(table(spark, d, "customer").select("c_custkey"), 5, "c_custkey", 3, F.expr(dice("c_custkey")))
 
 
-@query("select 50 as n")
+@query(f"with {NM}, e as (select sample_id, feature, abs(value) as w, ln({EVEN.format(dice('sample_id * 3 + ascii(feature)'))}) as l from nm where abs(value) > 0) select sample_id, feature from e order by l / w desc limit 50")
 def sample_error_cells(spark, d):
-    e = lines(spark, d)
-    return sampling.cells_by_error(e.filter("feature = 'tax'"), 50, 3).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return sampling.cells_by_error(customers(spark, d), 50, 3, even("sample_id * 3 + ascii(feature)"))
+
+
+@query(f"with {NM} select sample_id, feature, value, {EVEN.format(dice('sample_id * 3 + ascii(feature)'))} < 0.3 as held_out from nm")
+def sample_mask(spark, d):
+    return sampling.masked(customers(spark, d), 0.3, 3, even("sample_id * 3 + ascii(feature)"))
 
 
 @query("select cast(s_suppkey as varchar) as sample_id, 'c' || f as feature, case when f = 0 then s_acctbal else cast(s_nationkey as double) end as value from supplier, range(2) t(f)")
