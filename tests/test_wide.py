@@ -96,7 +96,7 @@ def test_growth_over_wide_nodes(node):
     assert b["samples"].isna().tolist() == [len(s) * 2 > 200 for s in a["samples"]]
     for c in ("node_id", "split_feature", "split_value", "n_samples", "is_leaf"):
         assert a[c].equals(b[c])
-    assert all((x == y).all() for c in ("medians", "dispersions") for x, y in zip(a[c], b[c], strict=True))
+    assert all(list(x) == list(y) for c in ("medians", "dispersions") for x, y in zip(a[c], b[c], strict=True))
 
 
 def test_medians_by_selection(spark, long):

@@ -66,7 +66,7 @@ def spanning_forest(links: DataFrame, most: int = MOST) -> DataFrame:
     while not few(live, most):
         both = live.select("u", "v", "e").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
         best = both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("v"), F.col("m.e").alias("e")).checkpoint()
-        taken = best.select("e.*").distinct()
+        taken = best.select("e.a", "e.b", "e.w").distinct()
         out = taken if out is None else out.unionByName(taken)
         # Two components that choose each other share their link: the smaller one is a root.
         back = best.select(F.col("u").alias("x"), F.col("v").alias("y"))
