@@ -11,6 +11,7 @@ TABLES = ["customer", "supplier", "part", "events", "lineitem", "orders", "embed
 CHECKED = [
     "mad_by_group", "dispersion_by_group", "pearson_pairs", "matrix_arithmetic", "draw_order", "mad_scan", "split_scores_mad_l1", "best_cuts", "best_split", "split_children", "forest_levels", "route_branch", "route_truncate", "route_abort", "route_branch_joined", "leaf_average_gain", "interval_stack",
     "node_gains", "node_cells", "node_correlations", "gain_pairs", "feature_cooccurrence", "node_jaccard", "gain_correlation", "node_requirements", "forest_roundtrip", "header_dedupe", "text_matrix",
+    "median_by_feature", "root_mad_scan", "root_best_split", "sample_without_replacement", "sample_weighted", "sample_with_replacement", "sample_choice", "sample_pieces", "sample_error_cells", "sample_mask",
 ]
 
 
