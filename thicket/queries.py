@@ -103,15 +103,25 @@ def along(spark: SparkSession, d: str) -> DataFrame:
 
 #: Of the forest over nations: nodes of more samples are split, down to a depth.
 LEAF, DEPTH = 5, 2
-_forests: dict[tuple[str, str], DataFrame] = {}
+_forests: dict[tuple[str, str], tuple[list[tuple], DataFrame]] = {}
 
 
 def trees(spark: SparkSession, d: str) -> DataFrame:
-    """A tree for each nation, over all its customers; grown once for each session and folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _forests:
-        _forests[key] = grown(spark, d)
-    return _forests[key]
+    """A tree for each nation, over all its customers; grown once for a session and folder, and again when the folder's customers have changed."""
+    key, now = (spark.sparkContext.applicationId, d), versions(table(spark, d, "customer"))
+    if key not in _forests or _forests[key][0] != now:
+        _forests[key] = now, grown(spark, d)
+    return _forests[key][1]
+
+
+def versions(df: DataFrame) -> list[tuple]:
+    """The files that a table is read from, with lengths and times."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
 
 
 def grown(spark: SparkSession, d: str) -> DataFrame:

@@ -15,10 +15,24 @@ from thicket.operators.forest import NODE_SQL
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Inf|infinity|nan|NaN|NAN)$"
 
 
+#: Splits of files whose table may be broadcast.
+FEW_SPLITS = 50_000
+
+
 def lines(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
-    """``pos, value``: a text file's lines in order; the place is a line's number."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    out = spark.createDataFrame(rows, "pos long, value string")
+    """``pos, value``: the lines of a text file, or of a folder's files by name, in order; the place is a line's number.
+
+    A split's rows are numbered where they are read; how many lines lie before a split
+    follows from the splits' counts, one row each in the driver.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    splits = sorted(rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).collect(), key=lambda r: (r["file"], r["start"]))
+    before, places = 0, []
+    for r in splits:
+        places.append((r["file"], r["start"], before - r["first"]))
+        before += r["n"]
+    at = spark.createDataFrame(places, "of string, at long, shift long")
+    out = rows.join(F.broadcast(at) if len(places) <= FEW_SPLITS else at, (F.col("file") == F.col("of")) & (F.col("start") == F.col("at"))).select((F.col("row") + F.col("shift")).alias("pos"), "value")
     return out if keep_empty else out.filter(F.trim("value") != "")
 
 
@@ -126,7 +140,9 @@ def read_compact(spark: SparkSession, path: str) -> DataFrame:
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """Trees of the JSON files that a list file names, one a line."""
     names = [r["value"].strip() for r in lines(spark, path).orderBy("pos").collect()]  # a list of files
-    return from_nested(spark.read.text(names, wholetext=True).select(F.dense_rank().over(Window.orderBy(F.input_file_name())).alias("tree_id"), F.col("value").alias("json")))
+    whole = spark.read.text(names, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("json"))
+    places = spark.createDataFrame([(i + 1, f) for i, f in enumerate(sorted(set(whole.inputFiles())))], "tree_id int, of string")
+    return from_nested(whole.join(places, F.col("file") == F.col("of")).select("tree_id", "json"))
 
 
 def write_compact(nodes: DataFrame, path: str, mode: str = "append") -> None:
