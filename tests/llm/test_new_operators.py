@@ -68,7 +68,7 @@ def linked(texts, width, percent):
 @pytest.mark.parametrize(("percent", "small"), [(80, False), (80, True), (60, True)])
 def test_join_finds_every_link(spark, texts, monkeypatch, percent, small):
     if small:  # ranges in two steps, rows of few shingles, buckets in many blocks
-        for name, value in (("LEAST_BITS", 5), ("MOST_BITS", 3), ("HELD", 500), ("BLOCK", 2)):
+        for name, value in (("LEAST_BITS", 5), ("MOST_BITS", 3), ("HELD", 500), ("BLOCK", 2), ("LARGE", 8)):
             monkeypatch.setattr(ngram_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(spark.createDataFrame(rows_of(texts), SQL).repartition(4), 5, percent).collect()}
     assert got == dict(enumerate(linked(texts, 5, percent)))

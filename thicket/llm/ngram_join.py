@@ -15,9 +15,10 @@ frequency. As a shingle of one set alone is rarer than any other, a set's size t
 how many of them lead its order, and the order of the rest is all that is needed.
 
 Documents with equal sets are one class from the start. A bucket of a prefix shingle
-links its members to its least member first. Buckets that then still have several
-components are compared in blocks, between components only, so a large group of copies
-costs a pair a document. Pairs are verified on full sets, once each.
+links its members to its least member first. Where several components are left, the
+members of buckets that have some in common are compared once, in blocks and between
+components only, so a large group of copies costs a pair a document. Pairs are verified
+on full sets, once each.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from pyspark.sql import functions as F
 from thicket.llm.components import components
 from thicket.llm.ordered import LAST
 from thicket.llm.setsketch import confirmed, shingle_set, text_hash
-from thicket.llm.shared import WordHash, attach, batches, shared_table, small_batches, text_bytes
+from thicket.llm.shared import WordHash, attach, batches, release, shared_table, small_batches, text_bytes
 
 #: Bytes of text whose shingles make a range, the least number of ranges as bits, and the most that a task deals to at once.
 RANGE_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 7, 11
 #: Partitions that ranges are dealt to at most, beyond the session's setting; shingles that a task holds before it deals them out.
-MOST_PARTS, HELD = 20_000, 2_000_000
-#: Parts of a suffix whose sizes are compared; members of a bucket that are compared at once.
-PARTS, BLOCK = 16, 2048
+MOST_PARTS, HELD = 20_000, 1_000_000
+#: Parts of a suffix whose sizes are compared; members that are compared at once, and those of a unit of several buckets at most.
+PARTS, BLOCK, LARGE = 16, 1024, 16_384
 
 DEALT = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("doc_id", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 DEALT_SQL = "kind int, range long, doc_id long, id long, t long, n long, key binary, owners binary, counts binary, hashes binary"
@@ -181,9 +182,9 @@ def described(docs: DataFrame, width: int, scope: str) -> DataFrame:
         yield from close()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = plain.mapInArrow(lambda p: batches(rows(p), DEALT, 200), DEALT_SQL)
+    out = plain.mapInArrow(lambda p: batches(rows(p), DEALT, 50), DEALT_SQL)
     for step in steps[1:]:
-        out = out.repartition(max(n, min(1 << steps[0], MOST_PARTS)), "range", F.pmod(F.xxhash64("owners"), F.lit(16))).sortWithinPartitions("range").mapInArrow(lambda p: batches(again(p), DEALT, 200), DEALT_SQL)
+        out = out.repartition(max(n, min(1 << steps[0], MOST_PARTS)), "range", F.pmod(F.xxhash64("owners"), F.lit(16))).sortWithinPartitions("range").mapInArrow(lambda p: batches(again(p), DEALT, 50), DEALT_SQL)
     out = out.repartition(max(n, min(1 << bits, MOST_PARTS)), "range").sortWithinPartitions("range")
     return shared_table(out.mapInArrow(lambda p: batches(reduce(p), FOUND, 1000), FOUND_SQL), "shingles", scope)
 
@@ -296,67 +297,113 @@ def star_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     return links, known
 
 
-def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: members of buckets ``token, id, component, n, pos, short, rest`` that are alike, of different components.
+def meeting(members: DataFrame) -> DataFrame:
+    """``kind, unit, id, component, n``: who may be alike, from members ``token, id, component, n`` of buckets.
 
-    A bucket is divided by size first: partners are in the same step of sizes or the next.
-    What is still large is dealt out in blocks, of which those of the largest component
-    don't meet each other. Members bring the shingles that others have too; these tell
-    the common ones of a pair. Pairs that links found there connect already are skipped.
+    Buckets with members in common form one unit (kind 0), so that a class takes part in
+    it once and not in each of its buckets; where that would have more than LARGE
+    members, buckets stay units of their own (kind 1).
     """
+    ends = members.groupBy(F.col("token").alias("t")).agg(F.min("id").alias("a"))
+    linked = components(members.join(ends, F.col("token") == F.col("t")).select("a", F.col("id").alias("b")))
+    cluster = linked.select(F.col("node").alias("v"), F.col("component").alias("unit"))
+    large = linked.groupBy(F.col("component").alias("u")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LARGE).select("u").checkpoint()
+    rows = attach(members, cluster, F.col("id") == F.col("v")).drop("v")
+    parts = [attach(rows, large, F.col("unit") == F.col("u"), how) for how in ("left_anti", "left_semi")]
+    small = parts[0].select(F.lit(0).alias("kind"), "unit", "id", "component", "n").distinct()
+    return small.unionByName(parts[1].select(F.lit(1).alias("kind"), F.col("token").alias("unit"), "id", "component", "n"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left has in common with each on the right."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), size) for side, size in zip((left, right), sizes, strict=True)]
+    x, y = np.concatenate(left), np.concatenate(right)
+    both, kind = np.unique(np.concatenate([x, y]), return_inverse=True)
+    kinds = kind[: len(x)], kind[len(x) :]
+    counts = [np.bincount(k, minlength=len(both)) for k in kinds]
+    # Shingles that many have: products of matrices. Others: their pairs, one by one.
+    hot = np.flatnonzero(counts[0] * counts[1] > 4096)
+    for at in range(0, len(hot), 512):
+        some = hot[at : at + 512]
+        place = np.full(len(both), -1)
+        place[some] = np.arange(len(some))
+        has = []
+        for side, row, k in zip((left, right), rows, kinds, strict=True):
+            m, p = np.zeros((len(side), len(some)), np.float32), place[k]
+            m[row[p >= 0], p[p >= 0]] = 1
+            has.append(m)
+        out += (has[0] @ has[1].T).astype(np.int32)
+    cold = (counts[0] > 0) & (counts[1] > 0)
+    cold[hot] = False
+    order = [np.argsort(k, kind="stable") for k in kinds]
+    order = [o[cold[k[o]]] for o, k in zip(order, kinds, strict=True)]
+    start = np.cumsum(np.where(cold, counts[1], 0)) - np.where(cold, counts[1], 0)
+    for at in range(0, len(order[0]), 1 << 16):
+        mine = order[0][at : at + (1 << 16)]
+        k = kinds[0][mine]
+        times = counts[1][k]
+        j = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[k], times)
+        np.add.at(out, (np.repeat(rows[0][mine], times), rows[1][order[1][j]]), 1)
+    return out
+
+
+def across(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between the components of units ``kind, unit, id, component, n``, as far as they join what isn't joined yet.
+
+    A large unit is divided by size first: partners are in the same step of sizes or the
+    next. What is still large is dealt out in blocks, of which those of the largest
+    component don't meet each other. Members bring the shingles that others have too:
+    these tell all common ones, so only links leave a task, never candidates.
+    """
+    key = ["kind", "unit"]
+    units = units.checkpoint()
     ratio = float(np.log(100 / percent))
-    own = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    rows = members.withColumn("home", own).withColumn("band", F.explode(F.array("home", F.col("home") + 1))).withColumn("guest", F.col("band") != F.col("home")).drop("home")
-    counts = rows.groupBy("token", "band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).groupBy(F.col("token").alias("k"), F.col("band").alias("kb"))
-    counts = counts.agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.sum("hosts").alias("hosts"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1 and hosts > 0")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    counts = counts.select("k", "kb", F.col("m.component").alias("main"), blocks(F.col("m.n")).alias("wide"), blocks(F.col("all") - F.col("m.n")).alias("blocks")).checkpoint()
+    total = units.groupBy(F.col("kind").alias("tk"), F.col("unit").alias("tu")).agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").drop("lo", "hi").checkpoint()
+    rows = attach(units, total, (F.col("kind") == F.col("tk")) & (F.col("unit") == F.col("tu"))).drop("tk", "tu")
+    home = F.when(F.col("members") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / ratio)).otherwise(0).cast("int")
+    rows = rows.withColumn("home", home).withColumn("band", F.explode(F.when(F.col("members") > BLOCK, F.array("home", F.col("home") + 1)).otherwise(F.array("home")))).withColumn("guest", F.col("band") != F.col("home"))
+    counts = rows.groupBy(*key, "band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).groupBy(F.col("kind").alias("ck"), F.col("unit").alias("cu"), F.col("band").alias("cb"))
+    counts = counts.agg(F.max(F.struct("m", "component")).alias("x"), F.sum("m").alias("all"), F.sum("hosts").alias("hosts"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1 and hosts > 0")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    counts = counts.select("ck", "cu", "cb", F.col("x.component").alias("main"), blocks(F.col("x.m")).alias("wide"), blocks(F.col("all") - F.col("x.m")).alias("blocks")).checkpoint()
     inside = F.col("component") == F.col("main")
-    rows = attach(rows, counts, (F.col("token") == F.col("k")) & (F.col("band") == F.col("kb")))
+    rows = attach(rows, counts, (F.col("kind") == F.col("ck")) & (F.col("unit") == F.col("cu")) & (F.col("band") == F.col("cb")))
     rows = rows.withColumn("own", F.when(inside, F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("wide"))).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("blocks")).otherwise(F.col("blocks") + F.col("wide")) - 1)))
-    rows = rows.select("token", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "id", "component", "n", "pos", "short", "rest")
+    rows = rows.select(*key, "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "id", "component", "n")
     rows = rows.join(sets.select(F.col("id").alias("sid"), "tokens"), F.col("id") == F.col("sid")).drop("sid")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, *key, "band", "i", "j").sortWithinPartitions(*key, "band", "i", "j")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = group[0][2:4]
-        at, guest, ids, comp, n, pos, short = (np.array([g[k] for g in group]) for k in range(4, 11))
-        rest = rests([g[11] for g in group])
-        root = {c: c for c in set(comp.tolist())}
-        lists: dict[int, np.ndarray] = {}
+        i, j = group[0][3:5]
+        sides = [[g for g in group if g[5] == i], [g for g in group if g[5] == j]]
+        if not sides[0] or not sides[1]:
+            return
+        guest, ids, comp, n = ([np.array([g[k] for g in side]) for side in sides] for k in range(6, 10))
+        lists = [[np.frombuffer(g[10], np.uint64) for g in side] for side in sides]
+        need = least_overlap(n[0][:, None], n[1][None], percent)
+        fine = (comp[0][:, None] != comp[1][None]) & ~(guest[0][:, None] & guest[1][None]) & (np.minimum([len(x) for x in lists[0]], 1 << 62)[:, None] >= need)
+        root: dict[int, int] = {}
 
         def find(c: int) -> int:
+            root.setdefault(c, c)
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        def tokens(k: int) -> np.ndarray:
-            if k not in lists:
-                lists[k] = np.sort(np.frombuffer(group[k][12], np.uint64))
-            return lists[k]
-
-        for k in range(len(group)):
-            if i != j and at[k] != i:
-                continue
-            others = np.flatnonzero((comp != comp[k]) & ((at == j) if i != j else (ids > ids[k])) & ~(guest & guest[k]))
-            if not len(others):
-                continue
-            side = lambda x: (ids[x], n[x], pos[x], short[x], rest[x])
-            ok = passing(side(np.full(len(others), k)), side(others), percent)
-            for o in others[ok].tolist():
-                if (p := find(int(comp[k]))) == (q := find(int(comp[o]))):
-                    continue
-                if len(np.intersect1d(tokens(k), tokens(o), True)) >= least_overlap(n[k], n[o], percent):
-                    root[p] = q
-                    yield int(min(ids[k], ids[o])), int(max(ids[k], ids[o]))
+        for a, b in np.argwhere(fine & (overlaps(*lists) >= need)).tolist():
+            if (p := find(int(comp[0][a]))) != (q := find(int(comp[1][b]))):
+                root[p] = q
+                yield tuple(sorted((int(ids[0][a]), int(ids[1][b]))))
 
-    def pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    def links(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         held: list[tuple] = []
         for batch in parts:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:4] != held[0][:4]:
+                if held and row[:5] != held[0][:5]:
                     yield from compare(held)
                     held = []
                 held.append(row)
@@ -364,7 +411,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield from compare(held)
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return rows.mapInArrow(lambda p: batches(pairs(p), schema), "a long, b long")
+    return rows.mapInArrow(lambda p: batches(links(p), schema), "a long, b long")
 
 
 def joined(docs: DataFrame, width: int = 5, percent: int = 80, scope: str = "") -> DataFrame:
@@ -383,6 +430,7 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, scope: str = "")
     """
     small_batches(docs.sparkSession)
     table = described(docs, width, scope)
+    release(docs.sparkSession)  # the shingles' shuffle files
     rows = table.filter("kind = 0").select("doc_id", "id", "t", "n", "key", "owner")
     reps = rows.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "t", "n", "owner")).alias("r"), F.count(F.lit(1)).alias("copies"))
     reps = shared_table(reps.select("key", "copies", F.monotonically_increasing_id().alias("id"), F.col("r.id").alias("least"), "r.t", "r.n", "r.owner"), "classes", scope)
@@ -396,7 +444,8 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, scope: str = "")
     open_ = attach(open_, last.select(F.col("node").alias("w"), "component"), F.col("id") == F.col("w"), "left").withColumn("component", F.coalesce("component", "id")).drop("w").checkpoint()
     mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("token").alias("k")).checkpoint()
     if mixed.limit(1).count():
-        more = across(attach(open_, mixed, F.col("token") == F.col("k"), "left_semi"), sets, percent).distinct()
+        units = meeting(attach(open_, mixed, F.col("token") == F.col("k"), "left_semi").select("token", "id", "component", "n").checkpoint())
+        more = across(units, sets, percent).distinct()
         last = components(links.unionByName(confirmed(more, reps, docs, width, percent, scope)))
     classes = reps.select("key", "id", "least").join(last, F.col("id") == F.col("node"), "left").select("key", "least", F.coalesce("component", "id").alias("component"))
     named = classes.join(classes.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("all")), F.col("component") == F.col("c")).select(F.col("key").alias("k"), "all")
