@@ -115,7 +115,7 @@ def described(docs: DataFrame, width: int, scope: str) -> DataFrame:
     last = 6  # bytes; with the range's bits that's all that tells shingles apart here
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        memo, sets, owners, held = WordHash(), [], [], 0
+        memo, sets, owners, held, row = WordHash(), [], [], 0, 0
 
         def flush() -> Iterator[tuple]:
             if sets:
@@ -127,7 +127,8 @@ def described(docs: DataFrame, width: int, scope: str) -> DataFrame:
                 s = shingle_set(memo.all(text.lower().split()), width)
                 key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 own = owner_of(key) if key else 0
-                yield 0, -1 - (own & 0xFFFF), doc_id, LAST if doc_id is None else doc_id, t, len(s), key, None, None, None
+                row += 1
+                yield 0, -1 - ((own ^ row * 0x9E3779B1) & 0xFFFF), doc_id, LAST if doc_id is None else doc_id, t, len(s), key, None, None, None
                 if len(s) and (not owners or owners[-1] != own):
                     sets.append(s)
                     owners.append(own)
