@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from thicket.operators.numbered import TASK_ROWS, same, sum_before
 
-#: Values of a key that one task may hold; steps of the grid, and how many values a sketch's error is one of.
-TASK_VALUES, GRID, ACCURACY = 10_000, 256, 4096
+#: Values of a key that one task may hold, and keys whose sketches may be broadcast; steps of the grid, and how many values a sketch's error is one of.
+TASK_VALUES, FEW, GRID, ACCURACY = 1_000_000, 10_000, 256, 4096
 
 
 def largest(df: DataFrame, by: Sequence[str]) -> int:
@@ -38,7 +38,7 @@ def middle_values(df: DataFrame, by: Sequence[str], task_rows: int = TASK_ROWS)
     sketch = some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("grid"))
     first, last = F.expr("(n - 1) div 2"), F.expr("n div 2")
     sketch = sketch.select(*[F.col(c).alias(o) for c, o in zip(by, own, strict=True)], "n", "grid").checkpoint()
-    few = sketch.limit(TASK_VALUES + 1).count() <= TASK_VALUES
+    few = sketch.limit(FEW + 1).count() <= FEW
     for margin in (4 * GRID / ACCURACY, float(GRID)):
         low = F.floor(first * GRID / F.col("n") - margin).cast("int")
         high = F.ceil((last + 1) * GRID / F.col("n") + margin).cast("int")

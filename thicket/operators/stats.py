@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.numeric import median, pearson, safe_ratio, sample_variance
 from thicket.operators.numbered import same
-from thicket.operators.selection import TASK_VALUES, largest, medians
+from thicket.operators.selection import FEW, TASK_VALUES, largest, medians
 
 
 def summary(matrix: DataFrame, by: Sequence[str] = ("feature",), task_values: int = TASK_VALUES) -> DataFrame:
@@ -40,7 +40,7 @@ def summary(matrix: DataFrame, by: Sequence[str] = ("feature",), task_values: in
 def _wide_summary(matrix: DataFrame, by: list[str]) -> DataFrame:
     v, other = F.col("value"), [f"k_{k}" for k in by]
     mid = medians(matrix, by).select(*[F.col(k).alias(o) for k, o in zip(by, other, strict=True)], F.col("median").alias("m")).checkpoint()
-    off = matrix.join(F.broadcast(mid) if mid.limit(TASK_VALUES + 1).count() <= TASK_VALUES else mid, same(by, other)).withColumn("off", v - F.col("m"))
+    off = matrix.join(F.broadcast(mid) if mid.limit(FEW + 1).count() <= FEW else mid, same(by, other)).withColumn("off", v - F.col("m"))
     sums = off.groupBy(*by).agg(F.count(v).alias("n"), F.first("m").alias("median"), F.avg(v).alias("mean"), F.var_pop(v).alias("var_pop"), sample_variance(v).alias("var_samp"), F.sum(F.col("off") * F.col("off")).alias("l2"))
     mad = medians(off.select(*by, F.abs("off").alias("value")), by).select(*[F.col(k).alias(o) for k, o in zip(by, other, strict=True)], F.col("median").alias("raw_mad"))
     out = sums.join(mad, same(by, other)).withColumn("mad", F.when(F.col("n") < 2, 0.0).otherwise(F.col("raw_mad")))

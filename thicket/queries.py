@@ -248,6 +248,12 @@ def median_by_feature(spark, d):
     return stats.summary(mx.dropped(lines(spark, d), DropMode.ZEROS)).select("feature", "n", "median")
 
 
+@query(f"with {C}, a as (select feature, median(value) as m from c group by feature) select c.feature, count(*) as n, any_value(m) as median, round(median(abs(value - m)), 6) as mad from c join a using (feature) group by c.feature")
+def medians_by_selection(spark, d):
+    """As if a task could hold a thousand values."""
+    return stats.summary(mx.dropped(lines(spark, d), DropMode.ZEROS), ["feature"], 1000).select("feature", "n", "median", r4("mad", 6).alias("mad"))
+
+
 GROUPS = f"with {G}, a as (select l_returnflag, feature, median(value) as m from g group by all)"
 
 
