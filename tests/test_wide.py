@@ -65,6 +65,53 @@ def test_ranges_hold_few(long):
         assert ((np.abs(v[:k] - mid) >= lo) & (np.abs(v[:k] - mid) <= hi)).sum() <= 6 * 16
 
 
+def test_a_long_key_has_few_chunks(long, monkeypatch):
+    """No step's table grows with the square of the positions, and the numbers stay the same."""
+    monkeypatch.setattr(wide_scan, "CHUNKS", 8, raising=False)
+    steps, real = [], type(long).checkpoint
+
+    def counted(df, *args, **kwargs):
+        out = real(df, *args, **kwargs)
+        steps.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(long), "checkpoint", counted)
+    kinds = ("heavy", "three", "constant")
+    got = wide_scan.wide_running(long.filter(F.col("node").isin(*kinds)), ["node", "feature"], 2).toPandas()
+    assert max(steps) <= 3 * 301 * 3
+    for kind in kinds:
+        own = got[got["node"] == kind].sort_values("k")
+        medians, mads = kernel.running(sequences(300)[kind])
+        assert (own["median"].to_numpy() == medians).all() and (own["mad"].to_numpy() == mads).all(), kind
+
+
+@pytest.mark.parametrize("kind", ["constant", "three", "ties", "heavy", "two heaps", "doubles"])
+def test_ties_need_few_ranges(kind):
+    """However many elements are equal, the ranges that a prefix has to look at hold few, and the rest is told by the bounds."""
+    import pandas as pd
+
+    v = sequences(3000)["ties" if kind == "doubles" else kind]
+    v = v[~np.isnan(v)] * (0.1 if kind == "doubles" else 1)
+    order, part = np.argsort(v, kind="stable"), 16
+    j = np.empty(len(v), int)
+    j[order] = np.arange(len(v)) // part
+    table = pd.DataFrame([{"j": i, "low": v[j == i].min(), "high": v[j == i].max(), "before": 0} for i in range(j.max() + 1)])
+    rows = np.arange(2, len(v), 7)
+    m = np.array([np.median(v[:k]) for k in rows])
+    first, last = (rows - 1) // 2, rows // 2
+    lower, upper, l1, l2, r1, r2, skip = wide_scan.Ranges(pd.DataFrame({"j": j}), table).kept(m, first, last, rows)
+    for i, k in enumerate(rows):
+        d, at = np.abs(v[:k] - m[i]), j[:k]
+        near = np.sort(d)
+        assert lower[i] <= near[first[i]] and near[last[i]] <= upper[i]
+        if lower[i] == upper[i]:
+            continue
+        kept = ((at >= l1[i]) & (at <= l2[i])) | ((at >= r1[i]) & (at <= r2[i]))
+        assert kept.sum() <= 6 * part
+        own = np.concatenate([np.full(skip[i], lower[i]), np.sort(np.clip(d[kept], lower[i], upper[i])), np.full(k, upper[i])])
+        assert (own[first[i]], own[last[i]]) == (near[first[i]], near[last[i]])
+
+
 @pytest.fixture(scope="module")
 def node(spark, long):
     """A node of four features; a sample is a position."""
