@@ -176,3 +176,15 @@ def test_sums_before(spark):
     got = {(r["g"], r["i"]): r["s"] for r in numbered.sum_before(df, ["g"], ["i"], F.col("w"), "s", 7).collect()}
     assert got == {(g, i): sum(x % 3 for x in range(i)) for g in ("a", None) for i in range(50)}
     assert sorted(r["k"] for r in numbered.numbered(df.filter("g = 'a'"), ["g"], ["i"], "k", 9).collect()) == list(range(50))
+
+
+def test_few_tasks_sort(spark, monkeypatch):
+    """Small tasks hold more as a table grows, so that there are never very many."""
+    checkpoints(spark)
+    monkeypatch.setattr(numbered, "TASKS", 5, raising=False)
+    df = spark.range(100).select(F.lit("a").alias("g"), "id")
+    seen, real = [], type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda df, n, *by: (seen.append(n), real(df, n, *by))[1])
+    out = numbered.numbered(df, ["g"], ["id"], "k", 2)
+    assert out.filter("k <> id").count() == 0 and out.select("k").distinct().count() == 100
+    assert seen == [5]

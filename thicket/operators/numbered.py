@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a task of a sorted copy holds, about.
-TASK_ROWS = 1_000_000
+#: Rows that a task of a sorted copy holds, about; tasks at most, unless they would hold more.
+TASK_ROWS, TASKS = 1_000_000, 512
 
 
 def same(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -30,7 +30,8 @@ def sum_before(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: C
     The sorted copy is kept in the session's checkpoint folder, so that both its readers see the same tasks.
     """
     by, order = list(by), list(order)
-    parts = max(1, -(-df.count() // task_rows))
+    rows = df.count()
+    parts = max(1, -(-rows // max(task_rows, min(TASK_ROWS, -(-rows // TASKS)))))
     laid = df.withColumn("w_", weight.cast("long")).repartitionByRange(int(parts), *by, *order).withColumn("part_", F.spark_partition_id()).checkpoint()
     sums = laid.groupBy(*by, "part_").agg(F.sum("w_").alias("s_"))
     offset = F.sum("s_").over(Window.partitionBy(*by).orderBy("part_")) - F.col("s_")  # a row a task and key
