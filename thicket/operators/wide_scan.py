@@ -28,7 +28,7 @@ from thicket.operators.numbered import numbered
 from thicket.operators.prefix_order import PrefixOrder, Prefixes, running
 
 #: Most positions of a chunk; chunks of a key whose chunks are smaller; ranges for as many elements as a chunk has positions.
-SIZE, CHUNKS, FINER = 250_000, 256, 8
+SIZE, CHUNKS, FINER = 250_000, 64, 8
 
 
 def fitting(longest: int, size: int) -> int:
